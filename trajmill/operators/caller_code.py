@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def apply_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
@@ -60,7 +61,6 @@ def score_with(
             scores = scorer(batch[["prompt", "completion"]])
             yield batch.assign(**{name: pd.Series(scores, index=batch.index, dtype="float64")})
 
-    fields = [f for f in df.schema.fields if f.name != name]
-    plain = df.select(*[f.name for f in fields])
-    schema = plain.schema.add(name, "double")
+    plain = df.drop(name)
+    schema = T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())])
     return plain.mapInPandas(run, schema)

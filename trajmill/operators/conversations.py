@@ -29,7 +29,7 @@ def build_rollout_rows(df: DataFrame, conversation: str = "conversation") -> tup
     good = (F.size(conv) >= 2) & F.coalesce(answer["role"] == C.ASSISTANT, F.lit(False))
     rows = (
         df.where(good)
-        .withColumn("prompt", F.slice(conv, F.lit(1), F.size(conv) - 2))
+        .withColumn("prompt", F.slice(conv, F.lit(1), F.greatest(F.size(conv) - 2, F.lit(0))))
         .withColumn("completion", F.array(answer))
         .drop(conversation)
     )
@@ -129,16 +129,23 @@ def _at_assistant_turns(df: DataFrame) -> DataFrame:
     return df.withColumn("_i", F.explode(assistant_turns(F.col("prompt"))))
 
 
-def expand_intermediate(df: DataFrame) -> DataFrame:
-    """Each earlier assistant turn as a negative completion, plus the rollout itself."""
+def expand_intermediate(df: DataFrame, position: str | None = None) -> DataFrame:
+    """Each earlier assistant turn as a negative completion, plus the rollout itself.
+
+    ``position`` names an extra column for the completion's place in its conversation.
+    """
+    place = [] if position is None else [position]
     turns = (
         _at_assistant_turns(df)
         .withColumn("completion", F.array(F.get("prompt", F.col("_i"))))
         .withColumn("prompt", F.slice("prompt", F.lit(1), F.col("_i")))
         .withColumn("label", F.lit(False))
-        .select(*df.columns)
+        .select(*df.columns, *[F.col("_i").cast("bigint").alias(c) for c in place])
+    )
+    whole = df.withColumn("label", positive(F.col("label"))).select(
+        *df.columns, *[F.size("prompt").cast("bigint").alias(c) for c in place]
     )
-    return turns.unionByName(df.withColumn("label", positive(F.col("label"))))
+    return turns.unionByName(whole)
 
 
 def expand_relabeled(df: DataFrame) -> DataFrame:
@@ -156,10 +163,10 @@ def expand_positive(df: DataFrame) -> DataFrame:
     return expand_relabeled(filter_positive(df))
 
 
-def flatten_to_first_prompt(df: DataFrame) -> DataFrame:
+def flatten_to_first_prompt(df: DataFrame, position: str | None = None) -> DataFrame:
     """Every assistant turn as a negative answer to the first message, and the final
     completion with its own label."""
-    return expand_intermediate(df).withColumn("prompt", F.slice("prompt", 1, 1))
+    return expand_intermediate(df, position).withColumn("prompt", F.slice("prompt", 1, 1))
 
 
 def turn_rows(df: DataFrame, conversation: str = "conversation") -> DataFrame:

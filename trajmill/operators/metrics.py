@@ -160,16 +160,14 @@ def best_of_n_exact(
     score = F.col("reward") if order_by == "reward" else good.cast("double")
     narrow = df.select(key, "ID", score.alias("score"), good.alias("label"))
     ranked = skew.number_by_score(narrow, [key], "score", "ID", "rank", limit)
-    sizes_of = narrow.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("label").alias("c")
-    )
+    sizes_of = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     # Only right rows carry weight; prompts without any still count as zero.
     right = ranked.where("label").select(key, "rank")
-    weighted = skew.skew_join(right, sizes_of.select(key, "n"), [key], ["rank"], "inner", limit)
+    weighted = skew.skew_join(right, sizes_of, [key], ["rank"], "inner", limit)
     chance = weighted.agg(
         *[F.sum(best_of_weight(F.col("n"), F.col("rank"), n)).alias(f"_{n}") for n in sizes]
     )
-    total = narrow.agg(F.count_distinct(key)).scalar()
+    total = sizes_of.agg(F.count(F.lit(1))).scalar()
     cells = [
         F.struct(
             F.lit(n).alias("n"),

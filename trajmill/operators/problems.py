@@ -105,10 +105,8 @@ def canonical_rollouts(df: DataFrame, dataset: str) -> DataFrame:
 
 def pending_rollouts(problems: DataFrame, done: DataFrame, rollouts: int) -> DataFrame:
     """``(data_id, rollout_no)`` still to be produced; ``rollouts`` numbers per problem."""
-    wanted = problems.select(
-        "data_id",
-        F.explode(F.sequence(F.lit(0), F.lit(rollouts - 1))).cast("bigint").alias("rollout_no"),
-    )
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(rollouts - 1).cast("bigint"))
+    wanted = problems.select("data_id", F.explode(numbers).alias("rollout_no"))
     return wanted.join(done.select("data_id", "rollout_no"), ["data_id", "rollout_no"], "left_anti")
 
 

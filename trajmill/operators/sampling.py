@@ -39,25 +39,29 @@ def missing_side_counts(df: DataFrame, key: str = "data_id") -> DataFrame:
     )
 
 
-def _numbered_ids(df: DataFrame, key: str, limit: int) -> DataFrame:
+def _numbered_ids(df: DataFrame, key: str, limit: int, slot_bits: int) -> DataFrame:
     narrow = df.select(key, "ID", positive(F.col("label")).alias("label"))
-    return skew.number_by_id(narrow, [key, "label"], "ID", "_no", limit)
+    return skew.number_by_id(narrow, [key, "label"], "ID", "_no", limit, slot_bits)
 
 
 def _draws(counts: DataFrame, samples: int) -> DataFrame:
-    numbers = F.sequence(F.lit(0), F.lit(samples - 1))
-    return counts.withColumn("draw", F.explode(numbers).cast("bigint"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))
+    return counts.withColumn("draw", F.explode(numbers))
 
 
 def sample_pair_ids(
-    df: DataFrame, samples: int = 32, key: str = "data_id", limit: int = skew.HOT_ROWS
+    df: DataFrame,
+    samples: int = 32,
+    key: str = "data_id",
+    limit: int = skew.HOT_ROWS,
+    slot_bits: int = skew.SLOT_BITS,
 ) -> DataFrame:
     """``samples`` draws with replacement of one positive and one negative per prompt.
 
     Returns ``(key, draw, chosen_ID, rejected_ID, first_ID)``; ``first_ID`` is the first
     positive, whose prompt stands for the group.
     """
-    numbered = _numbered_ids(df, key, limit)
+    numbered = _numbered_ids(df, key, limit, slot_bits)
     draws = (
         _draws(prompts_with_both(df, key), samples)
         .withColumn("_c", draw("c", F.col(key), F.col("draw")) % F.col("n_pos"))
@@ -89,10 +93,14 @@ def _attach(df: DataFrame, rows: DataFrame, id_col: str, **columns: str) -> Data
 
 
 def sample_pairs(
-    df: DataFrame, samples: int = 32, key: str = "data_id", limit: int = skew.HOT_ROWS
+    df: DataFrame,
+    samples: int = 32,
+    key: str = "data_id",
+    limit: int = skew.HOT_ROWS,
+    slot_bits: int = skew.SLOT_BITS,
 ) -> DataFrame:
     """Preference pairs ``prompt, chosen, rejected`` (and the ids they came from)."""
-    pairs = sample_pair_ids(df, samples, key, limit)
+    pairs = sample_pair_ids(df, samples, key, limit, slot_bits)
     pairs = _attach(pairs, df, "chosen_ID", chosen="completion")
     pairs = _attach(pairs, df, "rejected_ID", rejected="completion")
     firsts = df.select(F.col("ID").alias("first_ID"), "prompt")

@@ -20,7 +20,7 @@ from trajmill.functions.draws import RANGE_BITS
 
 HOT_ROWS = 1_000_000
 
-_SLOT_BITS = 20
+SLOT_BITS = 20
 _MAX_SLOTS = 10_000
 
 
@@ -84,9 +84,13 @@ def number_by_id(
     id_col: str = "ID",
     name: str = "row_no",
     limit: int = HOT_ROWS,
-    slot_bits: int = _SLOT_BITS,
+    slot_bits: int = SLOT_BITS,
 ) -> DataFrame:
-    """Position by a unique integer id: a slot is a block of 2**slot_bits ids."""
+    """Position by a unique integer id: a slot is a block of 2**slot_bits ids.
+
+    A slot never holds more rows than that. Give more bits for ids with wide gaps, so
+    that a hot group does not fall into very many slots.
+    """
     return number_rows(
         df, keys, [F.col(id_col)], F.shiftright(F.col(id_col), slot_bits), name, limit
     )
@@ -114,7 +118,7 @@ def number_by_score(
     id_col: str = "ID",
     name: str = "row_no",
     limit: int = HOT_ROWS,
-    slot_bits: int = _SLOT_BITS,
+    slot_bits: int = SLOT_BITS,
 ) -> DataFrame:
     """Position by score, best first, ties by a unique integer id.
 

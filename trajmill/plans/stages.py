@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajmill.operators import conversations as V
@@ -11,16 +11,21 @@ from trajmill.operators import sampling as P
 from trajmill.operators import search as R
 from trajmill.operators import selection as E
 from trajmill.operators.merge import merge_datasets, union_runs
+from trajmill.operators.skew import SLOT_BITS
 
 
-def preference_pairs(rollouts: DataFrame, row_id: Column, samples: int = 32) -> DataFrame:
+# A conversation has fewer messages than this many bits can count.
+_PLACE_BITS = 17
+
+
+def preference_pairs(rollouts: DataFrame, samples: int = 32) -> DataFrame:
     """Rollouts to preference pairs: every turn answers the first message, then draws.
 
-    ``row_id`` numbers the flattened rows: it must be a unique integer per rollout and
-    completion, and may use the columns of both.
+    A flattened row's id is its rollout's id followed by its place in the conversation.
     """
-    flat = M.with_prompt_key(V.flatten_to_first_prompt(rollouts)).withColumn("ID", row_id)
-    return P.sample_pairs(flat, samples, "prompt_key")
+    flat = M.with_prompt_key(V.flatten_to_first_prompt(rollouts, "_place"))
+    flat = flat.withColumn("ID", F.shiftleft("ID", _PLACE_BITS) + F.col("_place"))
+    return P.sample_pairs(flat, samples, "prompt_key", slot_bits=SLOT_BITS + _PLACE_BITS)
 
 
 def iteration_training_set(

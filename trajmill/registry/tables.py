@@ -118,7 +118,7 @@ def trajectories(spark: SparkSession, sf: str) -> DataFrame:
         data_id.alias("data_id"),
         F.concat(
             F.array(first),
-            F.transform(F.slice("log", F.lit(1), F.size("log") - 1), plain),
+            F.transform(F.slice("log", F.lit(1), F.greatest(F.size("log") - 1, F.lit(0))), plain),
         ).alias("prompt"),
         F.array(F.struct(F.lit("assistant").alias("role"), fenced.alias("content"))).alias("completion"),
         (F.coalesce("quality", F.lit(0)) == 1).alias("label"),

@@ -22,23 +22,33 @@ def rollout_stream(
     return reader.parquet(folder)
 
 
-def ingest_rollouts(stream: DataFrame, table: str, checkpoint: str, keys: list[str]) -> None:
+def ingest_rollouts(
+    stream: DataFrame, table: str, checkpoint: str, keys: list[str], run: str = "main"
+) -> None:
     """Append new rows of the stream to ``table`` until no input is left, then stop.
 
     Rows whose key is stored already are dropped. Every micro-batch owns the partition
-    ``batch=<id>`` and overwrites it, and is compared with the other partitions only, so
-    a batch repeated after a crash leaves the same rows. Call again to resume.
+    ``run=<run>/batch=<id>`` and overwrites it, and is compared with the other partitions
+    only, so a batch repeated after a crash leaves the same rows. Call again with the same
+    checkpoint and run name to resume; a new checkpoint needs a new run name.
     """
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    stored_schema = T.StructType(
+        [
+            *stream.schema.fields,
+            T.StructField("run", T.StringType()),
+            T.StructField("batch", T.LongType()),
+        ]
+    )
     # An empty first partition lets the table be read before the first batch.
     nothing = stream.sparkSession.createDataFrame([], stream.schema)
-    nothing.write.mode("ignore").parquet(f"{table}/batch=-1")
+    nothing.write.mode("ignore").parquet(f"{table}/run={run}/batch=-1")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        stored = batch.sparkSession.read.schema(schema).parquet(table)
-        known = stored.where(F.col("batch") != batch_id).select(*keys)
+        stored = batch.sparkSession.read.schema(stored_schema).parquet(table)
+        mine = (F.col("run") == run) & (F.col("batch") == batch_id)
+        known = stored.where(~mine).select(*keys)
         fresh = batch.dropDuplicates(keys).join(known, keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{table}/run={run}/batch={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(store)
