@@ -64,16 +64,41 @@ def combine_roles(messages: Column, keep_first: bool = False) -> Column:
 
 
 def shared_prefix_length(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix, by halving steps over whole texts."""
-    shorter = F.least(F.length(a), F.length(b))
-    steps = F.array(*[F.lit(1 << bit) for bit in range(30, -1, -1)])
+    """Length of the longest common prefix of two whole texts.
+
+    Doubling steps find the power of two that brackets the answer, halving steps the
+    rest, so the work follows the length of the prefix and not that of the texts.
+    """
 
-    def extend(done: Column, step: Column) -> Column:
-        fits = done + step <= shorter
-        same = F.left(a, done + step) == F.left(b, done + step)
-        return F.when(fits & same, done + step).otherwise(done)
+    def same(p: Column, length: Column) -> Column:
+        return (length <= p["n"]) & (F.left(p["a"], length) == F.left(p["b"], length))
+
+    def search(p: Column) -> Column:
+        powers = F.array(*[F.lit(1 << bit) for bit in range(31)])
+        start = F.struct(F.lit(0).alias("done"), F.lit(True).alias("more"))
+        reached = F.aggregate(
+            powers,
+            start,
+            lambda s, step: F.when(
+                s["more"] & same(p, step), F.struct(step.alias("done"), F.lit(True).alias("more"))
+            ).otherwise(F.struct(s["done"].alias("done"), F.lit(False).alias("more"))),
+            lambda s: s["done"],
+        )
+        return F.aggregate(
+            F.reverse(powers),
+            F.struct(reached.alias("first"), reached.alias("done")),
+            lambda s, step: F.struct(
+                s["first"].alias("first"),
+                F.when((step < s["first"]) & same(p, s["done"] + step), s["done"] + step)
+                .otherwise(s["done"])
+                .alias("done"),
+            ),
+            lambda s: s["done"],
+        )
 
-    return F.aggregate(steps, F.lit(0), extend)
+    shorter = F.least(F.length(a), F.length(b))
+    pair = F.struct(a.alias("a"), b.alias("b"), shorter.alias("n"))
+    return F.get(F.transform(F.array(pair), search), F.lit(0))
 
 
 def shared_prefix(a: Column, b: Column) -> Column:

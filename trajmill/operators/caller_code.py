@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajmill.operators import skew
+
 
 def apply_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """Map every Arrow batch."""
@@ -26,26 +28,24 @@ def apply_group(
     keys: list[str],
     select: Callable[[pd.DataFrame], pd.DataFrame],
     spread: list[str],
-    shares: int = 256,
+    limit: int = 100_000,
 ) -> DataFrame:
     """Rows that ``select`` picks from each group.
 
-    ``select`` gets some rows of one group and returns those it would keep, such as the
-    five best; picking from picked parts must equal picking from the whole. That lets it
-    run on each batch first, then on shares of a group, and last on what remains, so no
-    task ever holds a whole large group.
+    ``select`` gets rows of one group and returns those it would keep, such as the five
+    best; picking from picked parts must equal picking from the whole. A group with more
+    than ``limit`` rows is first dealt over shares of about that size, so no task ever
+    holds a whole large group.
     """
+    dealt = skew.deal_hot(df, keys, spread, limit)
+    ordinary = dealt.where(F.col("_share").isNull()).drop("_share")
+    parts = dealt.where(F.col("_share").isNotNull())
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = [select(rows) for _, rows in batch.groupby(keys, sort=False, dropna=False)]
-            if kept:
-                yield pd.concat(kept)
-
-    share = F.pmod(F.xxhash64(*spread), F.lit(shares))
-    first = df.mapInPandas(per_batch, df.schema)
-    second = first.groupBy(*keys, share.alias("_share")).applyInPandas(select, df.schema)
-    return second.groupBy(*keys).applyInPandas(select, df.schema)
+    def select_part(rows: pd.DataFrame) -> pd.DataFrame:
+        return select(rows.drop(columns="_share"))
+
+    picked = parts.groupBy(*keys, "_share").applyInPandas(select_part, df.schema)
+    return ordinary.unionByName(picked).groupBy(*keys).applyInPandas(select, df.schema)
 
 
 def score_with(

@@ -163,9 +163,14 @@ def best_of_n_exact(
     sizes_of = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     # Only right rows carry weight; prompts without any still count as zero.
     right = ranked.where("label").select(key, "rank")
-    weighted = skew.skew_join(right, sizes_of, [key], ["rank"], "inner", limit)
-    chance = weighted.agg(
-        *[F.sum(best_of_weight(F.col("n"), F.col("rank"), n)).alias(f"_{n}") for n in sizes]
+    placed = skew.skew_join(right, sizes_of, [key], ["rank"], "inner", limit)
+    # The chance depends on (n, rank) alone, which many prompts share.
+    shared = placed.groupBy("n", "rank").agg(F.count(F.lit(1)).alias("rows"))
+    chance = shared.agg(
+        *[
+            F.sum(best_of_weight(F.col("n"), F.col("rank"), n) * F.col("rows")).alias(f"_{n}")
+            for n in sizes
+        ]
     )
     total = sizes_of.agg(F.count(F.lit(1))).scalar()
     cells = [

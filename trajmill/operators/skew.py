@@ -153,6 +153,35 @@ def number_by_score(
     return number_rows(parts, keys, order, slot, name, limit).drop("_score", "_part")
 
 
+def _with_shares(hot: DataFrame, limit: int) -> DataFrame:
+    return hot.withColumn("_rows", F.ceil(F.col("_rows") / limit).cast("int"))
+
+
+def _deal(df: DataFrame, hot: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    share = F.pmod(F.xxhash64(*spread), F.col("_rows")).cast("int")
+    return _mark_hot(df, hot, keys).withColumn("_share", share).drop("_rows")
+
+
+def deal_hot(
+    df: DataFrame, keys: list[str], spread: list[str], limit: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``_share``: null for ordinary groups; the rows of a hot one are dealt over
+    ``rows / limit`` shares by a hash of the ``spread`` columns."""
+    return _deal(df, _with_shares(hot_groups(df, keys, limit), limit), keys, spread)
+
+
+def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a table read from fewer splits than there are cores.
+
+    Heavy per-row work on a small input would run in one task otherwise. Large inputs
+    have splits enough and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def skew_join(
     big: DataFrame,
     small: DataFrame,
@@ -164,17 +193,8 @@ def skew_join(
     """Equi-join where a key may repeat without bound in ``big`` but only a few times in
     ``small``. Rows of a hot key are dealt over ``rows / limit`` shares by a hash of the
     ``spread`` columns, and the matching small rows are repeated once per share."""
-    hot = hot_groups(big, keys, limit).withColumn(
-        "_rows", F.ceil(F.col("_rows") / limit).cast("int")
-    )
-    dealt = (
-        _mark_hot(big, hot, keys)
-        .withColumn(
-            "_share",
-            F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_rows")), F.lit(0)).cast("int"),
-        )
-        .drop("_rows")
-    )
+    hot = _with_shares(hot_groups(big, keys, limit), limit)
+    dealt = _deal(big, hot, keys, spread).withColumn("_share", F.coalesce("_share", F.lit(0)))
     repeated = (
         _mark_hot(small, hot, keys)
         .withColumn(

@@ -35,8 +35,9 @@ def build_token_features(
     source: str = "HumanEval",
 ) -> DataFrame:
     """Training columns for the messages of ``prompt`` and ``completion``."""
+    # Messages are joined by line ends, so tokens never reach across them.
     ids = df.withColumn("prompt_code", word_tokens(joined(F.col("prompt")))).withColumn(
-        "input_ids", word_tokens(joined(F.concat("prompt", "completion")))
+        "input_ids", F.concat("prompt_code", word_tokens(joined(F.col("completion"))))
     )
     labels = (
         mask_labels(F.col("input_ids"), F.size("prompt_code"), mask)
@@ -60,11 +61,11 @@ def binary_token_features(df: DataFrame) -> DataFrame:
 
 def pair_token_features(df: DataFrame) -> DataFrame:
     """Token columns of ``prompt + chosen``, ``prompt + rejected`` and the prompt."""
-    return df.withColumns(
+    prompted = df.withColumn("input_ids_prompt", word_tokens(joined(F.col("prompt"))))
+    return prompted.withColumns(
         {
-            "input_ids_chosen": word_tokens(joined(F.concat("prompt", "chosen"))),
-            "input_ids_rejected": word_tokens(joined(F.concat("prompt", "rejected"))),
-            "input_ids_prompt": word_tokens(joined(F.col("prompt"))),
+            f"input_ids_{side}": F.concat("input_ids_prompt", word_tokens(joined(F.col(side))))
+            for side in ("chosen", "rejected")
         }
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trajmill.operators import metrics as M
 from trajmill.operators import search as R
+from trajmill.operators.skew import spread_rows
 from trajmill.plans import stages
 from trajmill.registry import query
 from trajmill.registry import tables as t
@@ -109,7 +110,8 @@ SELECT n, round(avg(good::INT), 6) AS solve_rate FROM b GROUP BY n""",
     )
 )
 def best_of_n_sampled(spark, sf):
-    return _r6(M.best_of_n_sampled(t.rollouts_ev(spark, sf)), "solve_rate")
+    rows = spread_rows(t.rollouts_ev(spark, sf), "ID")
+    return _r6(M.best_of_n_sampled(rows), "solve_rate")
 
 
 def _exact(score: str) -> str:

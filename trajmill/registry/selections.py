@@ -282,7 +282,7 @@ def sample_pairs(spark, sf):
     [prompt[i + 1]] AS completion, false AS label FROM turns
   UNION ALL SELECT md5('user'||chr(10)||prompt[1].content), ID * 131072 + len(prompt), completion, label FROM traj),
 {pair_sql("flat", "key")}
-SELECT key AS prompt_key, draw, {D("a.completion")} AS chosen, {D("b.completion")} AS rejected
+SELECT p.key AS prompt_key, draw, {D("a.completion")} AS chosen, {D("b.completion")} AS rejected
 FROM p JOIN flat a ON a.ID = chosen_ID JOIN flat b ON b.ID = rejected_ID""",
         "turns",
         "traj",
@@ -442,7 +442,7 @@ QUALIFY row_number() OVER (PARTITION BY data_id ORDER BY reward DESC, ID) <= 2""
 )
 def apply_group(spark, sf):
     rows = t.rollouts_ev(spark, sf).select("data_id", "ID", "reward")
-    return U.apply_group(rows, ["data_id"], _two_best, ["ID"], 8)
+    return U.apply_group(rows, ["data_id"], _two_best, ["ID"])
 
 
 def _length_score(batch):

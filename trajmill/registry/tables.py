@@ -155,7 +155,8 @@ def doc_rollouts(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as one-message prompts with a short completion."""
-    return table(spark, sf, "documents").select(
+    docs = skew.spread_rows(table(spark, sf, "documents"), "doc_id")
+    return docs.select(
         F.col("doc_id").alias("ID"),
         F.col("lang").alias("split"),
         F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("prompt"),

@@ -10,7 +10,7 @@ from trajmill.functions import messages as X
 from trajmill.learning.verifiers import verifier_text
 from trajmill.operators import grading as G
 from trajmill.operators import metrics as M
-from trajmill.operators.skew import skew_join
+from trajmill.operators.skew import skew_join, spread_rows
 from trajmill.registry import query
 from trajmill.registry import tables as t
 from trajmill.sources.manifest import latest_checkpoint as latest
@@ -107,14 +107,16 @@ def shared_prefix(spark, sf):
     return rows.withColumn("n", n).select(
         "ID",
         "n",
-        F.md5(X.shared_prefix(F.col("a"), F.col("b"))).alias("shared"),
+        F.md5(F.left("a", F.col("n"))).alias("shared"),
         F.md5(X.response_suffix(F.col("a"), F.col("n"))).alias("suffix"),
     )
 
 
 def _against_last(spark, sf):
     """Every document next to the last text of its language."""
-    docs = t.table(spark, sf, "documents").select("lang", F.col("doc_id").alias("ID"), F.col("text").alias("a"))
+    docs = spread_rows(t.table(spark, sf, "documents"), "doc_id").select(
+        "lang", F.col("doc_id").alias("ID"), F.col("text").alias("a")
+    )
     last = docs.groupBy("lang").agg(F.max("a").alias("b"))
     return skew_join(docs, last, ["lang"], ["ID"])
 

@@ -14,6 +14,8 @@ from trajmill.operators import tokens as K
 from trajmill.registry import query
 from trajmill.registry import tables as t
 from trajmill.registry.selections import pair_sql
+from trajmill.session import new_folder
+from trajmill.sources.sinks import write_once
 
 
 @query(
@@ -188,8 +190,9 @@ def verifier_features(spark, sf):
 
 @query()
 def train_pair_verifier(spark, sf):
-    rollouts = t.trajectories(spark, sf)
-    pairs = P.sample_pairs(rollouts)
+    # Read by the fit and by both scorings: stored once.
+    drawn = P.sample_pairs(t.trajectories(spark, sf))
+    pairs = write_once(drawn, new_folder(spark, "pairs"))
     model = L.train_pair_verifier(pairs, iterations=10)
     for side in ("chosen", "rejected"):
         view = pairs.withColumn("completion", F.col(side))
