@@ -57,10 +57,21 @@ def pass_at_k(
 
 
 def _curve(same: DataFrame, keys: list[str], max_k: int) -> DataFrame:
+    """Mean of 1 - C(n-c, k) / C(n, k) per k. The ratio gains one factor with each k, so
+    a running sum of logarithms replaces a product per point."""
     numbers = F.sequence(F.lit(1), F.least(F.col("n"), F.lit(max_k)).cast("int"))
-    value = pass_at(F.col("n"), F.col("c"), F.col("k")) * F.col("prompts")
+    points = same.withColumn("k", F.explode(numbers))
+    left = F.col("n") - F.col("k") + 1
+    factor = F.when(left > F.col("c"), F.log1p(-F.col("c") / left))
+    upto = (
+        Window.partitionBy(*keys, "n", "c")
+        .orderBy("k")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    fail = F.when(left > F.col("c"), F.exp(F.sum(factor).over(upto))).otherwise(0.0)
+    value = (1 - F.col("_fail")) * F.col("prompts")
     return (
-        same.withColumn("k", F.explode(numbers))
+        points.withColumn("_fail", fail)
         .groupBy(*keys, "k")
         .agg((F.sum(value) / F.sum("prompts")).alias("pass_at_k"), F.sum("prompts").alias("prompts"))
     )

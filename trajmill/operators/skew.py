@@ -35,11 +35,16 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFra
 
 def _mark_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``_rows``: the size of a hot group, null for any other."""
-    small = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_rows")
+    return _join_null_safe(df, F.broadcast(hot.select(*keys, "_rows")), keys)
+
+
+def _join_null_safe(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which a null key is a group like any other."""
+    renamed = small.withColumnsRenamed({k: f"_of_{k}" for k in keys})
     same = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
     )
-    return df.join(F.broadcast(small), same, "left").drop(*[f"_hot_{k}" for k in keys])
+    return df.join(renamed, same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def number_rows(
@@ -72,7 +77,7 @@ def number_rows(
     within = Window.partitionBy(*keys, "_slot").orderBy(*order)
     numbered = marked.withColumn("_pos", F.row_number().over(within) - 1)
     return (
-        numbered.join(shifts, [*keys, "_slot"], "left")
+        _join_null_safe(numbered, shifts, [*keys, "_slot"])
         .withColumn(name, (F.col("_pos") + F.coalesce("_shift", F.lit(0))).cast("bigint"))
         .select(*df.columns, name)
     )
@@ -127,7 +132,8 @@ def number_by_score(
     whatever the sketch's error. A score equal to a border gets a slot of its own that
     is cut again by blocks of ids, so one heavily repeated score spreads too.
     """
-    value = F.col(score).cast("double")
+    # Negative zero equals zero in SQL but not for the border search.
+    value = F.when(F.col(score) == 0, 0.0).otherwise(F.col(score).cast("double"))
     order = [value.desc(), F.col(id_col)]
     hot = hot_groups(df, keys, limit)
     hot_total = hot.agg(F.sum("_rows")).first()[0]
