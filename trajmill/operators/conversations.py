@@ -38,8 +38,8 @@ def build_rollout_rows(df: DataFrame, conversation: str = "conversation") -> tup
 
 def continue_conversations(df: DataFrame) -> DataFrame:
     """Next-turn input: prompt, completion and the last public feedback as a user message."""
-    last = F.element_at("feedbacks", -1)["public"]
-    reply = message(C.USER, F.concat(F.lit(C.FEEDBACK_PREFIX), last))
+    last = F.try_element_at("feedbacks", F.lit(-1))["public"]
+    reply = message(C.USER, F.concat(F.lit(C.FEEDBACK_PREFIX), F.coalesce(last, F.lit(""))))
     return df.withColumn("messages", F.concat("prompt", "completion", F.array(reply)))
 
 
@@ -82,7 +82,7 @@ def assemble_conversations(
                 lambda t: F.struct(t["public"].alias("public"), t["private"].alias("private")),
             ),
         )
-        .withColumn("label", F.element_at("_log", -1)["success"])
+        .withColumn("label", F.try_element_at("_log", F.lit(-1))["success"])
         .drop("_log", "prompt")
     )
 

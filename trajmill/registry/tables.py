@@ -91,7 +91,7 @@ def trajectories(spark: SparkSession, sf: str) -> DataFrame:
         .where(F.col("last").isNotNull())
     )
     conv = conv.withColumn("log", F.filter("log", lambda t: t["turn"] <= F.col("last")))
-    text = F.element_at("log", -1)["content"]
+    text = F.try_element_at("log", F.lit(-1))["content"]
     fenced = (
         F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Answer:\n```python\n"), text, F.lit("\n```\nDone")))
         .when(F.col("conv_id") % 3 == 1, F.concat(F.lit("Answer:\n```python\n"), text))

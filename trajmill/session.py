@@ -23,19 +23,25 @@ def local_session(cores: str = "8", app: str = "trajmill") -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Only a local session may go without the setting: it gets a fresh temporary
-    folder, stored back into the session so that later calls agree.
+    Only a local session may go without the setting: it gets a temporary folder, the same
+    one for all of its calls.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="trajmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    app = context.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="trajmill-")
+    return _LOCAL_FOLDERS[app]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -67,7 +67,9 @@ def metric_lines(metrics: DataFrame) -> DataFrame:
 
 def write_metric_lines(metrics: DataFrame, path: str) -> None:
     """One text folder per run and metric, lines in order; a metric has few lines."""
-    lines = metric_lines(metrics).repartition("run", "metric").sortWithinPartitions("x")
+    # The writer keeps an order that starts with its own partition columns.
+    lines = metric_lines(metrics).repartition("run", "metric")
+    lines = lines.sortWithinPartitions("run", "metric", "x")
     lines.select("run", "metric", "line").write.partitionBy("run", "metric").text(path)
 
 
