@@ -19,17 +19,19 @@ def pass_at(n: Column, c: Column, k: Column) -> Column:
     return F.when(terms <= 0, 0.0).otherwise(1 - F.aggregate(steps, F.lit(1.0), factor))
 
 
-def best_of_weight(n: Column, rank: Column, size: int) -> Column:
-    """Chance that the row of 0-based ``rank`` is the best of min(size, n) rows drawn
-    without replacement: C(n-1-rank, m-1) / C(n, m)."""
-    m = F.least(F.lit(size), n)
-    steps = F.sequence(F.lit(0), F.greatest(m - 2, F.lit(0)).cast("int"))
+def none_better(n: Column, rank: Column, first: int, size: int) -> Column:
+    """One stretch of the chance that the other drawn rows all rank below the row of
+    0-based ``rank``: the factors of draws ``first`` to min(size, n) - 1.
 
-    def factor(chance: Column, j: Column) -> Column:
-        return chance * F.greatest((n - 1 - rank - j) / (n - 1 - j), F.lit(0.0))
+    Over all stretches from 1 the product is C(n-1-rank, m-1) / C(n-1, m-1).
+    """
+    last = F.least(F.lit(size), n) - 1
+    draws = F.sequence(F.lit(first), F.greatest(last, F.lit(first)).cast("int"))
+
+    def factor(chance: Column, d: Column) -> Column:
+        return chance * F.greatest((n - rank - d) / (n - d), F.lit(0.0))
 
-    drawn = m / n
-    return F.when(m < 2, drawn).otherwise(drawn * F.aggregate(steps, F.lit(1.0), factor))
+    return F.when(last < first, 1.0).otherwise(F.aggregate(draws, F.lit(1.0), factor))
 
 
 def histogram_bin(value: Column, low: Column, high: Column, bins: int) -> Column:

@@ -39,17 +39,21 @@ def verifier_features(
 
 
 def pair_differences(pairs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Feature differences chosen - rejected with label 1, and their mirror with label 0.
+    """One row per pair: chosen - rejected with label 1, or its negative with label 0.
 
-    Fitting both without an intercept is exactly the pairwise logistic objective.
+    Both have the same loss without an intercept, so fitting these rows is exactly the
+    pairwise logistic objective. A hash of the pair chooses, to have both labels.
     """
     both = verifier_features(
         verifier_features(pairs, "chosen", "_c", dimensions), "rejected", "_r", dimensions
     )
-    gap = F.zip_with(vector_to_array("_c"), vector_to_array("_r"), lambda c, r: c - r)
-    rows = both.select(F.explode(F.array(F.lit(1.0), F.lit(0.0))).alias("label"), gap.alias("_gap"))
-    signed = F.transform("_gap", lambda x: F.when(F.col("label") == 1.0, x).otherwise(-x))
-    return rows.select("label", array_to_vector(signed).alias("features"))
+    label = F.pmod(F.xxhash64("prompt", "chosen", "rejected"), F.lit(2)).cast("double")
+    gap = F.zip_with(
+        vector_to_array("_c"),
+        vector_to_array("_r"),
+        lambda c, r: F.when(F.col("label") == 1.0, c - r).otherwise(r - c),
+    )
+    return both.withColumn("label", label).select("label", array_to_vector(gap).alias("features"))
 
 
 def train_pair_verifier(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trajmill.functions.draws import draw
 from trajmill.functions.feedback import positive
 from trajmill.functions.messages import prompt_key, response_suffix, shared_prefix_length
-from trajmill.functions.stats import best_of_weight, histogram_bin, pass_at, softplus
+from trajmill.functions.stats import histogram_bin, none_better, pass_at, softplus
 from trajmill.operators import skew
 
 POWERS = (1, 2, 4, 8, 16, 32, 64, 128)
@@ -177,11 +177,8 @@ def best_of_n_exact(
     placed = skew.skew_join(right, sizes_of, [key], ["rank"], "inner", limit)
     # The chance depends on (n, rank) alone, which many prompts share.
     shared = placed.groupBy("n", "rank").agg(F.count(F.lit(1)).alias("rows"))
-    chance = shared.agg(
-        *[
-            F.sum(best_of_weight(F.col("n"), F.col("rank"), n) * F.col("rows")).alias(f"_{n}")
-            for n in sizes
-        ]
+    chance = _best_chances(shared, sizes).agg(
+        *[F.sum(F.col(f"_{n}") * F.col("rows")).alias(f"_{n}") for n in sizes]
     )
     total = sizes_of.agg(F.count(F.lit(1))).scalar()
     cells = [
@@ -194,6 +191,20 @@ def best_of_n_exact(
     return chance.select(F.inline(F.array(*cells)))
 
 
+def _best_chances(df: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """Add ``_N``: the chance that the row of ``rank`` is the best of min(N, n) drawn ones.
+    Each N goes on from the product of the one before."""
+    before, done = 1, F.lit(1.0)
+    for size in sorted(sizes):
+        step = none_better(F.col("n"), F.col("rank"), before, size)
+        df = df.withColumn(f"_no_{size}", F.when(done == 0, 0.0).otherwise(done * step))
+        before, done = size, F.col(f"_no_{size}")
+    drawn = {
+        f"_{n}": F.least(F.lit(n), F.col("n")) / F.col("n") * F.col(f"_no_{n}") for n in sizes
+    }
+    return df.withColumns(drawn)
+
+
 def best_of_n_oracle(
     df: DataFrame, sizes: tuple[int, ...] = POWERS, key: str = "data_id"
 ) -> DataFrame:
