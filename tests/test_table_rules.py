@@ -190,7 +190,7 @@ def test_relabelled_set(spark):
     assert stage.count() == 6
 
 
-def test_pairs(spark, scored):
+def test_pairs(spark, scored, tmp_path):
     by = groups(scored)
     both = {d for d, g in by.items() if 0 < sum(r["label"] for r in g) < len(g)}
     assert {r["data_id"] for r in P.prompts_with_both(scored).collect()} == both
@@ -200,7 +200,7 @@ def test_pairs(spark, scored):
     assert all(labels[p["chosen_ID"]] and not labels[p["rejected_ID"]] for p in pairs)
     missing = P.missing_side_counts(scored).first()
     assert missing["prompts"] == len(by) and missing["no_pairs"] == len(by) - len(both)
-    flat = stages.preference_pairs(nested(spark), 4)
+    flat = stages.preference_pairs(nested(spark), str(tmp_path / "flat"), 4)
     assert text(flat.select("prompt", "chosen").distinct(), "prompt", "chosen") == [("q0", "a0")]
     assert flat.count() == 4
 

@@ -70,8 +70,8 @@ def continue_conversations(spark, sf):
     return rows.select("ID", t.digest("messages").alias("messages"), F.size("messages").alias("n"))
 
 
-# Events of one user on one day are the turns of one rollout, in id order.
-TURN_LOG = """, log AS (SELECT data_id * 1000 + (o // 4)::BIGINT AS rollout_id, data_id, (o % 4)::INT AS step,
+# Four events of one user in a row are the turns of one rollout.
+TURN_LOG = """, log AS (SELECT data_id||'-'||(o // 4)::BIGINT AS rollout_id, data_id, (o % 4)::INT AS step,
   'code '||ID AS action, public, private, label AS success
   FROM (SELECT *, row_number() OVER (PARTITION BY data_id ORDER BY ID) - 1 AS o FROM rollouts_ev)),
 cut AS (SELECT *, min(step) FILTER (success) OVER (PARTITION BY rollout_id) AS won FROM log WHERE step < 3),
@@ -87,7 +87,7 @@ SELECT rollout_id, max(data_id) AS data_id,
 def assemble_conversations(spark, sf):
     events = number_by_id(t.rollouts_ev(spark, sf), ["data_id"], "ID", "o")
     log = events.select(
-        (F.col("data_id") * 1000 + F.floor(F.col("o") / 4)).alias("rollout_id"),
+        F.concat_ws("-", "data_id", F.floor(F.col("o") / 4)).alias("rollout_id"),
         "data_id",
         (F.col("o") % 4).cast("int").alias("step"),
         F.concat(F.lit("code "), "ID").alias("action"),

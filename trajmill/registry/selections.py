@@ -11,6 +11,7 @@ from trajmill.operators import selection as E
 from trajmill.plans import stages
 from trajmill.registry import query
 from trajmill.registry import tables as t
+from trajmill.session import new_folder
 
 D = t.digest_sql
 OK = f"(public = '{t.SUCCESS}')::INT"
@@ -291,7 +292,7 @@ FROM p JOIN flat a ON a.ID = chosen_ID JOIN flat b ON b.ID = rejected_ID""",
 def preference_pairs(spark, sf):
     # The position of a completion in its conversation makes the flattened rows unique.
     rollouts = t.trajectories(spark, sf)
-    pairs = stages.preference_pairs(rollouts)
+    pairs = stages.preference_pairs(rollouts, new_folder(spark, "flat"))
     return pairs.select(
         "prompt_key", "draw", *[t.digest(c).alias(c) for c in ("chosen", "rejected")]
     )

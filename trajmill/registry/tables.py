@@ -77,11 +77,24 @@ def beam(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# A rollout row holds at most this many turns; a longer conversation gives several.
+SEGMENT = 4096
+_SEGMENT_BITS = 40
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages with the id of their rollout, so that no group grows without bound."""
+    segment = F.floor(F.col("turn") / SEGMENT)
+    return table(spark, sf, "conversations").withColumn(
+        "conv_id", F.col("conv_id") + F.shiftleft(segment, _SEGMENT_BITS)
+    )
+
+
 def trajectories(spark: SparkSession, sf: str) -> DataFrame:
     """Nested rollouts from conversations: everything up to the last assistant turn."""
     turn = F.struct("turn", "role", F.col("text").alias("content"))
     conv = (
-        table(spark, sf, "conversations")
+        _segments(spark, sf)
         .where(F.col("role").isin("user", "assistant"))
         .groupBy("conv_id")
         .agg(
@@ -132,7 +145,7 @@ def conversations(spark: SparkSession, sf: str) -> DataFrame:
     turn = F.struct("turn", "role", F.col("text").alias("content"))
     log = F.array_sort(F.collect_list(turn))
     return (
-        table(spark, sf, "conversations")
+        _segments(spark, sf)
         .groupBy(F.col("conv_id").alias("ID"))
         .agg(
             F.transform(
@@ -339,7 +352,10 @@ def space_sql() -> str:
     return "||".join(f"chr({ord(c)})" for c in C.WHITESPACE)
 
 
-_MSG = "{'role': %s, 'content': %s}"
+SEGMENTS = (
+    f"(SELECT conv_id + (turn // {SEGMENT}) * {1 << _SEGMENT_BITS} AS conv_id, turn, role, text "
+    "FROM conversations) m"
+)
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "rollouts_ev": (
@@ -379,14 +395,14 @@ QUALIFY row_number() OVER (PARTITION BY data_id, search_id, turn
         'private': CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN '{SUCCESS}' ELSE 'AssertionError' END}}
        ORDER BY turn) FILTER (role = 'assistant') AS feedbacks
 FROM (SELECT *, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS la
-      FROM conversations WHERE role IN ('user','assistant')) c
+      FROM {SEGMENTS} WHERE role IN ('user','assistant')) c
 LEFT JOIN labels l ON l.doc_id = c.conv_id
 WHERE turn <= la GROUP BY c.conv_id""",
     ),
     "convs": (
         (),
-        """SELECT conv_id AS ID, list({'role': role, 'content': text} ORDER BY turn) AS conversation
-FROM conversations GROUP BY conv_id""",
+        f"""SELECT conv_id AS ID, list({{'role': role, 'content': text}} ORDER BY turn) AS conversation
+FROM {SEGMENTS} GROUP BY conv_id""",
     ),
     "doc_rollouts": (
         (),
