@@ -184,11 +184,11 @@ def best_of_n_exact(
     cells = [
         F.struct(
             F.lit(n).alias("n"),
-            (F.coalesce(F.col(f"_{n}"), F.lit(0.0)) / total).alias("solve_rate"),
+            (F.coalesce(F.col(f"_{n}"), F.lit(0.0)) / F.col("_total")).alias("solve_rate"),
         )
         for n in sizes
     ]
-    return chance.select(F.inline(F.array(*cells)))
+    return chance.withColumn("_total", total).select(F.inline(F.array(*cells)))
 
 
 def _best_chances(df: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
@@ -221,9 +221,11 @@ def best_of_n_oracle(
 def label_distribution(df: DataFrame, bins: int = 10, key: str = "data_id") -> DataFrame:
     """Histogram of right rollouts per prompt, empty bins left out."""
     counts = prompt_counts(df, key).groupBy("c").agg(F.count(F.lit(1)).alias("prompts"))
-    low, high = counts.agg(F.min("c")).scalar(), counts.agg(F.max("c")).scalar()
+    ends = counts.agg(F.struct(F.min("c").alias("low"), F.max("c").alias("high"))).scalar()
+    place = histogram_bin(F.col("c"), F.col("_ends.low"), F.col("_ends.high"), bins)
     return (
-        counts.withColumn("bin", histogram_bin(F.col("c"), low, high, bins))
+        counts.withColumn("_ends", ends)
+        .withColumn("bin", place)
         .groupBy("bin")
         .agg(F.sum("prompts").alias("prompts"))
     )

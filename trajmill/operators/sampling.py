@@ -39,11 +39,6 @@ def missing_side_counts(df: DataFrame, key: str = "data_id") -> DataFrame:
     )
 
 
-def _numbered_ids(df: DataFrame, key: str, limit: int, slot_bits: int) -> DataFrame:
-    narrow = df.select(key, "ID", positive(F.col("label")).alias("label"))
-    return skew.number_by_id(narrow, [key, "label"], "ID", "_no", limit, slot_bits)
-
-
 def _draws(counts: DataFrame, samples: int) -> DataFrame:
     numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))
     return counts.withColumn("draw", F.explode(numbers))
@@ -61,25 +56,34 @@ def sample_pair_ids(
     Returns ``(key, draw, chosen_ID, rejected_ID, first_ID)``; ``first_ID`` is the first
     positive, whose prompt stands for the group.
     """
-    numbered = _numbered_ids(df, key, limit, slot_bits)
-    draws = (
-        _draws(prompts_with_both(df, key), samples)
-        .withColumn("_c", draw("c", F.col(key), F.col("draw")) % F.col("n_pos"))
-        .withColumn("_r", draw("r", F.col(key), F.col("draw")) % F.col("n_neg"))
+    label = positive(F.col("label"))
+    narrow = df.select(key, "ID", label.alias("label"))
+    numbered = skew.number_by_id(narrow, [key, "label"], "ID", "_no", limit, slot_bits)
+    sides = (
+        narrow.groupBy(key)
+        .agg(
+            F.count_if("label").alias("n_pos"),
+            F.count_if(~F.col("label")).alias("n_neg"),
+            F.min(F.when(F.col("label"), F.col("ID"))).alias("first_ID"),
+        )
+        .where((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
     )
 
-    def side(label: bool, at: str, name: str) -> DataFrame:
-        rows = numbered.where(F.col("label") == label)
-        return rows.select(key, F.col("_no").alias(at), F.col("ID").alias(name))
+    def pick(seed: str, good: bool, size: str) -> Column:
+        at = draw(seed, F.col(key), F.col("draw")) % F.col(size)
+        return F.struct(F.lit(good).alias("label"), at.alias("_no"))
 
-    firsts = (
-        df.where(positive(F.col("label"))).groupBy(key).agg(F.min("ID").alias("first_ID"))
-    )
+    # Both sides of a draw look their row up in the same numbered table.
+    picks = F.array(pick("c", True, "n_pos"), pick("r", False, "n_neg"))
+    wanted = _draws(sides, samples).select(key, "draw", "first_ID", F.inline(picks))
     return (
-        draws.join(side(True, "_c", "chosen_ID"), [key, "_c"])
-        .join(side(False, "_r", "rejected_ID"), [key, "_r"])
-        .join(firsts, key)
-        .select(key, "draw", "chosen_ID", "rejected_ID", "first_ID")
+        wanted.join(numbered, [key, "label", "_no"])
+        .groupBy(key, "draw")
+        .agg(
+            F.max(F.when(F.col("label"), F.col("ID"))).alias("chosen_ID"),
+            F.max(F.when(~F.col("label"), F.col("ID"))).alias("rejected_ID"),
+            F.max("first_ID").alias("first_ID"),
+        )
     )
 
 

@@ -6,7 +6,7 @@ won that turn; ``turn`` counts from 1.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajmill.functions.feedback import passed, passed_private
@@ -35,26 +35,29 @@ def align_turns(df: DataFrame, turns: int) -> DataFrame:
 
 
 def check_turn_chain(df: DataFrame) -> DataFrame:
-    """One row with the number of violations of each rule of a turn table."""
-    earlier = df.select(
-        *SEARCH, (F.col("turn") + 1).alias("turn"), F.col("prompt").alias("_earlier")
-    )
-    linked = df.join(earlier, [*SEARCH, "turn"], "left")
+    """One row with the number of violations of each rule of a turn table.
+
+    A search has one row per turn, so the window sorts a handful of rows per search.
+    """
+    turns = Window.partitionBy(*SEARCH).orderBy("turn")
+    before = F.struct("turn", "prompt")
+    linked = df.withColumn("_before", F.lag(before).over(turns))
+    earlier = F.when(F.col("_before.turn") == F.col("turn") - 1, F.col("_before.prompt"))
+    linked = linked.withColumn("_earlier", earlier)
     prefix = F.slice("prompt", F.lit(1), F.size("_earlier"))
 
     def count_bad(ok: Column) -> Column:
         return F.count_if(~F.coalesce(ok, F.lit(False)))
 
     first = F.col("turn") == 1
+    found = F.col("_earlier").isNotNull()
     return linked.agg(
         F.count(F.lit(1)).alias("rows"),
         count_bad(F.size("prompt") == 2 * F.col("turn") - 1).alias("bad_prompt_length"),
         count_bad(F.size("completion") == 1).alias("bad_completion"),
         count_bad(F.size("feedbacks") == 1).alias("bad_feedback"),
-        count_bad(first | F.col("_earlier").isNotNull()).alias("missing_earlier_turn"),
-        F.count_if(F.col("_earlier").isNotNull() & (prefix != F.col("_earlier"))).alias(
-            "broken_prefix"
-        ),
+        count_bad(first | found).alias("missing_earlier_turn"),
+        F.count_if(F.when(found, prefix != F.col("_earlier"))).alias("broken_prefix"),
     )
 
 
@@ -77,16 +80,26 @@ def _turns(df: DataFrame, turns: int) -> DataFrame:
 
 
 def turn_report(df: DataFrame, turns: int) -> DataFrame:
-    """Shares of searches solved by each turn: truly, and by public tests alone."""
+    """Per turn: searches solved by then, searches that passed the public tests by then,
+    and problems that any search has solved by then, as shares, from one aggregate."""
     by_turn = F.coalesce(F.col("decided_turn") <= F.col("turn"), F.lit(False))
-    return (
+    solved = (by_turn & F.coalesce("private_ok", F.lit(False))).cast("int")
+    problems = (
         _turns(search_outcomes(df), turns)
-        .groupBy("turn")
+        .groupBy("data_id", "turn")
         .agg(
-            F.avg((by_turn & F.coalesce("private_ok", F.lit(False))).cast("int")).alias("success"),
-            F.avg(by_turn.cast("int")).alias("public_success"),
+            F.count(F.lit(1)).alias("searches"),
+            F.sum(solved).alias("solved"),
+            F.sum(by_turn.cast("int")).alias("passed"),
+            F.max(solved).alias("any"),
         )
     )
+    searches = F.sum("searches")
+    return problems.groupBy("turn").agg(
+        (F.sum("solved") / searches).alias("success"),
+        (F.sum("passed") / searches).alias("public_success"),
+        F.avg("any").alias("any_success"),
+    )
 
 
 def turn_success(df: DataFrame, turns: int) -> DataFrame:
@@ -101,11 +114,4 @@ def turn_public_success(df: DataFrame, turns: int) -> DataFrame:
 
 def turn_any_success(df: DataFrame, turns: int) -> DataFrame:
     """Share of problems that at least one search has solved by each turn."""
-    solved = F.when(F.col("private_ok"), F.col("decided_turn"))
-    problems = search_outcomes(df).groupBy("data_id").agg(F.min(solved).alias("solved_turn"))
-    by_turn = F.coalesce(F.col("solved_turn") <= F.col("turn"), F.lit(False))
-    return (
-        _turns(problems, turns)
-        .groupBy("turn")
-        .agg(F.avg(by_turn.cast("int")).alias("any_success"))
-    )
+    return turn_report(df, turns).select("turn", "any_success")

@@ -65,30 +65,29 @@ def search_winners(
 
 def search_report(winners: DataFrame, turns: int) -> DataFrame:
     """``(metric, x, value)`` of a multi-turn search."""
-    shares = R.turn_report(winners, turns)
-    solved = R.turn_any_success(winners, turns)
-    return union_runs(
-        _rows(shares, "turn_success", "turn", "success"),
-        _rows(shares, "turn_public_success", "turn", "public_success"),
-        _rows(solved, "turn_any_success", "turn", "any_success"),
-    )
+    shares = ("success", "public_success", "any_success")
+    return _long(R.turn_report(winners, turns), "turn", {f"turn_{c}": c for c in shares})
 
 
 def rollout_report(scored: DataFrame, key: str = "data_id") -> DataFrame:
     """``(metric, x, value)`` of a table of scored rollouts."""
-    top = M.best_k_of_n(scored, key=key)
+    top = {"best_k_accuracy": "accuracy", "best_k_precision": "precision"}
     return union_runs(
-        _rows(M.pass_at_k_curve(scored, key), "pass_at_k", "k", "pass_at_k"),
-        _rows(M.best_of_n_exact(scored, key=key), "best_of_n", "n", "solve_rate"),
-        _rows(M.best_of_n_oracle(scored, key=key), "best_of_n_oracle", "n", "solve_rate"),
-        _rows(top, "best_k_accuracy", "k", "accuracy"),
-        _rows(top, "best_k_precision", "k", "precision"),
+        _long(M.pass_at_k_curve(scored, key), "k", {"pass_at_k": "pass_at_k"}),
+        _long(M.best_of_n_exact(scored, key=key), "n", {"best_of_n": "solve_rate"}),
+        _long(M.best_of_n_oracle(scored, key=key), "n", {"best_of_n_oracle": "solve_rate"}),
+        _long(M.best_k_of_n(scored, key=key), "k", top),
     )
 
 
-def _rows(df: DataFrame, metric: str, x: str, value: str) -> DataFrame:
-    return df.select(
-        F.lit(metric).alias("metric"),
-        F.col(x).cast("int").alias("x"),
-        F.col(value).cast("double").alias("value"),
-    )
+def _long(df: DataFrame, x: str, metrics: dict[str, str]) -> DataFrame:
+    """One row per metric and ``x`` from a column per metric."""
+    cells = [
+        F.struct(
+            F.lit(metric).alias("metric"),
+            F.col(x).cast("int").alias("x"),
+            F.col(value).cast("double").alias("value"),
+        )
+        for metric, value in metrics.items()
+    ]
+    return df.select(F.inline(F.array(*cells)))

@@ -192,7 +192,7 @@ UNION ALL SELECT data_id, {D("prompt[1:i]")}, {D("completion")}, label FROM u WH
     )
 )
 def iteration_training_set(spark, sf):
-    scored = t.trajectories(spark, sf)
+    scored = t.stored_trajectories(spark, sf)
     base = scored.select("data_id", "prompt", "completion", "label")
     return _training(stages.iteration_training_set(scored, base, 2, 3))
 
@@ -271,7 +271,7 @@ FROM p JOIN traj a ON a.ID = chosen_ID JOIN traj b ON b.ID = rejected_ID JOIN f
     )
 )
 def sample_pairs(spark, sf):
-    pairs = P.sample_pairs(t.trajectories(spark, sf))
+    pairs = P.sample_pairs(t.stored_trajectories(spark, sf))
     return pairs.select(
         "data_id", "draw", *[t.digest(c).alias(c) for c in ("prompt", "chosen", "rejected")]
     )
@@ -311,7 +311,7 @@ FROM dr JOIN g USING (data_id, no)""",
     )
 )
 def upsample_positives(spark, sf):
-    rows = P.upsample_positives(t.trajectories(spark, sf), 100)
+    rows = P.upsample_positives(t.stored_trajectories(spark, sf), 100)
     return rows.select(
         "data_id", "draw", "source_ID", t.digest("prompt").alias("prompt"),
         t.digest("completion").alias("completion"), "label",

@@ -9,6 +9,8 @@ from trajmill import constants as C
 from trajmill.functions.draws import draw
 from trajmill.functions.messages import joined
 from trajmill.operators import skew
+from trajmill.session import new_folder
+from trajmill.sources.sinks import write_once
 
 # --- Spark ------------------------------------------------------------------
 
@@ -140,6 +142,11 @@ def trajectories(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a written table, for operators that read some columns several times."""
+    return write_once(trajectories(spark, sf), new_folder(spark, "trajectories"))
+
+
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
     """All messages of each conversation, whatever it ends with."""
     turn = F.struct("turn", "role", F.col("text").alias("content"))

@@ -117,7 +117,7 @@ FROM p JOIN traj a ON a.ID = chosen_ID JOIN traj b ON b.ID = rejected_ID JOIN f
     )
 )
 def pair_token_features(spark, sf):
-    rows = K.pair_token_features(P.sample_pairs(t.trajectories(spark, sf)))
+    rows = K.pair_token_features(P.sample_pairs(t.stored_trajectories(spark, sf)))
     names = ("input_ids_chosen", "input_ids_rejected", "input_ids_prompt")
     return rows.select("data_id", "draw", *[_text(c).alias(c) for c in names])
 
@@ -191,7 +191,7 @@ def verifier_features(spark, sf):
 @query()
 def train_pair_verifier(spark, sf):
     # Read by the fit and by both scorings: stored once.
-    drawn = P.sample_pairs(t.trajectories(spark, sf))
+    drawn = P.sample_pairs(t.stored_trajectories(spark, sf))
     pairs = write_once(drawn, new_folder(spark, "pairs"))
     model = L.train_pair_verifier(pairs, iterations=10)
     for side in ("chosen", "rejected"):
