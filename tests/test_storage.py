@@ -99,6 +99,9 @@ def test_write_once(spark, tmp_path):
     folder = str(tmp_path / "t")
     assert sinks.write_once(spark.range(3), folder).count() == 3
     assert sinks.write_once(spark.range(9), folder).count() == 3
+    # A stopped writer leaves files without a success marker.
+    (tmp_path / "t/_SUCCESS").unlink()
+    assert sinks.write_once(spark.range(9), folder).count() == 9
 
 
 def test_metric_lines(spark, tmp_path):

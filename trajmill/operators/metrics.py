@@ -78,7 +78,10 @@ def _curve(same: DataFrame, keys: list[str], max_k: int) -> DataFrame:
 
 
 def pass_at_k_curve(df: DataFrame, key: str = "data_id", max_k: int = 1024) -> DataFrame:
-    """pass@k for k = 1..n, up to the report's last k; prompts with n < k are left out."""
+    """pass@k for k = 1..n, up to the report's last k; prompts with n < k are left out.
+
+    Every prompt counts whatever its n. pass_at_k gives any single k beyond the curve.
+    """
     return _curve(_same_counts(prompt_counts(df, key), []), [], max_k)
 
 

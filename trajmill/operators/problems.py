@@ -107,7 +107,8 @@ def pending_rollouts(problems: DataFrame, done: DataFrame, rollouts: int) -> Dat
     """``(data_id, rollout_no)`` still to be produced; ``rollouts`` numbers per problem."""
     numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(rollouts - 1).cast("bigint"))
     wanted = problems.select("data_id", F.explode(numbers).alias("rollout_no"))
-    return wanted.join(done.select("data_id", "rollout_no"), ["data_id", "rollout_no"], "left_anti")
+    found = done.select("data_id", "rollout_no").distinct()
+    return wanted.join(found, ["data_id", "rollout_no"], "left_anti")
 
 
 def rollout_progress(problems: DataFrame, done: DataFrame, batch: int) -> DataFrame:

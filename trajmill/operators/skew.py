@@ -198,7 +198,8 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join where a key may repeat without bound in ``big`` but only a few times in
     ``small``. Rows of a hot key are dealt over ``rows / limit`` shares by a hash of the
-    ``spread`` columns, and the matching small rows are repeated once per share."""
+    ``spread`` columns, which must tell rows apart, and the matching small rows are
+    repeated once per share."""
     hot = _with_shares(hot_groups(big, keys, limit), limit)
     dealt = _deal(big, hot, keys, spread).withColumn("_share", F.coalesce("_share", F.lit(0)))
     repeated = (

@@ -15,10 +15,21 @@ def append_rollouts(df: DataFrame, path: str, run: str) -> None:
     df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
 
 
+def _is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a writer has finished the folder: a killed job leaves no success marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def write_once(df: DataFrame, path: str) -> DataFrame:
-    """Write a derived table unless it is there already, and read it back."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a derived table unless it is there already, and read it back.
+
+    A folder that a stopped job left half written is written anew.
+    """
+    spark = df.sparkSession
+    if not _is_complete(spark, path):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stringify_nested(df: DataFrame) -> DataFrame:
