@@ -108,7 +108,7 @@ def _split(spark, sf, dataset, literal=False):
 
 
 EXTRA = f"array_to_string(challenge_test_list, {NL})"
-LITERAL = "'[''assert f(-1) == -1'', \"assert f(\\\"it''s\\\")\"]'"
+LITERAL = L(str(["assert f(-1) == -1", 'assert f("it\'s")']))
 REST = f"array_to_string(test_list[2:], {NL})"
 
 
@@ -126,6 +126,11 @@ def split_tests_mbpp(spark, sf):
     return _split(spark, sf, "mbpp")
 
 
+@query(_mbpp_sql(LITERAL))
+def split_tests_mbpp_literal(spark, sf):
+    return _split(spark, sf, "mbpp", literal=True)
+
+
 @query(
     t.sql(
         f"""SELECT data_id, md5({TRAIN_PUBLIC}) AS public_code,
