@@ -30,6 +30,12 @@ def binary_verifier_metrics(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+# Means of two-digit rewards can end in a five at the seventh digit, where the order of
+# a sum would decide the rounding; with nine digits, or an uneven factor, they cannot.
+DIGITS = {"chosen_rewards": 9, "rejected_rewards": 9, "reward_margin": 9}
+PENALTY = 0.0069314718
+
+
 @query(
     t.sql(
         f""", {pair_sql("rollouts_ev")},
@@ -37,8 +43,8 @@ m AS (SELECT a.reward AS c, b.reward AS r, a.reward - b.reward AS d
   FROM p JOIN rollouts_ev a ON a.ID = chosen_ID JOIN rollouts_ev b ON b.ID = rejected_ID)
 SELECT round(avg((c > r)::INT), 6) AS accuracy,
   round(avg(greatest(-d, 0) + ln(1 + exp(-abs(d)))), 6) AS loss,
-  round(avg(c), 6) AS chosen_rewards, round(avg(r), 6) AS rejected_rewards, round(avg(d), 6) AS reward_margin,
-  round(0.01 * avg((c * c + r * r) / 2), 6) AS penalty FROM m""",
+  round(avg(c), 9) AS chosen_rewards, round(avg(r), 9) AS rejected_rewards, round(avg(d), 9) AS reward_margin,
+  round({PENALTY}::DOUBLE * avg((c * c + r * r) / 2), 6) AS penalty FROM m""",
         "rollouts_ev",
     )
 )
@@ -48,8 +54,8 @@ def pair_verifier_metrics(spark, sf):
     for side in ("chosen", "rejected"):
         score = rows.select(F.col("ID").alias(f"{side}_ID"), F.col("reward").alias(f"{side}_reward"))
         pairs = pairs.join(score, f"{side}_ID")
-    out = M.pair_verifier_metrics(pairs, 0.01)
-    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+    out = M.pair_verifier_metrics(pairs, PENALTY)
+    return out.select(*[F.round(c, DIGITS.get(c, 6)).alias(c) for c in out.columns])
 
 
 # --- tokens -------------------------------------------------------------------
