@@ -5,11 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajmill.llm import chat, simhash, warc
+from trajmill.llm import chat, mixing, simhash, topk, warc
 from trajmill.llm.shared import read
 from trajmill.session import new_folder
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixing.count_words(F.col("text")).alias("size")
+    )
+    found = mixing.allocate(docs, F.col("size"))
+    return found.select(
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+OP2_SQL = """
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+        (('0x' || substr(md5('0|' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+    FROM documents),
+s AS (
+    SELECT source, sum(size)::DOUBLE AS words,
+        [3::DOUBLE, 1::DOUBLE, 2::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+    FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 2 * words / weight, source NULLS LAST) AS place FROM s),
+l AS (
+    SELECT *, (1.5::DOUBLE * sum(words) OVER () - (sum(2 * words) OVER (ORDER BY place) - 2 * words))
+        / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM o),
+t AS (
+    SELECT source, words, least((SELECT min_by(level, place) FROM l WHERE level * weight <= 2 * words) * weight, 2 * words) AS target
+    FROM l),
+e AS (SELECT *, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END AS whole FROM t),
+c AS (SELECT *, target - whole * words AS budget, CASE WHEN words > 0 THEN (target - whole * words) / words ELSE 0 END AS chance FROM e),
+r AS (
+    SELECT d.doc_id, d.size, c.words, c.target, c.whole, c.budget, c.chance,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY CASE WHEN c.chance > 0 THEN u / (1 - u) / (c.chance / (1 - c.chance)) END, d.doc_id, d.size
+            ROWS UNBOUNDED PRECEDING) - d.size AS before
+    FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, size::BIGINT AS size, words::BIGINT AS source_size, target,
+    (size * (whole + CASE WHEN chance > 0 AND before + size / 2.0 <= budget THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(
@@ -114,9 +154,30 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
 FROM m
 """
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP6_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
     "op5_warc": op5_warc,
+    "op6_topk": op6_topk,
 }
-ORACLES = {"op4_chat": OP4_SQL, "op5_warc": OP5_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op4_chat": OP4_SQL, "op5_warc": OP5_SQL, "op6_topk": OP6_SQL}
