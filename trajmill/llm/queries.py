@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajmill.llm import chat, mixing, simhash, topk, warc
+from trajmill.llm import chat, licences, mixing, simhash, topk, warc
 from trajmill.llm.shared import read
 from trajmill.session import new_folder
 
@@ -173,11 +173,16 @@ r AS (
 SELECT * FROM r WHERE rank <= 10
 """
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents")).drop("matches")
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
     "op5_warc": op5_warc,
     "op6_topk": op6_topk,
+    "op9_licences": op9_licences,
 }
 ORACLES = {"op2_mixing": OP2_SQL, "op4_chat": OP4_SQL, "op5_warc": OP5_SQL, "op6_topk": OP6_SQL}
