@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajmill.llm import chat, licences, mixing, simhash, topk, warc
+from trajmill.llm import chat, language, licences, mixing, simhash, topk, toxicity, warc
 from trajmill.llm.shared import read
 from trajmill.session import new_folder
 
@@ -173,16 +173,30 @@ r AS (
 SELECT * FROM r WHERE rank <= 10
 """
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, model)
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
     "op5_warc": op5_warc,
     "op6_topk": op6_topk,
+    "op7_toxicity": op7_toxicity,
     "op9_licences": op9_licences,
+    "op10_language": op10_language,
 }
 ORACLES = {"op2_mixing": OP2_SQL, "op4_chat": OP4_SQL, "op5_warc": OP5_SQL, "op6_topk": OP6_SQL}
