@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajmill.llm import chat, language, licences, mixing, simhash, topk, toxicity, warc
+from trajmill.llm import chat, decontaminate, language, licences, mixing, simhash, topk, toxicity, warc
 from trajmill.llm.shared import read
 from trajmill.session import new_folder
 
@@ -180,6 +180,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "item_id", F.col("start").alias("first_char"), F.col("end").alias("end_char"), "edits"
+    )
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents")).drop("matches")
 
@@ -196,6 +203,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_topk": op6_topk,
     "op7_toxicity": op7_toxicity,
+    "op8_decontaminate": op8_decontaminate,
     "op9_licences": op9_licences,
     "op10_language": op10_language,
 }
