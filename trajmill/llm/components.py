@@ -27,8 +27,8 @@ def _to_smallest(edges: DataFrame, smallest: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) links between long ids -> (id, component): component is the smallest id that
-    can be reached. Ids without a link to another id, and null ids, have no row."""
+    """(a, b) links between long ids -> (id, component) of all ids with a link to another id:
+    component is the smallest id that can be reached. Null ids have no link."""
     edges = store(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .where("a <> b")
@@ -51,4 +51,5 @@ def components(links: DataFrame) -> DataFrame:
         edges, same, known = after, found == known, found
         if same:
             break
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    stars = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())

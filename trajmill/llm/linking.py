@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajmill.llm.components import components
-from trajmill.llm.shared import store
+from trajmill.llm.shared import small, store
 
 BITS = 64
 
@@ -55,22 +55,24 @@ def link(
     nodes: DataFrame,
     max_bits: int,
     blocks: int,
-    verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
 ) -> DataFrame:
     """(id, fp), ids distinct longs -> (id, component) of all ids that have a link.
 
-    A link is a pair within ``max_bits`` bits that ``verify`` keeps of the (a, b) pairs it
-    is given; component is the smallest id that can be reached.
+    A link is a pair within ``max_bits`` bits that also passes verification: ``prepare`` is given
+    the ids that may have one and returns a function that filters (a, b) pairs. component is
+    the smallest id that can be reached.
     """
     keyed = nodes.select("id", "fp", F.explode(_keys(F.col("fp"), max_bits, blocks)).alias("key"))
     shared = store(
         keyed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("id", "fp"), "id").alias("rep"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "fp")).alias("rep"))
         .where("n > 1")
         .select("key", F.col("rep.id").alias("rep"), F.col("rep.fp").alias("rep_fp")),
         "keys",
     )
-    members = store(keyed.join(shared, "key"), "members")
+    members = store(keyed.join(small(shared), "key"), "members")
+    verify = prepare(members.select("id").distinct()) if prepare else lambda pairs: pairs
     near = distance(F.col("fp"), F.col("rep_fp")) <= max_bits
     first = store(
         verify(
@@ -94,18 +96,21 @@ def link(
         .select("key"),
         "mixed",
     )
-    rest = store(tagged.join(mixed, "key"), "rest")
+    rest = store(tagged.join(small(mixed), "key"), "rest")
     other = rest.select(
         "key",
         F.col("id").alias("id2"),
         F.col("fp").alias("fp2"),
         F.col("component").alias("component2"),
     )
-    second = verify(
+    second = store(
         rest.join(other, "key")
         .where("component < component2")
         .where(distance(F.col("fp"), F.col("fp2")) <= max_bits)
         .select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        .distinct()
+        .distinct(),
+        "second-pairs",
     )
-    return components(first.unionByName(second))
+    if second.isEmpty():
+        return so_far
+    return components(first.unionByName(verify(second)))

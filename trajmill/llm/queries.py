@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajmill.llm import chat, decontaminate, language, licences, mixing, simhash, topk, toxicity, warc
+from trajmill.llm import chat, decontaminate, language, licences, lines, mixing, simhash, topk, toxicity, warc
 from trajmill.llm.shared import read
 from trajmill.session import new_folder
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", "text")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(
         "doc_id", "source", mixing.count_words(F.col("text")).alias("size")
@@ -197,6 +202,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,

@@ -16,6 +16,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast.
+BROADCAST_ROWS = 400_000
+
+
+def small(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if a count finds it small; larger ones are
+    shuffled."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a stored table that nothing will read any more."""
     spark = df.sparkSession
