@@ -240,16 +240,18 @@ class Reader:
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         plain = [t or "" for t in texts]
+        if not self.net.languages:
+            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(plain), "score": [0.0] * len(plain)})
         sums = self.sums(plain)
         letters = sums[:, -1]
         means = sums[:, :-1] / np.maximum(letters, 1)[:, None]
-        best = means.argmax(axis=1) if len(self.net.languages) else np.zeros(len(plain), int)
+        best = means.argmax(axis=1)
         some = np.array([letters[i] > 0 and any(map(str.isalpha, t)) for i, t in enumerate(plain)], dtype=bool)
         names = np.array([*self.net.languages, UNKNOWN], dtype=object)
         return pd.DataFrame(
             {
                 "lang_pred": names[np.where(some, best, -1)],
-                "score": np.where(some, means[np.arange(len(plain)), best] if len(self.net.languages) else 0.0, 0.0),
+                "score": np.where(some, means[np.arange(len(plain)), best], 0.0),
             }
         )
 
@@ -271,12 +273,16 @@ def fit(
         F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")
     ).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     fitting = rows.where(F.length("text") <= longest)
-    first = Window.partitionBy("lang").orderBy("order", "id")
-    ids = fitting.select("lang", F.xxhash64("id").alias("order"), "id")
-    ids = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
-    names = fitting.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
     # Both lists are bounded by the parameters.
-    chosen = store(ids.join(F.broadcast(names.select("lang")), "lang").select("lang", "id", "order").distinct(), "sample")
+    names = store(
+        fitting.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages), "languages"
+    )
+    ids = fitting.select("lang", F.xxhash64("id").alias("order"), "id").join(F.broadcast(names), "lang")
+    # Of the hashes, spread evenly, a few times as many as are needed are compared.
+    low = F.col("order") / float(1 << 64) + 0.5 <= 8.0 * (per_language + 8) / F.col("count")
+    first = Window.partitionBy("lang").orderBy("order", "id")
+    ids = ids.where(low).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
+    chosen = store(ids.select("lang", "id", "order").distinct(), "sample")
     found = fitting.join(F.broadcast(chosen), ["lang", "id"]).orderBy("order", "id", "lang", "text")
     picked = sorted({(r["id"], r["lang"], r["text"]) for r in found.limit(per_language * most_languages).collect()})
     return train([r[2] for r in picked], [r[1] for r in picked], **options)
