@@ -87,11 +87,14 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
     ("cc0-1.0", "dedicated to the public domain under cc0 1 0 universal", ["cc0 1 0"]),
 ]
+#: Words that are rare outside licences.
+RARE = ["license", "hereby", "redistribution"]
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 
 #: A word after A-Z are lower-cased, and before.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Positions are compared in overlapping stretches of twice this many words.
 STRETCH = 8
@@ -116,16 +119,18 @@ def postings(templates: list, rare: int) -> list[tuple[str, int, int, float]]:
     return out
 
 
-def _anchors(templates: list) -> list[str]:
-    """Words one of which every match holds: the rarest of one key phrase of each template."""
-    weight = rarity(templates)
-    of_base = {phrase.split()[-1] for _, phrase in BASE}
-    first = {max(keys[0].split(), key=lambda w: (len(w), weight[w], w)) for _, _, keys in templates}
-    return sorted(of_base | first)
-
-
-def _either(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _maybe(text: Column, templates: list) -> Column:
+    """Whether a text can hold the first key phrase of any template, or a base phrase: a word that
+    is rare outside licences, or, for a phrase without one, the whole phrase."""
+    # lower() maps some letters outside ASCII to ASCII too: it finds too much, never too little.
+    loose = F.lower(text)
+    phrases = {phrase for _, phrase in BASE} | {keys[0] for _, _, keys in templates}
+    found = [F.contains(loose, F.lit(w)) for w in RARE if any(w in p.split() for p in phrases)]
+    for phrase in sorted(p for p in phrases if not any(w in p.split() for w in RARE)):
+        longest = max(phrase.split(), key=lambda w: (len(w), w))
+        whole = f"{_NOT_WORD}+".join(re.escape(w) for w in phrase.split())
+        found.append(F.contains(loose, F.lit(longest)) & loose.rlike(whole))
+    return reduce(lambda a, b: a | b, found)
 
 
 def _base_places(words: Column) -> tuple[Column, Column]:
@@ -163,16 +168,13 @@ def scan(
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    loose = F.lower(body)
-    # lower() maps some letters outside ASCII to ASCII too: it finds too much, never too little.
-    maybe = _either([F.contains(loose, F.lit(a)) for a in _anchors(templates)])
     exact = F.regexp_extract_all(F.translate(body, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
     rows = store(
         docs.select(docs[id_col].alias("id"), docs[text].alias("text")).select(
             F.monotonically_increasing_id().alias("row"),
             "id",
             F.regexp_count(body, F.lit(_RAW_WORD)).cast("long").alias("n_words"),
-            F.when(maybe, exact).alias("words"),
+            F.when(_maybe(body, templates), exact).alias("words"),
         ),
         "licence-words",
     )
