@@ -131,21 +131,27 @@ def _parts(text: str):
     yield text
 
 
-def _training_bags(texts: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket ids by window, where each window starts, document of each window, distinct
-    bucket * documents + document), made in groups of documents to bound the memory."""
-    all_ids, all_sizes, all_docs, all_pairs = [], [], [], []
+def _training_bags(
+    texts: list[str], labels: np.ndarray, shape: Shape
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket ids by window, where each window starts, document of each window, number of documents
+    of each class that hold a bucket), made in groups of documents to bound the memory."""
+    all_ids, all_sizes, all_docs = [], [], []
+    holders = np.zeros((2, shape.buckets))
     for lo in range(0, len(texts), 128):
         ids, windows, window_doc = features(texts[lo : lo + 128], shape)
         all_ids.append(ids[np.argsort(windows, kind="stable")])
         all_sizes.append(np.bincount(windows, minlength=len(window_doc)))
         all_docs.append(window_doc + lo)
-        all_pairs.append(np.unique(ids.astype(np.int64) * len(texts) + window_doc[windows] + lo))
+        pairs = np.unique(ids.astype(np.int64) * 128 + window_doc[windows])
+        truth = labels[lo + pairs % 128]
+        for value in (0, 1):
+            holders[value] += np.bincount(pairs[truth == value] // 128, minlength=shape.buckets)
     starts = np.concatenate([[0], np.cumsum(np.concatenate(all_sizes))])
-    return np.concatenate(all_ids), starts, np.concatenate(all_docs), np.concatenate(all_pairs)
+    return np.concatenate(all_ids), starts, np.concatenate(all_docs), holders
 
 
-def _bag_means(pull: np.ndarray, ids: np.ndarray, starts: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+def _bag_means(pull: np.ndarray, ids: np.ndarray, starts: np.ndarray, at_once: int = 1 << 13) -> np.ndarray:
     out = np.zeros(len(starts) - 1)
     for lo in range(0, len(out), at_once):
         edge = starts[lo : lo + at_once + 1]
@@ -168,16 +174,14 @@ def train(
     soft[:, 0] = -soft[:, 1]
     bias = np.zeros(2, dtype=np.float32)
     seen_v, seen_s, seen_b = np.full(shape.buckets, 1e-6), np.full_like(soft, 1e-6), np.full(2, 1e-6)
-    ids, starts, window_doc, pairs = _training_bags(texts, shape)
-    holders = np.bincount(pairs // len(texts), minlength=shape.buckets)
+    labels = labels.astype(np.int64)
+    ids, starts, window_doc, (clean, toxic) = _training_bags(texts, labels, shape)
     # Buckets that few documents hold keep a zero vector, as buckets never seen do.
-    known = holders >= shape.least_docs
+    known = clean + toxic >= shape.least_docs
     doc_starts = np.searchsorted(window_doc, np.arange(len(texts) + 1))
-    labels = labels.astype(np.int64)
     share = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
     # Vectors start along the softmax by the log odds of the classes among a bucket's holders.
-    toxic = np.bincount(pairs // len(texts), weights=labels[pairs % len(texts)], minlength=shape.buckets)
-    odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((holders - toxic + 0.5) / ((1 - labels).sum() + 1))
+    odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((clean + 0.5) / ((1 - labels).sum() + 1))
     along = soft[:, 1] - soft[:, 0]
     vectors += np.outer(head_start * odds, along / (along @ along)).astype(np.float32)
     vectors[~known] = 0
