@@ -35,29 +35,29 @@ def plain(df, keys, *order):
 @pytest.mark.parametrize("keys", [["data_id"], ["data_id", "label"], []])
 def test_number_by_id(spark, limit, keys):
     df = hot_table(spark)
-    got = skew.number_by_id(df, keys, limit=limit, slot_bits=6)
+    got = skew.number_by_id(df, keys, limit=limit)
     assert rows(got) == rows(plain(df, keys, "ID"))
 
 
 @pytest.mark.parametrize("limit", [20, 200, 10_000])
 def test_number_by_draw(spark, limit):
     df = hot_table(spark).withColumn("d", draw(5, F.col("ID")))
-    got = skew.number_by_draw(df, ["data_id"], "d", limit=limit, slots=64)
+    got = skew.number_by_draw(df, ["data_id"], "d", limit=limit)
     assert rows(got) == rows(plain(df, ["data_id"], "d", "ID"))
-    whole = skew.number_by_draw(df, [], "d", slots=64)
+    whole = skew.number_by_draw(df, [], "d")
     assert rows(whole) == rows(plain(df, [], "d", "ID"))
 
 
 @pytest.mark.parametrize("limit", [1, 20, 200, 10_000])
 def test_number_by_score(spark, limit):
     df = hot_table(spark)
-    got = skew.number_by_score(df, ["data_id"], "reward", limit=limit, slot_bits=5)
+    got = skew.number_by_score(df, ["data_id"], "reward", limit=limit)
     assert rows(got) == rows(plain(df, ["data_id"], F.desc("reward"), "ID"))
 
 
 def test_number_by_score_one_value(spark):
     df = hot_table(spark).withColumn("reward", F.lit(2.5))
-    got = skew.number_by_score(df, ["data_id"], "reward", limit=50, slot_bits=5)
+    got = skew.number_by_score(df, ["data_id"], "reward", limit=50)
     assert rows(got) == rows(plain(df, ["data_id"], "ID"))
 
 
@@ -67,14 +67,15 @@ def test_no_slot_is_large(spark):
     seen = []
     original = skew.number_rows
 
-    def spy(df, keys, order, slot, name, limit):
-        marked = df.withColumn("s", slot)
-        seen.append(marked.where("data_id = 0").groupBy("s").count().agg(F.max("count")).first()[0])
-        return original(df, keys, order, slot, name, limit)
+    def spy(df, keys, order, slot, name, limit, marks):
+        hot = df.where("data_id = 0")
+        marked = hot.join(hot.agg(F.count("*").alias("_rows"), marks.alias("_marks"))).withColumn("s", slot)
+        seen.append(marked.groupBy("s").count().agg(F.max("count")).first()[0])
+        return original(df, keys, order, slot, name, limit, marks)
 
     skew.number_rows = spy
     try:
-        skew.number_by_score(df, ["data_id"], "reward", limit=100, slot_bits=5)
+        skew.number_by_score(df, ["data_id"], "reward", limit=100)
     finally:
         skew.number_rows = original
     total = df.where("data_id = 0").count()
@@ -114,13 +115,59 @@ def test_operators_agree_hot_or_not(spark):
             rows(selection.select_topk_per_search(df, 2, 5, limit=limit)),
             rows(selection.select_all_ranked(df, 5, limit=limit)),
             rows(selection.select_random_k(df, 2, 5, 3, limit)),
-            rows(sampling.sample_pair_ids(df, 8, limit=limit, slot_bits=6)),
+            rows(sampling.sample_pair_ids(df, 8, limit=limit)),
             [
                 (n, round(v, 9))
                 for n, v in rows(metrics.best_of_n_exact(df, (1, 4, 64), limit=limit))
             ],
-            rows(metrics.best_of_n_sampled(df, (1, 4, 64), 3, limit=limit)),
+            rows(metrics.best_of_n_sampled(df, (1, 4, 64), 3)),
         ]
         if limit == 30:
             first = now
     assert first == now
+
+
+SPARSE = {"hashed": lambda i: (i * 0x9E3779B97F4A7C15) % (1 << 63), "far": lambda i: (1 << 47) * (i + 1) + 5}
+
+
+@pytest.mark.parametrize("spread", sorted(SPARSE))
+def test_slots_follow_rows_not_ids(spark, spread):
+    """Ids far apart make as many slots as dense ones."""
+    df = hot_table(spark, ids=SPARSE[spread])
+    got = skew.number_by_id(df, ["data_id"], limit=20)
+    assert rows(got) == rows(plain(df, ["data_id"], "ID"))
+    hot = df.where("data_id = 0")
+    head = F.col("ID")
+    facts = hot.agg(F.count("*").alias("_rows"), skew._id_marks(head).alias("_marks"))
+    slots = hot.join(facts).withColumn("s", skew._id_slot(head, 100)).groupBy("s").count()
+    assert slots.agg(F.max("count")).first()[0] <= 40
+    assert slots.count() <= 2 * skew._ID_PARTS
+
+
+@pytest.mark.parametrize("limit", [10, 10**6])
+def test_null_and_odd_scores_rank_alike(spark, limit):
+    """Nulls come last and NaN first, whether the group is hot or not."""
+    odd = F.when(F.col("ID") % 10 == 0, F.lit(None)).when(F.col("ID") % 17 == 0, float("nan"))
+    df = hot_table(spark).withColumn("reward", odd.otherwise(F.col("reward")))
+    got = skew.number_by_score(df, ["data_id"], "reward", limit=limit)
+    assert rows(got.drop("reward")) == rows(plain(df, ["data_id"], F.desc("reward"), "ID").drop("reward"))
+
+
+def test_apply_group_gives_the_same_rows_at_any_size(spark):
+    df = hot_table(spark).where("data_id is not null").select("data_id", "ID", "reward")
+
+    def middle(rows_):
+        return rows_.sort_values(["reward", "ID"]).iloc[[len(rows_) // 2]]
+
+    whole = [rows(caller_code.apply_group(df, ["data_id"], middle, limit=n)) for n in (50, 10**6)]
+    assert whole[0] == whole[1] and len(whole[0]) == df.select("data_id").distinct().count()
+
+
+def test_pairs_of_far_ids(spark):
+    """Ids as far apart as 2**47 keep their own rows."""
+    ids = [5, (1 << 47) + 5, (1 << 62) + 5]
+    data = [(i, 0, n % 2 == 0, f"text {i}") for n, i in enumerate(ids)]
+    df = spark.createDataFrame(data, "ID bigint, data_id bigint, label boolean, completion string")
+    df = df.withColumn("prompt", F.lit("q"))
+    for r in sampling.sample_pairs(df, 20).collect():
+        assert r["chosen"] == f"text {r['chosen_ID']}" and r["rejected"] == f"text {ids[1]}"

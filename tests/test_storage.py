@@ -203,3 +203,36 @@ def test_running_pass_rate_equals_batch(spark, tmp_path):
     batch = spark.read.schema(ARRIVING).parquet(str(inbox / "*"))
     want = batch.groupBy("data_id").agg(F.count(F.lit(1)), F.count_if("label"))
     assert rows(got) == rows(want)
+
+
+def test_ingest_reads_the_buckets_of_a_batch_only(spark, tmp_path):
+    inbox, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
+    keys = ["data_id", "rollout_no"]
+    send(spark, inbox, "a", 0, 40)
+    ingest.ingest_rollouts(stream(spark, inbox), table, state, keys, buckets=8)
+    assert len(list((tmp_path / "table").glob("run=main/batch=0/bucket=*"))) > 4
+    one = spark.read.schema(ARRIVING).parquet(str(inbox / "a")).where("rollout_no = 3")
+    bucket = one.select(F.pmod(F.xxhash64(*keys), F.lit(8)).alias("b")).first()["b"]
+    # Foreign buckets hold what cannot be read.
+    for part in (tmp_path / "table" / "run=main" / "batch=0").glob("bucket=*/*.parquet"):
+        if f"bucket={bucket}/" not in str(part):
+            part.write_bytes(b"broken")
+            part.with_name(f".{part.name}.crc").unlink()
+    one.coalesce(1).write.parquet(str(inbox / "b"))
+    ingest.ingest_rollouts(stream(spark, inbox), table, state, keys, buckets=8)
+    again = spark.read.parquet(str(tmp_path / "table" / "run=main" / "batch=0" / f"bucket={bucket}"))
+    assert again.where("rollout_no = 3").count() == 1
+    assert not list((tmp_path / "table").glob("run=main/batch=1/bucket=*/*.parquet"))
+
+
+def test_ingest_keeps_a_stated_row_of_repeats(spark, tmp_path):
+    kept = []
+    for n in (1, 5):
+        inbox, table = tmp_path / f"in{n}", str(tmp_path / f"table{n}")
+        send(spark, inbox, "a", 0, 10)
+        rows_ = spark.read.schema(ARRIVING).parquet(str(inbox / "a"))
+        other = rows_.withColumns({f.name: F.lit(True) for f in ARRIVING if f.dataType == T.BooleanType()})
+        other.repartition(n).write.parquet(str(inbox / "b"))
+        ingest.ingest_rollouts(stream(spark, inbox), table, str(tmp_path / f"s{n}"), ["data_id", "rollout_no"])
+        kept.append(rows(ingest.ingested(spark, table, ARRIVING).select(*ARRIVING.names)))
+    assert kept[0] == kept[1] and len(kept[0]) == 10

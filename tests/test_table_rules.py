@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from trajmill import constants as C
+from trajmill.functions.feedback import positive
+from trajmill.functions.messages import joined
 from trajmill.operators import conversations as V
 from trajmill.operators import grading as G
 from trajmill.operators import merge
@@ -70,6 +72,47 @@ def test_pass_at_k_override_and_cap(scored):
     assert M.pass_at_k_curve(scored, max_k=3).count() == 3
 
 
+def test_curves_run_to_n(spark, monkeypatch):
+    """A prompt of 3,000 rollouts has 3,000 points and N = 3,000, in blocks or not."""
+    df = spark.range(3000).select(
+        F.col("id").alias("ID"), F.lit(1).alias("data_id"), (F.col("id") % 1000 == 0).alias("label"),
+        F.sin("id").alias("reward"),
+    )
+    whole = {r["k"]: r["pass_at_k"] for r in M.pass_at_k_curve(df).collect()}
+    assert len(whole) == 3000 and whole[3000] == pytest.approx(1.0)
+    assert whole[1000] == pytest.approx(1 - math.comb(2997, 1000) / math.comb(3000, 1000))
+    monkeypatch.setattr(M, "CURVE_BLOCK", 70)
+    cut = {r["k"]: r["pass_at_k"] for r in M.pass_at_k_curve(df).collect()}
+    assert cut == pytest.approx(whole)
+    sizes = [1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 3000]
+    assert sorted(r["n"] for r in M.best_of_n_oracle(df).collect()) == sizes
+    exact = {r["n"]: r["solve_rate"] for r in M.best_of_n_exact(df).collect()}
+    assert sorted(exact) == sizes
+    best_row = df.orderBy(F.desc("reward"), "ID").first()
+    assert exact[3000] == pytest.approx(float(best_row["label"]))
+    drawn = {r["n"]: r["solve_rate"] for r in M.best_of_n_sampled(df, trials=2).collect()}
+    assert sorted(drawn) == sizes and drawn[3000] == float(best_row["label"])
+
+
+def test_sampled_best_limits_before_the_shuffle(scored):
+    plan = M.best_of_n_sampled(scored, (1, 2)).groupBy().max()._jdf.queryExecution().executedPlan()
+    assert "WindowGroupLimit" in plan.toString()
+
+
+@pytest.mark.parametrize("kind, values", [("double", [0.3, 0.5, 0.51, 1.0]), ("int", [0, 0, 1, 1]), ("boolean", [False, False, True, True])])
+def test_positive_is_over_one_half(spark, kind, values):
+    df = spark.createDataFrame([(v,) for v in values], f"label {kind}")
+    got = [r[0] for r in df.select(positive(F.col("label")), positive(F.col("label"), df)).collect()]
+    assert got == [False, False, True, True]
+    assert V.filter_positive(df).count() == 2
+
+
+def test_null_content_is_empty(spark):
+    message = "array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([([("user", None), (None, "b")],)], f"m {message}")
+    assert df.select(joined(F.col("m"))).first()[0] == "user:\n:b"
+
+
 def best(rows_):
     return max(rows_, key=lambda r: (r["reward"], -r["ID"]))
 
@@ -221,9 +264,11 @@ def test_upsample(spark):
 @pytest.mark.parametrize("n, batch, strict, added", [(10, 4, False, 2), (8, 4, False, 4), (8, 4, True, 0)])
 def test_pad(spark, n, batch, strict, added):
     df = spark.range(n).withColumnRenamed("id", "ID")
-    got = P.pad_to_multiple(df, batch, 5, strict)
-    assert got.count() == n + added
-    assert got.where("padding").count() == added
+    for step in (1, 1000, 1 << 45):
+        got = P.pad_to_multiple(df.select((F.col("ID") * step - 7).alias("ID")), batch, 5, strict)
+        assert got.count() == n + added
+        assert got.where("padding").count() == added
+    assert P.pad_to_multiple(df.where("false"), batch, 5, strict).count() == 0
 
 
 def test_shuffle_and_limit(spark):
@@ -349,6 +394,18 @@ def test_token_rules(spark):
         n = len(r["prompt_code"])
         assert r["input_ids"][:n] == r["prompt_code"] and len(r["attention_mask"]) == len(r["input_ids"])
         assert r["labels"] == [C.IGNORE_LABEL] * n + r["input_ids"][n:]
+    counted = K.token_lengths(df)
+    assert rows(counted.select("ID", "prompt_code", "input_ids")) == rows(
+        features.select("ID", F.size("prompt_code"), F.size("input_ids"))
+    )
+    for lengths in (
+        K.token_length_stats(counted, ["input_ids"]),
+        K.filter_by_length(counted, [("input_ids", 2)]),
+        K.token_length_histogram(counted, ["input_ids"]),
+        K.filter_report(counted.withColumn("split", F.lit("a")), K.within_limits(counted, [("input_ids", 2)])),
+    ):
+        assert "md5" not in lengths._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(K.token_length_stats(counted, ["input_ids"])) == rows(K.token_length_stats(features, ["input_ids"]))
     masked = K.build_token_features(df, train_only_on_prompt=True, mask="all")
     assert K.filter_by_length(masked, [("input_ids", None)], labels="labels").count() == 0
     limits = [("prompt_code", None), ("input_ids", 2)]

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajmill import constants as C
 
 
-def positive(label: Column) -> Column:
-    """Labels may be booleans, 0/1 or floats; the cast also pushes down for booleans."""
-    return label.cast("boolean")
+def positive(label: Column, of: DataFrame | None = None) -> Column:
+    """Whether a label is over one half; labels may be booleans, 0/1 or shares.
+
+    Given the table, a boolean column ``label`` is used as it is, so that it pushes down.
+    """
+    if of is not None and of.schema["label"].dataType.simpleString() == "boolean":
+        return label
+    return label.cast("double") > 0.5
 
 
 def passed(feedback: Column) -> Column:

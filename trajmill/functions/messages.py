@@ -18,10 +18,12 @@ def strip(text: Column) -> Column:
 
 
 def joined(messages: Column) -> Column:
-    """All messages as one text, ``role:content`` per message."""
-    return F.array_join(
-        F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n"
-    )
+    """All messages as one text, ``role:content`` per message; a null part counts as empty."""
+
+    def part(m: Column) -> Column:
+        return F.concat_ws(":", *[F.coalesce(m[c], F.lit("")) for c in ("role", "content")])
+
+    return F.array_join(F.transform(messages, part), "\n")
 
 
 def prompt_key(prompt: Column) -> Column:

@@ -7,13 +7,14 @@ table jobs and makes no claim to its quality. The L2 penalty is on the weights.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajmill.functions.feedback import positive
 from trajmill.functions.messages import joined
+from trajmill.operators.tokens import word_tokens
 
 DIMENSIONS = 512
 
@@ -24,10 +25,11 @@ def verifier_text(prompt: Column, completion: Column) -> Column:
 
 
 def _hashed(df: DataFrame, text: Column, name: str, dimensions: int) -> DataFrame:
-    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\s+")
-    hashing = HashingTF(inputCol="_words", outputCol=name, numFeatures=dimensions)
-    with_words = words.transform(df.withColumn("_text", text))
-    return hashing.transform(with_words).drop("_text", "_words")
+    """Counts of the lower-case words' hashes, which any SQL engine can repeat."""
+    ids = F.transform(word_tokens(F.lower(text), dimensions), lambda i: i.cast("string"))
+    numbers = [str(i) for i in range(dimensions)]
+    counts = CountVectorizerModel.from_vocabulary(numbers, inputCol="_words", outputCol=name)
+    return counts.transform(df.withColumn("_words", ids)).drop("_words")
 
 
 def verifier_features(
@@ -80,13 +82,35 @@ def train_binary_verifier(
     return learner.fit(rows)
 
 
+def score_linear(
+    rollouts: DataFrame, weights: list[float], intercept: float = 0.0, name: str = "reward"
+) -> DataFrame:
+    """Add the margin of a linear scorer: the weights of the words' hashes, summed."""
+    text = verifier_text(F.col("prompt"), F.col("completion"))
+    table = F.array(*[F.lit(float(w)) for w in weights])
+    ids = word_tokens(F.lower(text), len(weights))
+    margin = F.aggregate(ids, F.lit(float(intercept)), lambda acc, i: acc + F.get(table, i))
+    return rollouts.withColumn(name, margin)
+
+
 def score_rollouts(
     model: LogisticRegressionModel, rollouts: DataFrame, name: str = "reward"
 ) -> DataFrame:
     """Add the model's margin as the reward of every rollout."""
-    featured = verifier_features(rollouts, name="features", dimensions=model.numFeatures)
-    scored = model.transform(featured)
-    margin = vector_to_array("rawPrediction").getItem(1)
-    return scored.withColumn(name, margin).select(
-        *[c for c in rollouts.columns if c != name], name
+    return score_linear(rollouts, model.coefficients.toArray().tolist(), model.intercept, name)
+
+
+def gradient(model: LogisticRegressionModel, rows: DataFrame, l2: float) -> DataFrame:
+    """(index, slope): the objective's derivative by each weight over ``features`` and ``label``;
+    all are zero at the minimum."""
+    weights = F.array(*[F.lit(float(w)) for w in model.coefficients.toArray()])
+    dense = vector_to_array("features")
+    margin = F.aggregate(
+        F.zip_with(dense, weights, lambda x, w: x * w), F.lit(float(model.intercept)), lambda a, x: a + x
+    )
+    error = 1 / (1 + F.exp(-margin)) - F.col("label")
+    parts = rows.select(error.alias("error"), F.posexplode(dense).alias("index", "x"))
+    means = parts.groupBy("index").agg(F.avg(F.col("error") * F.col("x")).alias("mean"))
+    return means.select(
+        "index", (F.col("mean") + l2 * F.get(weights, F.col("index"))).alias("slope")
     )

@@ -27,25 +27,25 @@ def apply_group(
     df: DataFrame,
     keys: list[str],
     select: Callable[[pd.DataFrame], pd.DataFrame],
-    spread: list[str],
+    spread: list[str] | None = None,
     limit: int = 100_000,
 ) -> DataFrame:
     """Rows that ``select`` picks from each group.
 
-    ``select`` gets rows of one group and returns those it would keep, such as the five
-    best; picking from picked parts must equal picking from the whole. A group with more
-    than ``limit`` rows is first dealt over shares of about that size, so no task ever
-    holds a whole large group.
+    ``select`` gets all rows of one group and returns those it would keep. With ``spread`` the
+    caller says that picking from picked parts equals picking from the whole, as for the five best
+    rows: then every group is picked from twice, first from shares of about ``limit`` rows dealt by
+    a hash of those columns, then from what they picked, and no task holds a whole large group.
     """
+    if spread is None:
+        return df.groupBy(*keys).applyInPandas(select, df.schema)
     dealt = skew.deal_hot(df, keys, spread, limit)
-    ordinary = dealt.where(F.col("_share").isNull()).drop("_share")
-    parts = dealt.where(F.col("_share").isNotNull())
 
     def select_part(rows: pd.DataFrame) -> pd.DataFrame:
         return select(rows.drop(columns="_share"))
 
-    picked = parts.groupBy(*keys, "_share").applyInPandas(select_part, df.schema)
-    return ordinary.unionByName(picked).groupBy(*keys).applyInPandas(select, df.schema)
+    picked = dealt.groupBy(*keys, "_share").applyInPandas(select_part, df.schema)
+    return picked.groupBy(*keys).applyInPandas(select, df.schema)
 
 
 def score_with(

@@ -88,7 +88,7 @@ def assemble_conversations(
 
 
 def filter_positive(df: DataFrame) -> DataFrame:
-    return df.where(positive(F.col("label")))
+    return df.where(positive(F.col("label"), df))
 
 
 def parse_completions(df: DataFrame, columns: tuple[str, ...] = ("completion",)) -> DataFrame:

@@ -17,7 +17,8 @@ from trajmill.functions.messages import prompt_key, response_suffix, shared_pref
 from trajmill.functions.stats import histogram_bin, none_better, pass_at, softplus
 from trajmill.operators import skew
 
-POWERS = (1, 2, 4, 8, 16, 32, 64, 128)
+#: Points of a curve that one task sums up.
+CURVE_BLOCK = 65_536
 
 
 def with_prompt_key(df: DataFrame, name: str = "prompt_key") -> DataFrame:
@@ -56,37 +57,51 @@ def pass_at_k(
     )
 
 
-def _curve(same: DataFrame, keys: list[str], max_k: int) -> DataFrame:
+def _curve(same: DataFrame, keys: list[str], max_k: int | None) -> DataFrame:
     """Mean of 1 - C(n-c, k) / C(n, k) per k. The ratio gains one factor with each k, so
-    a running sum of logarithms replaces a product per point."""
-    numbers = F.sequence(F.lit(1), F.least(F.col("n"), F.lit(max_k)).cast("int"))
-    points = same.withColumn("k", F.explode(numbers))
+    a running sum of logarithms replaces a product per point. A long curve is summed in
+    blocks of k, each on its own, and shifted by the sums of the blocks before."""
+    last = F.col("n") if max_k is None else F.least(F.col("n"), F.lit(max_k))
+    first_k = F.col("_block") * CURVE_BLOCK + 1
+    points = same.withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.floor((last - 1) / CURVE_BLOCK)))
+    ).withColumn("k", F.explode(F.sequence(first_k, F.least(first_k + CURVE_BLOCK - 1, last))))
     left = F.col("n") - F.col("k") + 1
     factor = F.when(left > F.col("c"), F.log1p(-F.col("c") / left))
-    upto = (
-        Window.partitionBy(*keys, "n", "c")
+    curve = [*keys, "n", "c"]
+    within = (
+        Window.partitionBy(*curve, "_block")
         .orderBy("k")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    fail = F.when(left > F.col("c"), F.exp(F.sum(factor).over(upto))).otherwise(0.0)
+    earlier = (
+        Window.partitionBy(*curve).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    sums = points.groupBy(*curve, "_block").agg(F.sum(factor).alias("_sum"))
+    # Curves of one block need no shift.
+    shifts = sums.withColumn("_shift", F.sum("_sum").over(earlier)).where("_block > 0").drop("_sum")
+    log_fail = F.sum(factor).over(within)
+    placed = points.withColumn("_log", log_fail).join(shifts, [*curve, "_block"], "left")
+    fail = F.when(left > F.col("c"), F.exp(F.col("_log") + F.coalesce("_shift", F.lit(0.0))))
     value = (1 - F.col("_fail")) * F.col("prompts")
     return (
-        points.withColumn("_fail", fail)
+        placed.withColumn("_fail", F.coalesce(fail, F.lit(0.0)))
+        .withColumn("k", F.col("k").cast("int"))
         .groupBy(*keys, "k")
         .agg((F.sum(value) / F.sum("prompts")).alias("pass_at_k"), F.sum("prompts").alias("prompts"))
     )
 
 
-def pass_at_k_curve(df: DataFrame, key: str = "data_id", max_k: int = 1024) -> DataFrame:
-    """pass@k for k = 1..n, up to the report's last k; prompts with n < k are left out.
+def pass_at_k_curve(df: DataFrame, key: str = "data_id", max_k: int | None = None) -> DataFrame:
+    """pass@k for k = 1..n, or up to ``max_k`` on request; prompts with n < k are left out.
 
-    Every prompt counts whatever its n. pass_at_k gives any single k beyond the curve.
+    Every prompt counts whatever its n.
     """
     return _curve(_same_counts(prompt_counts(df, key), []), [], max_k)
 
 
 def pass_at_k_overlay(
-    runs: dict[str, DataFrame], key: str = "data_id", max_k: int = 1024
+    runs: dict[str, DataFrame], key: str = "data_id", max_k: int | None = None
 ) -> DataFrame:
     """The curves of several tables in one result, tagged ``dataset_label``."""
     tagged = [
@@ -122,35 +137,63 @@ def best_k_of_n(df: DataFrame, ks: tuple[int, ...] = (1, 2, 3, 4), key: str = "d
     )
 
 
+def doubling(most: int | None) -> tuple[int, ...]:
+    """1, 2, 4, ... below ``most``, and ``most``."""
+    powers = []
+    while most and 2 ** len(powers) < most:
+        powers.append(2 ** len(powers))
+    return (*powers, most) if most else (1,)
+
+
+def _sizes(counts: DataFrame, sizes: tuple[int, ...] | None) -> tuple[int, ...]:
+    """The sizes asked for, or doubling up to the rollouts of the largest prompt: one number
+    comes to the driver."""
+    return sizes or doubling(counts.agg(F.max("n")).first()[0])
+
+
 def best_of_n_sampled(
     df: DataFrame,
-    sizes: tuple[int, ...] = POWERS,
+    sizes: tuple[int, ...] | None = None,
     trials: int = 25,
     seed: int = 42,
     order_by: str = "reward",
     key: str = "data_id",
-    limit: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Repeated experiment: draw min(N, n) rollouts per prompt, keep the best, is it right.
 
-    The first N rows in draw order are the sample, so one numbering serves every N.
-    Each trial repeats the table: prefer best_of_n_exact on large data.
+    The first N rows in draw order are the sample, so one numbering serves every N. Rows
+    beyond the largest N below n are dropped before the shuffle; for N >= n the sample is the
+    whole prompt, whose best row needs no draw. ``sizes`` double up to n if not given. Each trial
+    repeats the table: prefer best_of_n_exact on large data.
     """
+    counts = prompt_counts(df, key)
+    sizes = _sizes(counts, sizes)
     good = positive(F.col("label"))
     score = F.col("reward") if order_by == "reward" else good.cast("double")
-    drawn = df.select(
-        key,
-        "ID",
-        F.struct(score.alias("score"), (-F.col("ID")).alias("tie"), good.alias("label")).alias(
-            "_row"
-        ),
-        F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"),
-    ).withColumn("_draw", draw(seed, F.col("trial"), F.col("ID")))
-    numbered = skew.number_by_draw(drawn, [key, "trial"], "_draw", "ID", "_no", limit)
-    best = numbered.groupBy(key, "trial").agg(
-        *[F.max(F.when(F.col("_no") < n, F.col("_row"))).alias(f"_{n}") for n in sizes]
+    row = F.struct(score.alias("score"), (-F.col("ID")).alias("tie"), good.alias("label"))
+    rows = df.select(key, "ID", row.alias("_row"))
+    # The largest size needs ranks only where it is below n; its whole prompts come from below.
+    ranked = sorted(sizes)[:-1] if len(sizes) > 1 else []
+    best_of_all = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("_row").alias("_all"))
+    if max(sizes) < (counts.agg(F.max("n")).first()[0] or 0):
+        ranked = sorted(sizes)
+    if not ranked:
+        return _by_size(best_of_all, sizes, lambda n: F.col("_all")["label"].cast("double"))
+    drawn = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn(
+        "_draw", draw(seed, F.col("trial"), F.col("ID"))
+    )
+    order = Window.partitionBy(key, "trial").orderBy("_draw", "ID")
+    first = drawn.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= max(ranked))
+    best = first.groupBy(key, "trial").agg(
+        *[F.max(F.when(F.col("_no") <= n, F.col("_row"))).alias(f"_{n}") for n in ranked]
     )
-    return _by_size(best, sizes, lambda n: F.col(f"_{n}")["label"].cast("double"))
+    placed = best.join(best_of_all, key)
+
+    def right(n: int) -> Column:
+        drawn_best = F.col(f"_{n}")["label"] if n in ranked else F.col("_all")["label"]
+        return F.when(F.col("n") <= n, F.col("_all")["label"]).otherwise(drawn_best).cast("double")
+
+    return _by_size(placed, sizes, right)
 
 
 def _by_size(df: DataFrame, sizes: tuple[int, ...], value) -> DataFrame:
@@ -163,7 +206,7 @@ def _by_size(df: DataFrame, sizes: tuple[int, ...], value) -> DataFrame:
 
 def best_of_n_exact(
     df: DataFrame,
-    sizes: tuple[int, ...] = POWERS,
+    sizes: tuple[int, ...] | None = None,
     order_by: str = "reward",
     key: str = "data_id",
     limit: int = skew.HOT_ROWS,
@@ -175,6 +218,7 @@ def best_of_n_exact(
     narrow = df.select(key, "ID", score.alias("score"), good.alias("label"))
     ranked = skew.number_by_score(narrow, [key], "score", "ID", "rank", limit)
     sizes_of = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    sizes = _sizes(sizes_of, sizes)
     # Only right rows carry weight; prompts without any still count as zero.
     right = ranked.where("label").select(key, "rank")
     placed = skew.skew_join(right, sizes_of, [key], ["rank"], "inner", limit)
@@ -209,11 +253,12 @@ def _best_chances(df: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
 
 
 def best_of_n_oracle(
-    df: DataFrame, sizes: tuple[int, ...] = POWERS, key: str = "data_id"
+    df: DataFrame, sizes: tuple[int, ...] | None = None, key: str = "data_id"
 ) -> DataFrame:
     """best_of_n_exact with the label as the score. The best of a draw is right as soon
     as any drawn row is, which is pass@N of the counts: no ranking needed."""
     counts = prompt_counts(df, key)
+    sizes = _sizes(counts, sizes)
 
     def solved(n: int) -> Column:
         return pass_at(F.col("n"), F.col("c"), F.least(F.lit(n), F.col("n")))

@@ -49,7 +49,6 @@ def sample_pair_ids(
     samples: int = 32,
     key: str = "data_id",
     limit: int = skew.HOT_ROWS,
-    slot_bits: int = skew.SLOT_BITS,
 ) -> DataFrame:
     """``samples`` draws with replacement of one positive and one negative per prompt.
 
@@ -58,7 +57,7 @@ def sample_pair_ids(
     """
     label = positive(F.col("label"))
     narrow = df.select(key, "ID", label.alias("label"))
-    numbered = skew.number_by_id(narrow, [key, "label"], "ID", "_no", limit, slot_bits)
+    numbered = skew.number_by_id(narrow, [key, "label"], "ID", "_no", limit)
     sides = (
         narrow.groupBy(key)
         .agg(
@@ -101,10 +100,9 @@ def sample_pairs(
     samples: int = 32,
     key: str = "data_id",
     limit: int = skew.HOT_ROWS,
-    slot_bits: int = skew.SLOT_BITS,
 ) -> DataFrame:
     """Preference pairs ``prompt, chosen, rejected`` (and the ids they came from)."""
-    pairs = sample_pair_ids(df, samples, key, limit, slot_bits)
+    pairs = sample_pair_ids(df, samples, key, limit)
     pairs = _attach(pairs, df, "chosen_ID", chosen="completion")
     pairs = _attach(pairs, df, "rejected_ID", rejected="completion")
     firsts = df.select(F.col("ID").alias("first_ID"), "prompt")
@@ -118,7 +116,7 @@ def upsample_positives(
 ) -> DataFrame:
     """``samples`` draws with replacement from the positives of each prompt; id, prompt
     and label come from the first positive."""
-    good = df.where(positive(F.col("label")))
+    good = df.where(positive(F.col("label"), df))
     numbered = skew.number_by_id(good.select(key, "ID"), [key], "ID", "_no", limit)
     counts = good.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_pos"), F.min("ID").alias("first_ID")
@@ -139,16 +137,21 @@ def pad_to_multiple(
 ) -> DataFrame:
     """Add randomly drawn rows until the number of rows is a multiple of ``batch``.
 
-    A table that fits already gets a whole extra batch unless ``strict``. Ids must run
-    from 0 without gaps. Added rows have ``padding`` set.
+    A table that fits already gets a whole extra batch unless ``strict``. Ids are unique
+    integers; draws pick their positions. Added rows have ``padding`` set. An empty table stays
+    empty.
     """
     n = df.agg(F.count(F.lit(1))).scalar()
     missing = F.lit(batch) - n % batch
     if strict:
         missing = missing % batch
     slots = df.sparkSession.range(batch).where(F.col("id") < missing)
-    drawn = slots.select((draw(seed, F.col("id")) % n).alias(id_col))
-    padding = df.join(drawn, id_col).select(*df.columns, F.lit(True).alias("padding"))
+    # A draw of a 32-bit hash covers small tables evenly; two of them cover any.
+    wide = draw(seed, F.col("id")) * (1 << 30) + F.shiftright(draw(seed, "low", F.col("id")), 2)
+    at = F.when(n < (1 << 32), draw(seed, F.col("id")) % F.nullif(n, F.lit(0))).otherwise(wide % F.nullif(n, F.lit(0)))
+    drawn = slots.select(at.alias("_no"))
+    places = skew.number_by_id(df.select(id_col), [], id_col, "_no")
+    padding = df.join(places.join(drawn, "_no").select(id_col), id_col).select(*df.columns, F.lit(True).alias("padding"))
     return df.withColumn("padding", F.lit(False)).unionByName(padding)
 
 

@@ -15,27 +15,34 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajmill.functions.draws import RANGE_BITS
 
 HOT_ROWS = 1_000_000
-
-SLOT_BITS = 20
-_MAX_SLOTS = 10_000
+#: No list of hot groups is longer: with more rows than this many limits, the limit grows.
+MOST_HOT = 100_000
+#: Quantiles of the hot rows; a part between two of them is cut evenly where it is too long.
+_PARTS = 1_000
 
 
 def hot_groups(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame:
     """Groups with more than ``limit`` rows and their sizes (partial counts, no sort)."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > limit)
-    )
+    return _hot(df, keys, limit)
+
+
+def _hot(df: DataFrame, keys: list[str], limit: int, *facts: Column) -> DataFrame:
+    """The hot groups with their sizes and facts. A group is hot if it has more than ``limit`` rows
+    and more than 1 / MOST_HOT of all rows, which bounds the list whatever the table's size."""
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *facts)
+    large = groups.where(F.col("_rows") > limit)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return large.where(F.col("_rows") > total / MOST_HOT)
 
 
 def _mark_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``_rows``: the size of a hot group, null for any other."""
-    return _join_null_safe(df, F.broadcast(hot.select(*keys, "_rows")), keys)
+    """Add ``_rows``, the size of a hot group, and its other facts; null for any other group."""
+    return _join_null_safe(df, F.broadcast(hot), keys)
 
 
 def _join_null_safe(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,18 +61,25 @@ def number_rows(
     slot: Column,
     name: str = "row_no",
     limit: int = HOT_ROWS,
+    marks: Column | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row within its group.
 
-    ``slot`` must not decrease along ``order`` and must hold few rows per value.
+    ``slot`` must not decrease along ``order`` and must hold few rows per value; it may use
+    ``_rows``, the size of the group, and ``_marks``, the aggregate ``marks`` over it.
     Without ``keys`` the whole table is one group and is always cut into slots.
     """
+    facts = [] if marks is None else [marks.alias("_marks")]
     if keys:
-        marked = _mark_hot(df, hot_groups(df, keys, limit), keys)
+        marked = _mark_hot(df, _hot(df, keys, limit, *facts), keys)
         marked = marked.withColumn("_slot", F.when(F.col("_rows").isNotNull(), slot))
         cut = marked.where(F.col("_slot").isNotNull())
     else:
-        marked = df.withColumn("_rows", F.lit(0)).withColumn("_slot", slot)
+        whole = df.agg(F.struct(F.count(F.lit(1)).alias("_rows"), *facts)).scalar()
+        marked = df.withColumn("_whole", whole).withColumn("_rows", F.col("_whole._rows"))
+        if facts:
+            marked = marked.withColumn("_marks", F.col("_whole._marks"))
+        marked = marked.withColumn("_slot", slot)
         cut = marked
     sizes = cut.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_size"))
     earlier = (
@@ -89,18 +103,40 @@ def number_by_id(
     id_col: str = "ID",
     name: str = "row_no",
     limit: int = HOT_ROWS,
-    slot_bits: int = SLOT_BITS,
 ) -> DataFrame:
-    """Position by a unique integer id: a slot is a block of 2**slot_bits ids.
+    """Position by a unique integer id, or by a struct of which the first field is one.
 
-    A slot never holds more rows than that. Give more bits for ids with wide gaps, so
-    that a hot group does not fall into very many slots.
+    Slots lie between quantiles of the ids and are cut evenly further on, so their number
+    follows the rows, however the ids are spread.
     """
+    head = _head(df, id_col)
     return number_rows(
-        df, keys, [F.col(id_col)], F.shiftright(F.col(id_col), slot_bits), name, limit
+        df, keys, [F.col(id_col)], _id_slot(head, limit), name, limit, _id_marks(head)
     )
 
 
+def _head(df: DataFrame, id_col: str) -> Column:
+    kind = df.schema[id_col].dataType
+    return F.col(id_col)[kind.names[0]] if isinstance(kind, T.StructType) else F.col(id_col)
+
+
+_ID_PARTS = 256
+
+
+def _id_marks(ids: Column) -> Column:
+    at = F.array(*[F.lit(i / _ID_PARTS) for i in range(_ID_PARTS + 1)])
+    return F.percentile_approx(ids, at, F.lit(10_000))
+
+
+def _id_slot(ids: Column, limit: int) -> Column:
+    marks = F.col("_marks")
+    part = F.size(F.filter(marks, lambda m: m <= ids))
+    low, high = F.get(marks, part - 1), F.get(marks, part)
+    cuts = F.ceil(2.0 * F.col("_rows") / limit / _ID_PARTS)
+    even = F.floor((ids - low) / (high - low) * cuts)
+    return F.struct(part.alias("part"), F.coalesce(even, F.lit(0)).alias("cut"))
+
+
 def number_by_draw(
     df: DataFrame,
     keys: list[str],
@@ -108,11 +144,10 @@ def number_by_draw(
     id_col: str = "ID",
     name: str = "row_no",
     limit: int = HOT_ROWS,
-    slots: int = 4096,
 ) -> DataFrame:
-    """Position by a uniform 32-bit draw, ties by id: slots are equal parts of its range."""
-    width = (1 << RANGE_BITS) // slots
-    slot = F.floor(F.col(draw_col) / width)
+    """Position by a uniform 32-bit draw, ties by id: slots are equal parts of its range, as
+    many as the group's rows need."""
+    slot = F.floor(F.col(draw_col) / float(1 << RANGE_BITS) * F.ceil(2.0 * F.col("_rows") / limit))
     return number_rows(df, keys, [F.col(draw_col), F.col(id_col)], slot, name, limit)
 
 
@@ -123,14 +158,13 @@ def number_by_score(
     id_col: str = "ID",
     name: str = "row_no",
     limit: int = HOT_ROWS,
-    slot_bits: int = SLOT_BITS,
 ) -> DataFrame:
     """Position by score, best first, ties by a unique integer id.
 
     Slot borders are quantiles of the hot groups' scores: a bounded list, read once on
     the driver and used as literals, so every task and every retry cuts the same way
     whatever the sketch's error. A score equal to a border gets a slot of its own that
-    is cut again by blocks of ids, so one heavily repeated score spreads too.
+    is cut again by ids, so one heavily repeated score spreads too. Null scores come last.
     """
     # Negative zero equals zero in SQL but not for the border search.
     value = F.when(F.col(score) == 0, 0.0).otherwise(F.col(score).cast("double"))
@@ -140,7 +174,8 @@ def number_by_score(
     if not hot_total:
         plain = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(plain) - 1).cast("bigint"))
-    slots = min(max(2 * hot_total // limit, 16), _MAX_SLOTS)
+    slots = min(max(2 * hot_total // limit, 16), _PARTS)
+    cuts = max(2 * hot_total // limit // slots, 1)
     scores = _mark_hot(df.select(*keys, value.alias("_score")), hot, keys).where(
         F.col("_rows").isNotNull()
     )
@@ -148,15 +183,23 @@ def number_by_score(
     borders = [float("-inf"), *sorted(set(marks)), float("inf")]
     cut = Bucketizer(splits=borders, inputCol="_score", outputCol="_part", handleInvalid="keep")
     parts = cut.transform(df.withColumn("_score", value))
-    edge = F.element_at(F.array(*[F.lit(b) for b in borders]), F.col("_part").cast("int") + 1)
-    on_edge = edge == F.col("_score")
+    # Null scores rank last: they are a part of their own, cut by ids.
+    none = F.col("_score").isNull()
+    part = F.when(~none, F.col("_part").cast("int"))
+    table = F.array(*[F.lit(b) for b in borders])
+    edge, above = F.get(table, part), F.get(table, part + 1)
+    on_edge = F.coalesce(edge == F.col("_score"), F.lit(True))
+    even = F.floor((above - F.col("_score")) / (above - edge) * cuts)
+    finite = (F.abs(edge) < float("inf")) & (F.abs(above) < float("inf"))
     # Within a part the border value itself is the lowest score, so it comes last.
     slot = F.struct(
-        (-F.col("_part")).alias("part"),
+        F.coalesce(-part, F.lit(1)).alias("part"),
         on_edge.alias("on_edge"),
-        F.when(on_edge, F.shiftright(F.col(id_col), slot_bits)).otherwise(0).alias("block"),
+        F.when(~on_edge & finite, even).otherwise(0).alias("cut"),
+        F.when(on_edge, _id_slot(F.col(id_col), limit)).alias("ids"),
     )
-    return number_rows(parts, keys, order, slot, name, limit).drop("_score", "_part")
+    numbered = number_rows(parts, keys, order, slot, name, limit, _id_marks(F.col(id_col)))
+    return numbered.drop("_score", "_part")
 
 
 def _with_shares(hot: DataFrame, limit: int) -> DataFrame:

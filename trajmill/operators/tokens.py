@@ -13,10 +13,21 @@ from trajmill.functions.messages import joined
 from trajmill.functions.stats import histogram_bin
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, "\\s+"), lambda w: w != "")
+
+
 def word_tokens(text: Column, vocabulary: int = 32000) -> Column:
     """Stand-in tokens: one hashed id per word. Callers may bring real token columns."""
-    words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: (draw("tok", w) % vocabulary).cast("int"))
+    return F.transform(_words(text), lambda w: (draw("tok", w) % vocabulary).cast("int"))
+
+
+def token_lengths(df: DataFrame) -> DataFrame:
+    """The lengths of the columns ``prompt_code`` and ``input_ids`` of build_token_features, under
+    the same names: words are counted, not hashed."""
+    prompt = F.size(_words(joined(F.col("prompt"))))
+    answer = F.size(_words(joined(F.col("completion"))))
+    return df.withColumns({"prompt_code": prompt, "input_ids": prompt + answer})
 
 
 def mask_labels(ids: Column, prompt_length: Column, mask: str = "prompt") -> Column:
@@ -74,15 +85,24 @@ def has_labels(labels: Column) -> Column:
     return F.exists(labels, lambda t: t != C.IGNORE_LABEL)
 
 
+def _length(df: DataFrame, column: str) -> Column:
+    """The length of a token column; a column of numbers holds lengths already."""
+    counted = not df.schema[column].dataType.simpleString().startswith("array")
+    return F.col(column) if counted else F.size(column)
+
+
 def within_limits(
-    limits: list[tuple[str, int | None]], mode: str = "all", labels: str | None = None
+    df: DataFrame,
+    limits: list[tuple[str, int | None]],
+    mode: str = "all",
+    labels: str | None = None,
 ) -> Column:
     """Whether a row keeps to its token limits.
 
-    ``limits`` pairs a token column with its limit or None. ``mode="all"`` needs all set
-    limits; ``mode="chained"`` looks at the first set one only.
+    ``limits`` pairs a column of tokens, or of their number, with its limit or None.
+    ``mode="all"`` needs all set limits; ``mode="chained"`` looks at the first set one only.
     """
-    checks = [F.size(c) <= n for c, n in limits if n is not None]
+    checks = [_length(df, c) <= n for c, n in limits if n is not None]
     if mode == "chained":
         checks = checks[:1]
     if labels is not None:
@@ -91,7 +111,7 @@ def within_limits(
 
 
 def filter_by_length(df: DataFrame, limits, mode: str = "all", labels: str | None = None) -> DataFrame:
-    return df.where(within_limits(limits, mode, labels))
+    return df.where(within_limits(df, limits, mode, labels))
 
 
 def filter_report(df: DataFrame, keep: Column, split: str = "split") -> DataFrame:
@@ -107,7 +127,7 @@ def filter_report(df: DataFrame, keep: Column, split: str = "split") -> DataFram
 
 
 def _lengths(df: DataFrame, columns: list[str]) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("feature"), F.size(c).alias("length")) for c in columns]
+    cells = [F.struct(F.lit(c).alias("feature"), _length(df, c).alias("length")) for c in columns]
     return df.select(F.inline(F.array(*cells)))
 
 

@@ -11,25 +11,20 @@ from trajmill.operators import sampling as P
 from trajmill.operators import search as R
 from trajmill.operators import selection as E
 from trajmill.operators.merge import merge_datasets, union_runs
-from trajmill.operators.skew import SLOT_BITS
 from trajmill.sources.sinks import write_once
 
 
-# A conversation has fewer messages than this many bits can count.
-_PLACE_BITS = 17
-
-
 def preference_pairs(rollouts: DataFrame, store: str, samples: int = 32) -> DataFrame:
     """Rollouts to preference pairs: every turn answers the first message, then draws.
 
     The flattened rows are written to ``store`` once: drawing reads only their ids, keys
-    and labels, and the texts are looked up at the end. A row's id is its rollout's id
-    followed by its place in the conversation.
+    and labels, and the texts are looked up at the end. A row's id is its rollout's ID and
+    its place in the conversation.
     """
     flat = M.with_prompt_key(V.flatten_to_first_prompt(rollouts, "_place"))
     rows = write_once(
         flat.select(
-            (F.shiftleft("ID", _PLACE_BITS) + F.col("_place")).alias("ID"),
+            F.struct("ID", F.col("_place").alias("place")).alias("ID"),
             "prompt_key",
             "prompt",
             "completion",
@@ -37,7 +32,7 @@ def preference_pairs(rollouts: DataFrame, store: str, samples: int = 32) -> Data
         ),
         store,
     )
-    return P.sample_pairs(rows, samples, "prompt_key", slot_bits=SLOT_BITS + _PLACE_BITS)
+    return P.sample_pairs(rows, samples, "prompt_key")
 
 
 def iteration_training_set(

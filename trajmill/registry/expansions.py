@@ -61,7 +61,7 @@ def build_rollout_rows(spark, sf):
     t.sql(
         f"""SELECT ID, {D("messages")} AS messages, len(messages)::INT AS n FROM (
   SELECT ID, list_concat(list_concat(prompt, completion),
-    [{{'role': 'user', 'content': 'Feedback: '||feedbacks[-1].public}}]) AS messages FROM traj)""",
+    [{{'role': 'user', 'content': 'Feedback: '||coalesce(feedbacks[-1].public, '')}}]) AS messages FROM traj)""",
         "traj",
     )
 )

@@ -16,7 +16,11 @@ PASS = (
     "1 - exp(lgamma(n-c+1) - lgamma(n-c-k+1) - lgamma(n+1) + lgamma(n-k+1)) END"
 )
 COUNTS = "SELECT data_id, count(*) AS n, count(*) FILTER (label) AS c FROM rollouts_ev GROUP BY 1"
-SIZES = "(VALUES (1),(2),(4),(8),(16),(32),(64),(128)) s(sz)"
+SIZES = (
+    "(WITH m AS (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM rollouts_ev GROUP BY data_id)) "
+    "SELECT (1 << i)::INT AS sz FROM m, range(0, 31) r(i) WHERE (1 << i) < m "
+    "UNION SELECT m::INT FROM m) s"
+)
 
 
 def _r6(df, *names):

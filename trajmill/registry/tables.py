@@ -79,34 +79,25 @@ def beam(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# A rollout row holds at most this many turns; a longer conversation gives several.
-SEGMENT = 4096
-_SEGMENT_BITS = 40
-
-
-def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages with the id of their rollout, so that no group grows without bound."""
-    segment = F.floor(F.col("turn") / SEGMENT)
-    return table(spark, sf, "conversations").withColumn(
-        "conv_id", F.col("conv_id") + F.shiftleft(segment, _SEGMENT_BITS)
-    )
-
-
 def trajectories(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested rollouts from conversations: everything up to the last assistant turn."""
+    """Nested rollouts from whole conversations, one row each, as a prompt is one array.
+
+    The last assistant message is the answer, what precedes it the prompt, system messages
+    included. Messages after it are feedback like those to the assistant's. A conversation
+    without an answer is a prompt with an empty one and no feedback.
+    """
     turn = F.struct("turn", "role", F.col("text").alias("content"))
     conv = (
-        _segments(spark, sf)
-        .where(F.col("role").isin("user", "assistant"))
+        table(spark, sf, "conversations")
         .groupBy("conv_id")
         .agg(
             F.array_sort(F.collect_list(turn)).alias("log"),
             F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last"),
         )
-        .where(F.col("last").isNotNull())
     )
-    conv = conv.withColumn("log", F.filter("log", lambda t: t["turn"] <= F.col("last")))
-    text = F.try_element_at("log", F.lit(-1))["content"]
+    last = F.col("last")
+    answer = F.get(F.filter("log", lambda t: t["turn"] == last), F.lit(0))["content"]
+    text = F.coalesce(answer, F.lit(""))
     fenced = (
         F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Answer:\n```python\n"), text, F.lit("\n```\nDone")))
         .when(F.col("conv_id") % 3 == 1, F.concat(F.lit("Answer:\n```python\n"), text))
@@ -133,12 +124,14 @@ def trajectories(spark: SparkSession, sf: str) -> DataFrame:
         data_id.alias("data_id"),
         F.concat(
             F.array(first),
-            F.transform(F.slice("log", F.lit(1), F.greatest(F.size("log") - 1, F.lit(0))), plain),
+            F.transform(F.filter("log", lambda t: last.isNull() | (t["turn"] < last)), plain),
         ).alias("prompt"),
         F.array(F.struct(F.lit("assistant").alias("role"), fenced.alias("content"))).alias("completion"),
         (F.coalesce("quality", F.lit(0)) == 1).alias("label"),
         ((draw("rw", F.col("conv_id")) % 2000 - 1000) / 100.0).alias("reward"),
-        F.transform(F.filter("log", lambda t: t["role"] == "assistant"), feedback).alias("feedbacks"),
+        F.transform(
+            F.filter("log", lambda t: (t["role"] == "assistant") | (t["turn"] > last)), feedback
+        ).alias("feedbacks"),
     )
 
 
@@ -152,7 +145,7 @@ def conversations(spark: SparkSession, sf: str) -> DataFrame:
     turn = F.struct("turn", "role", F.col("text").alias("content"))
     log = F.array_sort(F.collect_list(turn))
     return (
-        _segments(spark, sf)
+        table(spark, sf, "conversations")
         .groupBy(F.col("conv_id").alias("ID"))
         .agg(
             F.transform(
@@ -165,11 +158,12 @@ def conversations(spark: SparkSession, sf: str) -> DataFrame:
 def doc_rollouts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id").select(
+    # A document without a label is not right.
+    return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("ID"),
         F.col("source").alias("data_id"),
         F.log("n_chars").alias("reward"),
-        (F.col("quality") == 1).alias("label"),
+        (F.coalesce("quality", F.lit(0)) == 1).alias("label"),
     )
 
 
@@ -359,10 +353,7 @@ def space_sql() -> str:
     return "||".join(f"chr({ord(c)})" for c in C.WHITESPACE)
 
 
-SEGMENTS = (
-    f"(SELECT conv_id + (turn // {SEGMENT}) * {1 << _SEGMENT_BITS} AS conv_id, turn, role, text "
-    "FROM conversations) m"
-)
+ANSWER = "coalesce(max(text) FILTER (turn = la), '')"
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "rollouts_ev": (
@@ -390,31 +381,31 @@ QUALIFY row_number() OVER (PARTITION BY data_id, search_id, turn
         (),
         f"""SELECT c.conv_id AS ID, c.conv_id % 5 AS data_id,
   list_concat([{{'role': 'user', 'content': 'problem '||(c.conv_id % 5)}}],
-    coalesce(list({{'role': role, 'content': text}} ORDER BY turn) FILTER (turn < la), [])) AS prompt,
-  [{{'role': 'assistant', 'content': max(
+    coalesce(list({{'role': role, 'content': text}} ORDER BY turn) FILTER (la IS NULL OR turn < la), [])) AS prompt,
+  [{{'role': 'assistant', 'content':
      CASE c.conv_id % 3
-      WHEN 0 THEN 'Answer:'||chr(10)||'```python'||chr(10)||text||chr(10)||'```'||chr(10)||'Done'
-      WHEN 1 THEN 'Answer:'||chr(10)||'```python'||chr(10)||text ELSE text END) FILTER (turn = la)}}]
+      WHEN 0 THEN 'Answer:'||chr(10)||'```python'||chr(10)||{ANSWER}||chr(10)||'```'||chr(10)||'Done'
+      WHEN 1 THEN 'Answer:'||chr(10)||'```python'||chr(10)||{ANSWER} ELSE {ANSWER} END}}]
    AS completion,
   coalesce(max(l.quality), 0) = 1 AS label,
   ({h("'rw'", "c.conv_id")} % 2000 - 1000) / 100.0::DOUBLE AS reward,
-  list({{'public': CASE WHEN length(text) % 2 = 0 THEN '{SUCCESS}' ELSE 'AssertionError: '||length(text) END,
+  coalesce(list({{'public': CASE WHEN length(text) % 2 = 0 THEN '{SUCCESS}' ELSE 'AssertionError: '||length(text) END,
         'private': CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN '{SUCCESS}' ELSE 'AssertionError' END}}
-       ORDER BY turn) FILTER (role = 'assistant') AS feedbacks
+       ORDER BY turn) FILTER (role = 'assistant' OR turn > la), []) AS feedbacks
 FROM (SELECT *, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS la
-      FROM {SEGMENTS} WHERE role IN ('user','assistant')) c
+      FROM conversations) c
 LEFT JOIN labels l ON l.doc_id = c.conv_id
-WHERE turn <= la GROUP BY c.conv_id""",
+GROUP BY c.conv_id""",
     ),
     "convs": (
         (),
         f"""SELECT conv_id AS ID, list({{'role': role, 'content': text}} ORDER BY turn) AS conversation
-FROM {SEGMENTS} GROUP BY conv_id""",
+FROM conversations GROUP BY conv_id""",
     ),
     "doc_rollouts": (
         (),
-        """SELECT d.doc_id AS ID, source AS data_id, ln(n_chars) AS reward, quality = 1 AS label
-FROM documents d JOIN labels l USING (doc_id)""",
+        """SELECT d.doc_id AS ID, source AS data_id, ln(n_chars) AS reward,
+  coalesce(quality, 0) = 1 AS label FROM documents d LEFT JOIN labels l USING (doc_id)""",
     ),
     "turns": (
         ("traj",),

@@ -216,7 +216,7 @@ def public_passed(spark, sf):
 @query(
     t.sql(
         f"""SELECT ID, success, success::INT AS reward FROM (SELECT ID,
-  feedbacks[-1].public = '{t.SUCCESS}' AND feedbacks[-1].private IN ('{t.SUCCESS}', '') AS success FROM traj)""",
+  coalesce(feedbacks[-1].public = '{t.SUCCESS}' AND feedbacks[-1].private IN ('{t.SUCCESS}', ''), false) AS success FROM traj)""",
         "traj",
     )
 )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajmill.functions.draws import draw
 from trajmill.learning import verifiers as L
 from trajmill.operators import metrics as M
 from trajmill.operators import sampling as P
@@ -132,7 +135,7 @@ LIMITS = [("prompt_code", 200), ("input_ids", 150)]
 
 
 def _features(spark, sf):
-    return K.build_token_features(t.doc_messages(spark, sf))
+    return K.token_lengths(t.doc_messages(spark, sf))
 
 
 @query(
@@ -143,7 +146,7 @@ UNION ALL SELECT 'chained', ID FROM f WHERE len(p) <= 200"""
 def filter_by_length(spark, sf):
     rows = _features(spark, sf)
     kept = [
-        K.filter_by_length(rows, LIMITS, mode, "labels").select(F.lit(mode).alias("mode"), "ID")
+        K.filter_by_length(rows, LIMITS, mode).select(F.lit(mode).alias("mode"), "ID")
         for mode in ("all", "chained")
     ]
     return reduce(DataFrame.unionByName, kept)
@@ -156,7 +159,7 @@ SELECT split, count(*) FILTER (NOT (len(p) <= 200 AND len(f) <= 150)) AS dropped
 FROM f GROUP BY split"""
 )
 def filter_report(spark, sf):
-    rows = K.filter_report(_features(spark, sf), K.within_limits(LIMITS))
+    rows = K.filter_report(_features(spark, sf), K.within_limits(_features(spark, sf), LIMITS))
     return rows.withColumn("percentage", F.round("percentage", 6))
 
 
@@ -185,40 +188,98 @@ def token_length_histogram(spark, sf):
     return K.token_length_histogram(_features(spark, sf), COLUMNS)
 
 
-# --- verifiers (no SQL says what a fit gives) -------------------------------------
+# --- verifiers ------------------------------------------------------------------
+
+# The fits are checked by what must hold at a minimum, the scores from given weights.
+L2 = 0.01
+TEXT = "'user:'||prompt[1].content||chr(10)||'assistant:'||completion[1].content"
+WORDS = (
+    "list_transform(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> ''), "
+    "lambda w: (" + t.h("'tok'", "w") + " % 512)::INT)"
+)
+WEIGHTS = [((i * 7919) % 101 - 50) / 100.0 for i in range(L.DIMENSIONS)]
+HELD = t.h("'held'", "ID") + " % 5 = 0"
 
 
-@query(t.sql(f"SELECT ID, md5('user:'||prompt[1].content||chr(10)||'assistant:'||completion[1].content) AS text FROM traj", "traj"))
+@query(
+    t.sql(
+        f""", w AS (SELECT ID, unnest({WORDS.format(TEXT)}) AS i FROM traj),
+c AS (SELECT ID, i, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT ID, md5(string_agg(i||':'||n, ',' ORDER BY i)) AS features FROM c GROUP BY ID""",
+        "traj",
+    )
+)
 def verifier_features(spark, sf):
-    text = L.verifier_text(F.col("prompt"), F.col("completion"))
-    return t.trajectories(spark, sf).select("ID", F.md5(text).alias("text"))
+    rows = L.verifier_features(t.trajectories(spark, sf))
+    dense = vector_to_array("features")
+    cells = F.filter(
+        F.transform(dense, lambda n, i: F.when(n > 0, F.concat_ws(":", i, n.cast("bigint")))),
+        lambda x: x.isNotNull(),
+    )
+    return rows.select("ID", F.md5(F.array_join(cells, ",")).alias("features"))
 
 
-@query()
+def _held(df, key):
+    return df.withColumn("held", draw("held", key) % 5 == 0)
+
+
+@query(
+    t.sql(
+        f""", {pair_sql("traj")}
+SELECT count(*) AS pairs, true AS beats_chance, true AS converged FROM p""",
+        "traj",
+    )
+)
 def train_pair_verifier(spark, sf):
-    # Read by the fit and by both scorings: stored once.
-    drawn = P.sample_pairs(t.stored_trajectories(spark, sf))
-    pairs = write_once(drawn, new_folder(spark, "pairs"))
-    model = L.train_pair_verifier(pairs, iterations=10)
+    # Read by the fit and by both checks: stored once.
+    pairs = write_once(P.sample_pairs(t.stored_trajectories(spark, sf)), new_folder(spark, "pairs"))
+    model = L.train_pair_verifier(pairs, l2=L2, iterations=200)
+    scored = pairs
     for side in ("chosen", "rejected"):
-        view = pairs.withColumn("completion", F.col(side))
-        scored = L.score_rollouts(model, view, f"{side}_reward")
-        pairs = scored.drop("completion")
-    return M.pair_verifier_metrics(pairs)
+        view = scored.withColumn("completion", F.col(side))
+        scored = L.score_rollouts(model, view, f"{side}_reward").drop("completion")
+    found = M.pair_verifier_metrics(scored).select((F.col("loss") < math.log(2)).alias("beats_chance"))
+    slope = L.gradient(model, L.pair_differences(pairs), L2)
+    return (
+        found.withColumn("pairs", pairs.agg(F.count(F.lit(1))).scalar())
+        .withColumn("converged", slope.agg(F.max(F.abs("slope")) < 1e-3).scalar())
+    )
 
 
-@query()
+@query(
+    t.sql(
+        f"""SELECT count(*) FILTER (NOT held) AS learnt, count(*) FILTER (held) AS held_out,
+  true AS beats_chance, true AS converged
+FROM (SELECT {HELD} AS held FROM traj) x""",
+        "traj",
+    )
+)
 def train_binary_verifier(spark, sf):
-    rollouts = t.trajectories(spark, sf)
-    model = L.train_binary_verifier(rollouts, iterations=10)
-    return M.binary_verifier_metrics(L.score_rollouts(model, rollouts))
+    rollouts = _held(t.stored_trajectories(spark, sf), F.col("ID"))
+    learnt = rollouts.where(~F.col("held"))
+    model = L.train_binary_verifier(learnt, l2=L2, iterations=200)
+    loss = M.binary_verifier_metrics(L.score_rollouts(model, learnt)).select("loss").scalar()
+    rows = L.verifier_features(learnt).select("features", F.col("label").cast("double").alias("label"))
+    slope = L.gradient(model, rows, L2)
+    return rollouts.agg(
+        F.count_if(~F.col("held")).alias("learnt"), F.count_if("held").alias("held_out")
+    ).select(
+        "learnt",
+        "held_out",
+        (loss < math.log(2)).alias("beats_chance"),
+        slope.agg(F.max(F.abs("slope")) < 1e-3).scalar().alias("converged"),
+    )
 
 
-@query()
-def score_rollouts(spark, sf):
-    rollouts = t.trajectories(spark, sf)
-    model = L.train_binary_verifier(rollouts, iterations=10)
-    scored = L.score_rollouts(model, rollouts)
-    return M.dedupe_scored(scored.withColumn("seq", F.lit(0))).select(
-        "ID", "data_id", "label", "reward"
+@query(
+    t.sql(
+        f""", w AS (SELECT ID, data_id, label, {WORDS.format(TEXT)} AS ids FROM traj)
+SELECT ID, data_id, label,
+  round(coalesce(list_sum(list_transform(ids, lambda i: ((i * 7919) % 101 - 50) / 100.0::DOUBLE)), 0), 6) AS reward
+FROM w""",
+        "traj",
     )
+)
+def score_rollouts(spark, sf):
+    scored = L.score_linear(t.trajectories(spark, sf), WEIGHTS)
+    return scored.select("ID", "data_id", "label", F.round("reward", 6).alias("reward"))

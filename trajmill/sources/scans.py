@@ -68,7 +68,7 @@ def scan_scored_csv(
             return _literal_parser(field.dataType)(cell).alias(field.name)
         if isinstance(field.dataType, T.BooleanType):
             # Stored as True/False, 0/1 or 0.0/1.0.
-            return F.when(F.lower(cell).isin("true", "false"), positive(F.lower(cell))).otherwise(
+            return F.when(F.lower(cell).isin("true", "false"), F.lower(cell).cast("boolean")).otherwise(
                 positive(F.try_to_number(cell, F.lit("9.9")).cast("double"))
             ).alias(field.name)
         return cell.cast(field.dataType).alias(field.name)

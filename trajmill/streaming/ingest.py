@@ -23,32 +23,47 @@ def rollout_stream(
 
 
 def ingest_rollouts(
-    stream: DataFrame, table: str, checkpoint: str, keys: list[str], run: str = "main"
+    stream: DataFrame,
+    table: str,
+    checkpoint: str,
+    keys: list[str],
+    run: str = "main",
+    buckets: int = 64,
 ) -> None:
     """Append new rows of the stream to ``table`` until no input is left, then stop.
 
-    Rows whose key is stored already are dropped. Every micro-batch owns the partition
-    ``run=<run>/batch=<id>`` and overwrites it, and is compared with the other partitions
-    only, so a batch repeated after a crash leaves the same rows. Call again with the same
-    checkpoint and run name to resume; a new checkpoint needs a new run name.
+    Rows whose key is stored already are dropped; of rows of one batch with one key the one with
+    the smallest hash stays. Every micro-batch owns the partition ``run=<run>/batch=<id>`` and
+    overwrites it, and is compared with the other partitions only, so a batch repeated after a
+    crash leaves the same rows. Below that, rows lie in buckets by a hash of their key, and a batch
+    reads only the buckets it has rows for. Call again with the same checkpoint and run name to
+    resume; a new checkpoint needs a new run name, a table always the same number of buckets.
     """
     stored_schema = T.StructType(
         [
             *stream.schema.fields,
             T.StructField("run", T.StringType()),
             T.StructField("batch", T.LongType()),
+            T.StructField("bucket", T.LongType()),
         ]
     )
     # An empty first partition lets the table be read before the first batch.
     nothing = stream.sparkSession.createDataFrame([], stream.schema)
-    nothing.write.mode("ignore").parquet(f"{table}/run={run}/batch=-1")
+    nothing.write.mode("ignore").parquet(f"{table}/run={run}/batch=-1/bucket=-1")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         stored = batch.sparkSession.read.schema(stored_schema).parquet(table)
         mine = (F.col("run") == run) & (F.col("batch") == batch_id)
-        known = stored.where(~mine).select(*keys)
-        fresh = batch.dropDuplicates(keys).join(known, keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table}/run={run}/batch={batch_id}")
+        # At most as many numbers as there are buckets.
+        touched = [r["bucket"] for r in batch.select(bucket).distinct().collect()]
+        known = stored.where(~mine & F.col("bucket").isin(touched)).select(*keys)
+        row = F.struct(*batch.columns)
+        first = batch.groupBy(*keys).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
+        fresh = first.select("_row.*").join(known, keys, "left_anti")
+        fresh.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{table}/run={run}/batch={batch_id}"
+        )
 
     query = (
         stream.writeStream.foreachBatch(store)
