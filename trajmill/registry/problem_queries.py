@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajmill import constants as C
@@ -199,15 +202,26 @@ def merge_plus_tests(spark, sf):
     return merged.select("data_id", F.md5("prompt").alias("prompt"), F.md5("test").alias("test"))
 
 
+ANSWER = "[{'role': 'assistant', 'content': ?}]"
+# The right answer of each family, and the table it is in.
+CANONICAL = [
+    ("mbpp", "code", "mbpp"),
+    ("mbpp_train", "code", "mbpp"),
+    ("evalplus/mbppplus", "code", "mbppplus"),
+    ("bigcode/humanevalpack", "prompt||chr(10)||canonical_solution", "humaneval"),
+    ("evalplus/humanevalplus", "prompt||chr(10)||canonical_solution", "humaneval"),
+    ("deepmind/code_contests", "codes[list_position(langs, 1)]", "contests WHERE list_contains(langs, 1)"),
+]
+
+
 @query(
     t.sql(
-        f"""SELECT 'mbpp' AS dataset, data_id, {t.digest_sql("[{'role': 'assistant', 'content': code}]")} AS completion FROM mbpp
-UNION ALL SELECT 'bigcode/humanevalpack', data_id,
-  {t.digest_sql("[{'role': 'assistant', 'content': prompt||chr(10)||canonical_solution}]")} FROM humaneval
-UNION ALL SELECT 'deepmind/code_contests', data_id,
-  {t.digest_sql("[{'role': 'assistant', 'content': codes[list_position(langs, 1)]}]")}
-  FROM contests WHERE list_contains(langs, 1)""",
+        "UNION ALL ".join(
+            f"SELECT '{name}' AS dataset, data_id, {t.digest_sql(ANSWER.replace('?', answer))} AS completion FROM {source} "
+            for name, answer, source in CANONICAL
+        ),
         "mbpp",
+        "mbppplus",
         "humaneval",
         "contests",
     )
@@ -218,11 +232,7 @@ def canonical_rollouts(spark, sf):
         rows = Q.canonical_rollouts(prompted, dataset)
         return rows.select(F.lit(dataset).alias("dataset"), "data_id", t.digest("completion").alias("completion"))
 
-    return (
-        part("mbpp")
-        .unionByName(part("bigcode/humanevalpack"))
-        .unionByName(part("deepmind/code_contests"))
-    )
+    return reduce(DataFrame.unionByName, [part(name) for name, _, _ in CANONICAL])
 
 
 def _quote_sql(x: str) -> str:

@@ -447,7 +447,8 @@ def apply_group(spark, sf):
 
 
 def _length_score(batch):
-    return batch["completion"].map(lambda c: float(len(c[0]["content"]))) - batch["prompt"].map(len)
+    answers = batch["completion"].str[0].str.get("content")
+    return answers.str.len().astype("float64") - batch["prompt"].str.len()
 
 
 @query(

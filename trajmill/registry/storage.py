@@ -5,6 +5,9 @@ Each query writes to a fresh folder under the session's shared work folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +44,32 @@ def scan_problems(spark, sf):
     return rows.select("data_id", "split", F.md5("text").alias("text"), F.size("test_list").alias("tests"))
 
 
+SCANNED = {
+    "mbpp": ("validation", "SELECT item_id FROM benchmark WHERE item_id % 3 = 1"),
+    "mbpp_train": ("train", "SELECT item_id FROM benchmark WHERE item_id % 3 = 0"),
+    "evalplus/mbppplus": ("test", "SELECT item_id FROM benchmark"),
+    "bigcode/humanevalpack": ("test", "SELECT item_id FROM benchmark"),
+    "evalplus/humanevalplus": ("test", "SELECT item_id FROM benchmark"),
+    "deepmind/code_contests": ("test", "SELECT item_id FROM benchmark WHERE item_id % 3 = 2"),
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS dataset, item_id AS data_id, '{split}' AS split FROM ({rows}) x{i}"
+        for i, (name, (split, rows)) in enumerate(SCANNED.items())
+    )
+)
+def scan_all_problems(spark, sf):
+    def part(dataset, split):
+        folder = new_folder(spark, "problems")
+        t.problems(spark, sf, dataset).write.partitionBy("split").parquet(folder)
+        rows = R.scan_problems(spark, folder, dataset, split)
+        return rows.select(F.lit(dataset).alias("dataset"), "data_id", "split")
+
+    return reduce(DataFrame.unionByName, [part(name, split) for name, (split, _) in SCANNED.items()])
+
+
 @query(
     t.sql(
         f"""SELECT data_id, {D("prompt")} AS prompt, {D("completion")} AS completion, label,
