@@ -381,3 +381,16 @@ def test_columns_keep_their_types(odd):
     for kept in (simhash.keep_one(odd), lines.keep_first_lines(odd)):
         assert [f.dataType for f in kept.schema] == [f.dataType for f in odd.schema]
         assert isinstance(kept.schema["doc_id"].dataType, T.LongType)
+
+
+def test_lines_of_every_length(spark):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefgh"), size=4)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, size=n)) for n in (120, 127, 128, 300, 40_000)]
+    table = spark.createDataFrame([(i, t + "\n" + t + " more") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["id"], r["pos"]): r["fp"] for r in lines._lines(table, "doc_id", "text", 3).collect()}
+    for i, t in enumerate(texts):
+        hashes = [brute.xxhash.xxh64_intdigest(w, 42) for w in t.encode().split()]
+        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+        want = int(np.packbits(2 * bits.sum(axis=0) > len(hashes), bitorder="little").view("<u8")[0])
+        assert got[(i, 0)] == brute.signed(want)

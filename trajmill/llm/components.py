@@ -3,7 +3,8 @@
 Large star: every node links its larger neighbours to its smallest one. Small star: every
 node links its smaller neighbours, and itself, to its smallest one. Both keep the
 components; when nothing changes each component is a star around its smallest node. Each
-round is two aggregates and two joins; no group of neighbours is gathered anywhere.
+round is two aggregates and two joins, which shuffle only if the smallest neighbours are too many to
+be broadcast; no group of neighbours is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajmill.llm.shared import remove, store
+from trajmill.llm.shared import remove, small, store
 
 
 def _summary(edges: DataFrame) -> tuple:
@@ -23,7 +24,7 @@ def _summary(edges: DataFrame) -> tuple:
 
 def _to_smallest(edges: DataFrame, smallest: DataFrame) -> DataFrame:
     """The other end of each edge, linked to the smallest neighbour of this end."""
-    return edges.join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return edges.join(small(smallest), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,10 +42,10 @@ def components(links: DataFrame) -> DataFrame:
         low = store(
             both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "smallest"
         )
-        large = store(_to_smallest(both.where("b > a"), low).distinct(), "large-star")
+        large = store(_to_smallest(both.where("b > a"), low), "large-star")
         low2 = store(large.groupBy("a").agg(F.min("b").alias("m")), "smallest")
-        small = _to_smallest(large, low2).where("a <> b")
-        after = store(small.unionByName(low2.withColumnRenamed("m", "b")).distinct(), "links")
+        lower = _to_smallest(large, low2).where("a <> b")
+        after = store(lower.unionByName(low2.withColumnRenamed("m", "b")).distinct(), "links")
         found = _summary(after)
         for old in (edges, low, large, low2):
             remove(old)

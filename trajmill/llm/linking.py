@@ -55,37 +55,33 @@ def link(
     nodes: DataFrame,
     max_bits: int,
     blocks: int,
-    prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
+    verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
 ) -> DataFrame:
     """(id, fp), ids distinct longs -> (id, component) of all ids that have a link.
 
-    A link is a pair within ``max_bits`` bits that also passes verification: ``prepare`` is given
-    the ids that may have one and returns a function that filters (a, b) pairs. component is
-    the smallest id that can be reached.
+    A link is a pair within ``max_bits`` bits that ``verify`` keeps of the stored (a, b) pairs it
+    is given; component is the smallest id that can be reached.
     """
     keyed = nodes.select("id", "fp", F.explode(_keys(F.col("fp"), max_bits, blocks)).alias("key"))
-    shared = store(
-        keyed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "fp")).alias("rep"))
-        .where("n > 1")
-        .select("key", F.col("rep.id").alias("rep"), F.col("rep.fp").alias("rep_fp")),
-        "keys",
-    )
+    # Most keys have one row: they go before anything but the key is shuffled.
+    shared = store(keyed.groupBy("key").count().where("count > 1").select("key"), "keys")
     members = store(keyed.join(small(shared), "key"), "members")
-    verify = prepare(members.select("id").distinct()) if prepare else lambda pairs: pairs
+    reps = store(
+        members.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("rep")).select("key", "rep.*"), "reps"
+    ).withColumnsRenamed({"id": "rep", "fp": "rep_fp"})
     near = distance(F.col("fp"), F.col("rep_fp")) <= max_bits
     first = store(
-        verify(
-            members.where(near & (F.col("id") != F.col("rep")))
-            .select(F.col("rep").alias("a"), F.col("id").alias("b"))
-            .distinct()
-        ),
-        "first-links",
+        members.join(small(reps), "key")
+        .where(near & (F.col("id") != F.col("rep")))
+        .select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        .distinct(),
+        "first-pairs",
     )
+    first = store(verify(first), "first-links")
     so_far = store(components(first), "components")
     tagged = store(
         members.select("key", "id", "fp")
-        .join(so_far, "id", "left")
+        .join(small(so_far), "id", "left")
         .select("key", "id", "fp", F.coalesce("component", "id").alias("component")),
         "tagged",
     )

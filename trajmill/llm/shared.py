@@ -17,7 +17,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of a few numbers each that may be broadcast.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 600_000
 
 
 def small(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

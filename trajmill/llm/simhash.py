@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajmill.llm.linking import link
-from trajmill.llm.shared import store
+from trajmill.llm.shared import small, store
 
 SEED = 42
 _AT_ONCE = 1 << 18
@@ -54,7 +54,7 @@ def _prints(words: int):
 def _groups(prints: DataFrame, max_bits: int, blocks: int) -> DataFrame:
     """(id, fp) -> (fp, component, component_id), one row per distinct fingerprint."""
     nodes = store(prints.groupBy("fp").agg(F.min("id").alias("smallest")), "nodes")
-    linked = store(link(nodes.select(F.col("fp").alias("id"), "fp"), max_bits, blocks), "linked")
+    linked = small(store(link(nodes.select(F.col("fp").alias("id"), "fp"), max_bits, blocks), "linked"))
     tagged = store(
         nodes.join(linked, nodes["fp"] == linked["id"], "left").select(
             "fp", "smallest", F.coalesce("component", "fp").alias("component")
