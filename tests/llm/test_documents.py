@@ -263,6 +263,18 @@ def test_decontamination_odd_cases(spark, odd, none):
     assert decontaminate.find(odd, items.where("false")).count() == 0
 
 
+def test_decontamination_of_cut_passages():
+    """A passage that the text cuts off within the edit budget is found up to the text's edge."""
+    item = "a passage of the benchmark that nobody should learn by heart before the test " * 3
+    index = decontaminate.build([1], [item])
+    for cut in (1, 5, 20):
+        for text in ("filler words " * 20 + item.strip()[:-cut], item[cut:] + "filler words " * 20, item.strip()[cut:-cut]):
+            least = brute.nearest(brute.plain(item), brute.plain(text))
+            hits = decontaminate.search(index, [text])
+            assert [h[4] for h in hits] == ([least] if least <= index.edits[0] else [])
+            assert all(0 <= h[2] < h[3] <= len(text) for h in hits)
+
+
 def test_decontamination_in_long_texts():
     item = "a passage of the benchmark that nobody should learn by heart before the test"
     index = decontaminate.build([1], [item])

@@ -167,6 +167,8 @@ def occurrence(item: np.ndarray, codes: np.ndarray, base: int, width: int, most:
     if found is None:
         return None
     edits, end = found
+    # What an item has beyond the end of the text is as many edits whether replaced or left out.
+    end = min(end, len(codes))
     # The start is the end of the reversed item in the reversed text before the end.
     reach = len(item) + edits
     before = codes[max(0, end - reach) : end][::-1]
