@@ -192,17 +192,17 @@ def _regions(index: Index, codes: np.ndarray, doc: np.ndarray) -> list[tuple[int
     item = index.entry_item[entry]
     band = (at - index.entry_place[entry]) // (index.edits[item] + 1)
     group = doc[at].astype(np.int64) * len(index.items) + item
-    out = []
-    for shift in (0, 1):
-        key = (group << 24) + (band - shift + 8)
-        # A table of counts by hash first: few hits are left to be sorted.
-        slot = ((key.astype(np.uint64) * _MIX) >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
-        enough = np.bincount(slot, minlength=1 << _MAP_BITS)[slot] >= index.need[item]
-        keys, counts = np.unique(key[enough], return_counts=True)
-        owner = (keys >> 24) % len(index.items)
-        keys = keys[counts >= index.need[owner]]
-        out += [(int((k >> 24) // len(index.items)), int((k >> 24) % len(index.items)), int(k & 0xFFFFFF) - 8) for k in keys]
-    return out
+    # Each hit counts for the band that starts at its own part of the diagonals and for the one that
+    # starts a part earlier: of parts of edits + 1 diagonals any two neighbours make a band.
+    key = (group << 24) + (band + 8)
+    key, item = np.concatenate([key, key - 1]), np.concatenate([item, item])
+    # A table of counts by hash first: few hits are left to be sorted.
+    slot = ((key.astype(np.uint64) * _MIX) >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
+    enough = np.bincount(slot, minlength=1 << _MAP_BITS)[slot] >= index.need[item]
+    keys, counts = np.unique(key[enough], return_counts=True)
+    owner = (keys >> 24) % len(index.items)
+    keys = keys[counts >= index.need[owner]]
+    return [(int((k >> 24) // len(index.items)), int((k >> 24) % len(index.items)), int(k & 0xFFFFFF) - 8) for k in keys]
 
 
 def _best_apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
