@@ -62,17 +62,34 @@ def link(
     A link is a pair within ``max_bits`` bits that ``verify`` keeps of the stored (a, b) pairs it
     is given; component is the smallest id that can be reached.
     """
-    keyed = nodes.select("id", "fp", F.explode(_keys(F.col("fp"), max_bits, blocks)).alias("key"))
+    keyed = nodes.select("id", "fp", pigeonholes("fp", max_bits, blocks))
+    return link_keyed(keyed, lambda x, y: distance(x["fp"], y["fp"]) <= max_bits, verify)
+
+
+def pigeonholes(fp: str, max_bits: int, blocks: int) -> Column:
+    """One row for each key of a fingerprint."""
+    return F.explode(_keys(F.col(fp), max_bits, blocks)).alias("key")
+
+
+def link_keyed(
+    keyed: DataFrame,
+    near: Callable[[dict[str, Column], dict[str, Column]], Column],
+    verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+) -> DataFrame:
+    """The same for rows (id, key, others): a link is a pair that shares a key, of which ``near``
+    holds, given the other columns of both by name, and which ``verify`` keeps."""
+    others = [c for c in keyed.columns if c not in ("id", "key")]
+    here, there = {c: F.col(c) for c in others}, {c: F.col(f"{c}_2") for c in others}
+    renamed = {c: f"{c}_2" for c in others}
     # Most keys have one row: they go before anything but the key is shuffled.
     shared = store(keyed.groupBy("key").count().where("count > 1").select("key"), "keys")
     members = store(keyed.join(small(shared), "key"), "members")
     reps = store(
-        members.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("rep")).select("key", "rep.*"), "reps"
-    ).withColumnsRenamed({"id": "rep", "fp": "rep_fp"})
-    near = distance(F.col("fp"), F.col("rep_fp")) <= max_bits
+        members.groupBy("key").agg(F.min(F.struct("id", *others)).alias("rep")).select("key", "rep.*"), "reps"
+    ).withColumnsRenamed({"id": "rep", **renamed})
     first = store(
         members.join(small(reps), "key")
-        .where(near & (F.col("id") != F.col("rep")))
+        .where(near(here, there) & (F.col("id") != F.col("rep")))
         .select(F.col("rep").alias("a"), F.col("id").alias("b"))
         .distinct(),
         "first-pairs",
@@ -80,9 +97,9 @@ def link(
     first = store(verify(first), "first-links")
     so_far = store(components(first), "components")
     tagged = store(
-        members.select("key", "id", "fp")
+        members.select("key", "id", *others)
         .join(small(so_far), "id", "left")
-        .select("key", "id", "fp", F.coalesce("component", "id").alias("component")),
+        .select("key", "id", *others, F.coalesce("component", "id").alias("component")),
         "tagged",
     )
     mixed = store(
@@ -93,16 +110,11 @@ def link(
         "mixed",
     )
     rest = store(tagged.join(small(mixed), "key"), "rest")
-    other = rest.select(
-        "key",
-        F.col("id").alias("id2"),
-        F.col("fp").alias("fp2"),
-        F.col("component").alias("component2"),
-    )
+    other = rest.withColumnsRenamed({"id": "id2", "component": "component2", **renamed})
     second = store(
         rest.join(other, "key")
         .where("component < component2")
-        .where(distance(F.col("fp"), F.col("fp2")) <= max_bits)
+        .where(near(here, there))
         .select(F.col("id").alias("a"), F.col("id2").alias("b"))
         .distinct(),
         "second-pairs",
