@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import brute
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from trajmill.llm import decontaminate
+from trajmill.llm import decontaminate, lines
 
 
 @pytest.mark.parametrize("length", [200, 400])
@@ -48,3 +49,27 @@ def test_near_dedup_finds_similarity_of_four_fifths(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert sum(s >= 0.8 for s in copies.values()) > 50 and sum(s < 0.8 for s in copies.values()) > 20
     assert kept == set(range(120)) | {i for i, s in copies.items() if s < 0.8}
+
+
+def test_lines_of_the_wanted_edit_similarity_are_linked(spark):
+    """With the query's own defaults, against edit similarity alone: one copy of each line with
+    changed words or scattered letters."""
+    rng = np.random.default_rng(31)
+    words = ["".join(rng.choice(list("abcdefghijklmno"), size=int(n))) for n in rng.integers(2, 9, size=600)]
+    table, alike = [], set()
+    for i in range(400):
+        line = list(" ".join(rng.choice(words, size=4 + i % 37)))
+        copy = list(line)
+        for at in rng.choice(len(copy), size=1 + i % 4, replace=False):
+            if copy[at] != " ":
+                copy[at] = "xyz"[i % 3] * (i % 3)
+        if i % 2:
+            copy = " ".join([*"".join(line).split()[:-1], "other"])
+        line, copy = "".join(line), "".join(copy)
+        table += [(i, line), (1000 + i, copy)]
+        if brute.edits(line, copy) <= int(0.1 * max(len(line), len(copy)) + 1e-9):
+            alike.add(1000 + i)
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    gone = {r["id"] for r in lines.repeated_lines(docs).collect()}
+    assert len(alike) > 200 and gone <= alike
+    assert len(gone) >= 0.99 * len(alike)
