@@ -73,3 +73,11 @@ def test_lines_of_the_wanted_edit_similarity_are_linked(spark):
     gone = {r["id"] for r in lines.repeated_lines(docs).collect()}
     assert len(alike) > 200 and gone <= alike
     assert len(gone) >= 0.99 * len(alike)
+
+
+def test_short_lines_are_compared_too(spark):
+    """Lines of one or two words, lines of a script without spaces and lines of marks."""
+    some = ["wh the", "les", "これは繰り返される文です", "-----", "=====", " "]
+    docs = spark.createDataFrame([(1, "\n".join(some)), (2, "\n".join(["Wh, the!", *some[1:], "ok"]))], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+    assert got == {1: "\n".join(some), 2: " \nok"}
