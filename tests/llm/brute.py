@@ -102,3 +102,21 @@ def nearest(item: str, text: str) -> int:
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
         row = new
     return min(row)
+
+
+def runs(words: list, times: int = 4, least: int = 6) -> list[list[int]]:
+    """[start, length, period] of the periodic runs: every distance, every stretch."""
+    found = []
+    for p in range(1, len(words) // times + 1):
+        same = [a == b for a, b in zip(words, words[p:])] + [False]
+        start = None
+        for at, equal in enumerate(same):
+            if equal and start is None:
+                start = at
+            elif not equal and start is not None:
+                if at - start + p >= max(least, times * p):
+                    own = words[start : at + p]
+                    if not any(own[q:] == own[:-q] for q in range(1, p)):
+                        found.append([start, len(own), p])
+                start = None
+    return sorted(found, key=lambda r: (r[0], r[2]))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajmill.llm import chat, decontaminate, language, licences, lines, mixing, simhash, topk, toxicity, warc
+from trajmill.llm import chat, decontaminate, language, licences, lines, mixing, runs, simhash, topk, toxicity, warc
 from trajmill.llm.shared import read
 from trajmill.session import new_folder
 
@@ -201,6 +201,47 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def _with_period(doc_id: Column, text: Column) -> Column:
+    """The text of op12: one in ten, chosen by the id's hash, repeats itself from one of its words on."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def rebuilt(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        # What a lambda is given is computed once.
+        whole = F.transform(
+            F.array(F.struct(words.alias("words"), a.alias("a"), p.alias("p"))),
+            lambda x: F.transform(
+                x["words"],
+                lambda w, i: F.when(i < x["a"], w).otherwise(F.get(x["words"], x["a"] + (i - x["a"]) % x["p"])),
+            ),
+        )
+        return F.when(n > 0, F.array_join(F.flatten(whole), " ")).otherwise("")
+
+    words = F.array(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    return F.when((h % 10 == 0) & text.isNotNull(), F.get(F.transform(words, rebuilt), F.lit(0))).otherwise(text)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", _with_period(F.col("doc_id"), F.col("text").cast("string")).alias("text"))
+    found = runs.find_runs(docs)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    top = F.get("runs", F.col("top"))
+    return found.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.floor(1000 * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_mixing": op2_mixing,
@@ -212,5 +253,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_licences": op9_licences,
     "op10_language": op10_language,
+    "op12_runs": op12_runs,
 }
 ORACLES = {"op2_mixing": OP2_SQL, "op4_chat": OP4_SQL, "op5_warc": OP5_SQL, "op6_topk": OP6_SQL}
