@@ -45,13 +45,13 @@ def test_texts_that_share_a_stream(monkeypatch, piece):
     texts = [[str(w).encode() for w in some_words(rng)] for _ in range(200)]
     # Texts that are periodic together and not alone.
     texts += [[b"a"] * 3, [b"a"] * 3, [], [b"a", b"b"] * 3, [b"a", b"b"] * 4]
-    found = [r.tolist() for r in runs.runs_of(texts)]
+    found = [r.tolist() for _, r in runs.runs_of(texts)]
     assert found == [brute.runs(t) for t in texts]
 
 
 def test_long_texts_take_near_linear_time():
     for words in ([b"a"] * 200_000, [b"a", b"b", b"a"] * 70_000):
-        (found,) = runs.runs_of([words])
+        ((_, found),) = runs.runs_of([words])
         assert found.tolist() == [[0, len(words), 1 if words[1] == b"a" else 3]]
 
 

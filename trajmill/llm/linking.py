@@ -7,7 +7,8 @@ made of that many parts. Rows meet by key:
 1. every row is compared with one row of its key (linear, whatever the key's size);
 2. the links found so far are contracted to components, and keys whose rows are all in one
    component are done: this is where large groups of near copies end;
-3. in the other keys, rows of different components are compared.
+3. in the other keys, rows of different components are compared; where the caller has a second
+   exact key, rows of keys with many rows are taken through all steps by that one instead.
 
 The outcome is exactly the components of the links; only the links inside a component
 that is connected already are left out.
@@ -75,9 +76,16 @@ def link_keyed(
     keyed: DataFrame,
     near: Callable[[dict[str, Column], dict[str, Column]], Column],
     verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+    large: int = 64,
+    join_up: Callable[[DataFrame], DataFrame] = components,
 ) -> DataFrame:
     """The same for rows (id, key, others): a link is a pair that shares a key, of which ``near``
-    holds, given the other columns of both by name, and which ``verify`` keeps."""
+    holds, given the other columns of both by name, and which ``verify`` keeps.
+
+    ``refine`` makes other keys, as rows (id, key, others), of the rows of keys with more than
+    ``large`` rows in different components; all pairs to be linked among them must share one.
+    ``join_up`` makes components of links."""
     others = [c for c in keyed.columns if c not in ("id", "key")]
     here, there = {c: F.col(c) for c in others}, {c: F.col(f"{c}_2") for c in others}
     renamed = {c: f"{c}_2" for c in others}
@@ -95,7 +103,7 @@ def link_keyed(
         "first-pairs",
     )
     first = store(verify(first), "first-links")
-    so_far = store(components(first), "components")
+    so_far = store(join_up(first), "components")
     tagged = store(
         members.select("key", "id", *others)
         .join(small(so_far), "id", "left")
@@ -104,12 +112,13 @@ def link_keyed(
     )
     mixed = store(
         tagged.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
         .where("lo < hi")
-        .select("key"),
+        .select("key", "rows"),
         "mixed",
     )
-    rest = store(tagged.join(small(mixed), "key"), "rest")
+    every = store(tagged.join(small(mixed), "key"), "rest")
+    rest = (every if refine is None else every.where(F.col("rows") <= large)).drop("rows")
     other = rest.withColumnsRenamed({"id": "id2", "component": "component2", **renamed})
     second = store(
         rest.join(other, "key")
@@ -119,6 +128,10 @@ def link_keyed(
         .distinct(),
         "second-pairs",
     )
-    if second.isEmpty():
-        return so_far
-    return components(first.unionByName(verify(second)))
+    links = first if second.isEmpty() else first.unionByName(verify(second))
+    if refine is not None:
+        crowded = every.where(F.col("rows") > large).select("id", *others)
+        if not crowded.isEmpty():
+            deeper = link_keyed(refine(crowded), near, verify, None, large, join_up)
+            links = links.unionByName(deeper.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return so_far if links is first else join_up(links)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajmill.llm import chat, decontaminate, language, licences, lines, mixing, runs, simhash, topk, toxicity, warc
+from trajmill.llm import chat, decontaminate, language, licences, lines, mixing, runs, simhash, superminhash, topk, toxicity, warc
 from trajmill.llm.shared import read
 from trajmill.session import new_folder
 
@@ -201,6 +201,31 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP11_SQL = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+t AS (SELECT list_sort(s) AS s, min(doc_id) AS k, len(any_value(s)) AS n FROM s GROUP BY list_sort(s)),
+e AS (SELECT k, n, hash(unnest(s)) AS x FROM t),
+p AS (
+    SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.x = b.x AND a.k < b.k AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT k AS a, k AS b FROM t UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS k, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE c.component_id END AS component_id,
+    len(s.s) = 0 OR s.doc_id = c.component_id AS kept
+FROM s JOIN t ON list_sort(s.s) = t.s JOIN c ON c.k = t.k
+"""
+
+
 def _with_period(doc_id: Column, text: Column) -> Column:
     """The text of op12: one in ten, chosen by the id's hash, repeats itself from one of its words on."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -253,6 +278,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_licences": op9_licences,
     "op10_language": op10_language,
+    "op11_minhash": op11_minhash,
     "op12_runs": op12_runs,
 }
-ORACLES = {"op2_mixing": OP2_SQL, "op4_chat": OP4_SQL, "op5_warc": OP5_SQL, "op6_topk": OP6_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op4_chat": OP4_SQL, "op5_warc": OP5_SQL, "op6_topk": OP6_SQL, "op11_minhash": OP11_SQL}

@@ -15,7 +15,7 @@ pieces, which numpy handles at once; how a text is cut into pieces changes nothi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -135,8 +135,10 @@ class Catchers:
         return every[np.lexsort((every[:, 2], every[:, 0]))]
 
 
-def runs_of(texts: list[list[bytes]], times: int = 4, least: int = 6) -> Iterator[np.ndarray]:
-    """The runs of each text of words. Short texts share a stream, each ended by a word of its own."""
+def runs_of(
+    texts: Iterable[list[bytes]], times: int = 4, least: int = 6
+) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Each text of words with its runs. Short texts share a stream, each ended by a word of its own."""
     group: list[list[bytes]] = []
     size = 0
     for words in texts:
@@ -148,7 +150,9 @@ def runs_of(texts: list[list[bytes]], times: int = 4, least: int = 6) -> Iterato
     yield from _runs_of_group(group, times, least)
 
 
-def _runs_of_group(group: list[list[bytes]], times: int, least: int) -> Iterator[np.ndarray]:
+def _runs_of_group(
+    group: list[list[bytes]], times: int, least: int
+) -> Iterator[tuple[list[bytes], np.ndarray]]:
     ids: dict = {}
     codes = np.empty(sum(map(len, group)) + len(group), dtype=np.int64)
     starts, at = [], 0
@@ -165,7 +169,7 @@ def _runs_of_group(group: list[list[bytes]], times: int, least: int) -> Iterator
     cuts = np.searchsorted(found[:, 0], starts)
     for i, start in enumerate(starts):
         own = found[cuts[i] : cuts[i + 1] if i + 1 < len(cuts) else len(found)]
-        yield own - [start, 0, 0]
+        yield group[i], own - [start, 0, 0]
 
 
 def collapse(words: list[bytes], runs: np.ndarray) -> list[bytes]:
@@ -194,9 +198,9 @@ _FOUND = "n_words long, runs array<struct<start:long,length:long,period:long>>,
 def _finder(times: int, least: int):
     @F.pandas_udf(_FOUND)
     def finder(texts: pd.Series) -> pd.DataFrame:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        words = ((t or "").encode("utf-8", "surrogatepass").split() for t in texts)
         rows = []
-        for own, runs in zip(words, runs_of(words, times, least)):
+        for own, runs in runs_of(words, times, least):
             kept = b" ".join(collapse(own, runs)).decode("utf-8", "surrogatepass")
             named = [{"start": s, "length": n, "period": q} for s, n, q in runs.tolist()]
             rows.append((len(own), named, highest(runs), kept))
