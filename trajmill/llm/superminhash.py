@@ -13,7 +13,7 @@ reduced to a forest by union-find within each task and then merged across tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,6 @@ from trajmill.llm.components import components
 from trajmill.llm.linking import link_keyed
 from trajmill.llm.shared import small, store
 
-SEED = 42
 #: A pair with a similarity of 0.8 shares none of the bands once in twenty million times.
 BANDS, ROWS = 32, 4
 #: Elements whose orders are drawn together.
@@ -53,7 +52,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return np.zeros(0, dtype=np.uint64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in tokens), dtype=np.uint64, count=len(tokens))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
     size = min(words, len(hashes))
     found = np.full(len(hashes) - size + 1, size, dtype=np.uint64)
     for i in range(size):
@@ -61,25 +60,27 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(found)
 
 
-def signatures(sets: list[np.ndarray], slots: int = BANDS * ROWS) -> np.ndarray:
-    """The SuperMinHash of each set, one row of doubles; of an empty set, infinities."""
-    best = np.full((len(sets), slots), np.inf)
-    first, size = 0, 0
-    for i, own in enumerate(sets):
-        if size + len(own) > AT_ONCE and i > first:
-            _draw(sets[first:i], best[first:i])
-            first, size = i, 0
+def _groups(sets: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Sets of AT_ONCE elements together, larger ones alone."""
+    group: list[np.ndarray] = []
+    size = 0
+    for own in sets:
+        if group and size + len(own) > AT_ONCE:
+            yield group
+            group, size = [], 0
+        group.append(own)
         size += len(own)
-    if len(sets) > first:
-        _draw(sets[first:], best[first:])
-    return best
+    yield group
 
 
-def _draw(sets: list[np.ndarray], best: np.ndarray) -> None:
+def signatures(sets: list[np.ndarray], slots: int = BANDS * ROWS) -> np.ndarray:
+    """The SuperMinHash of each set, one row of doubles; of an empty set, infinities."""
+    best = np.full((len(sets), slots), np.inf)
     owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    elements = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    elements = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
     for at in range(0, len(elements), AT_ONCE):
         _lower(elements[at : at + AT_ONCE], owners[at : at + AT_ONCE], best)
+    return best
 
 
 def _lower(elements: np.ndarray, owners: np.ndarray, best: np.ndarray) -> None:
@@ -121,18 +122,18 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _set_id(own: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
+    return xxhash.xxh3_64_intdigest(own.tobytes()) if len(own) else 0
 
 
 def _sketches(words: int, bands: int, rows: int):
     @F.pandas_udf("k long, size long, bands array<long>")
     def sketches(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, words) for t in texts]
-        keys = band_keys(signatures(sets, bands * rows), bands, rows).view(np.int64)
-        found = [
-            (np.uint64(_set_id(own)).astype(np.int64), len(own), row if len(own) else row[:0])
-            for own, row in zip(sets, keys)
-        ]
+        found = []
+        for sets in _groups(shingle_set(t, words) for t in texts):
+            keys = band_keys(signatures(sets, bands * rows), bands, rows).view(np.int64)
+            for own, row in zip(sets, keys):
+                k = np.uint64(_set_id(own)).astype(np.int64)
+                found.append((k, len(own), row if len(own) else row[:0]))
         return pd.DataFrame(found, columns=["k", "size", "bands"])
 
     return sketches
@@ -148,14 +149,15 @@ def _shingles(words: int):
 
 def _comparer(words: int, percent: int) -> Callable:
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            first = shingle_set(left["text1"].iloc[0], words)
-            for a, b, text in zip(right["a"], right["b"], right["text2"]):
-                second = shingle_set(text, words)
-                both = len(np.intersect1d(first, second, assume_unique=True))
-                if 100 * both >= percent * (len(first) + len(second) - both):
-                    found.append((a, b))
+        firsts = dict(zip(left["a1"], left["text1"]))
+        found, known, first = [], None, None
+        for a, b, text in right.sort_values("a")[["a", "b", "text2"]].itertuples(index=False):
+            if a != known:
+                known, first = a, shingle_set(firsts[a], words)
+            second = shingle_set(text, words)
+            both = len(np.intersect1d(first, second, assume_unique=True))
+            if 100 * both >= percent * (len(first) + len(second) - both):
+                found.append((a, b))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return compare
@@ -233,6 +235,8 @@ def near_duplicates(
 
     def verify(pairs: DataFrame) -> DataFrame:
         # Each text of a pair is sent once; the one that many are compared with, once per SHARE of them.
+        # The shares are put together to calls of about as many pairs.
+        calls = F.lit(max(pairs.count() // SHARE, 1))
         counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         shares = store(counts.select("a", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "shares")
         ends = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
@@ -240,15 +244,15 @@ def near_duplicates(
         left = (
             shares.join(body.withColumnRenamed("k", "a"), "a")
             .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-            .select(F.col("a").alias("a1"), F.col("share").alias("share1"), F.col("text").alias("text1"))
+            .select(F.pmod(F.xxhash64("a", "share"), calls).alias("call1"), F.col("a").alias("a1"), F.col("text").alias("text1"))
         )
+        share = F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")
         right = (
             pairs.join(small(shares), "a")
-            .withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
             .join(body.withColumnRenamed("k", "b"), "b")
-            .select("a", "share", F.col("b").alias("b"), F.col("text").alias("text2"))
+            .select(F.pmod(F.xxhash64("a", share), calls).alias("call"), "a", F.col("b").alias("b"), F.col("text").alias("text2"))
         )
-        same = left.groupBy("a1", "share1").cogroup(right.groupBy("a", "share"))
+        same = left.groupBy("call1").cogroup(right.groupBy("call"))
         return same.applyInPandas(_comparer(words, percent), "a long, b long")
 
     def refine(rows_of_large_keys: DataFrame) -> DataFrame:
