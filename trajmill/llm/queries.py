@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajmill.llm import chat, decontaminate, language, licences, lines, mixing, runs, simhash, superminhash, topk, toxicity, warc
-from trajmill.llm.shared import read
+from trajmill.llm import chat, decontaminate, language, licences, lines, mixing, runs, simhash, superminhash, topk, toxicity, trie, warc
+from trajmill.llm.shared import read, store
 from trajmill.session import new_folder
 
 
@@ -267,6 +267,74 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rebuilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The turns of op13's conversations, and their ids: the first h turns of one conversation in five, then
+    the own turns after as many. Turns are known by their role's and text's hash from the first shuffle on."""
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    known = F.md5(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text))
+    turns = read(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), known.alias("key"), F.octet_length(text).alias("weight")
+    )
+    numbered = store(trie.number(turns, "conv_id", "turn", "key"), "turns")
+    own = F.col("conv_id")
+    sizes = numbered.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    convs = sizes.withColumn("h", F.crc32(own.cast("string").cast("binary")) % 9).withColumn("base", own - own % 5)
+    bases = sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
+    lent = F.least("h", F.coalesce("base_n", F.lit(0)))
+    convs = store(convs.join(bases, "base", "left").withColumn("lent", lent), "conversations")
+    # At most eight turns of each base, for at most nine conversations.
+    heads = numbered.where("pos < 8").select(F.col("conv_id").alias("base"), "pos", "key", "weight")
+    head = convs.join(heads, "base").where("pos < h").select("conv_id", F.col("pos").alias("turn"), "key", "weight")
+    rest = numbered.join(convs.select("conv_id", "h", "lent"), "conv_id").where("pos >= h")
+    rest = rest.select("conv_id", (F.col("pos") - F.col("h") + F.col("lent")).alias("turn"), "key", "weight")
+    return store(head.unionByName(rest), "rebuilt"), convs.select("conv_id")
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trie.prefix_trie(*_rebuilt(spark, sf_dir))
+    return found.withColumnRenamed("saved", "saved_tokens")
+
+
+#: The CRC-32 of an ASCII text, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]),
+        lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP13_SQL = f"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+    FROM conversations),
+c AS (
+    SELECT s.conv_id, s.h, least(s.h, coalesce(b.n, 0)) AS lent, s.conv_id - s.conv_id % 5 AS base
+    FROM (SELECT conv_id, count(*) AS n, {_CRC32.format('conv_id::VARCHAR')} % 9 AS h FROM t GROUP BY 1) s
+    LEFT JOIN (SELECT conv_id, count(*) AS n FROM t GROUP BY 1) b ON b.conv_id = s.conv_id - s.conv_id % 5),
+r AS (
+    SELECT c.conv_id, pos + 1 AS depth, role, text FROM c JOIN t ON t.conv_id = c.base AND pos < h
+    UNION ALL SELECT c.conv_id, pos - h + lent + 1, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+p AS (
+    SELECT conv_id, depth, octet_length(encode(text)) AS weight,
+        sha256(string_agg(octet_length(encode(role)) || ':' || octet_length(encode(text)) || ':' || role || text, '')
+            OVER (PARTITION BY conv_id ORDER BY depth)) AS path FROM r
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT conv_id, max(depth) AS size FROM p GROUP BY 1),
+q AS (
+    SELECT p.*, m.size, lag(p.path) OVER (PARTITION BY p.conv_id ORDER BY p.depth) AS parent FROM p JOIN m USING (conv_id)),
+n AS (
+    SELECT path, min(conv_id) AS owner, min(depth) AS depth, any_value(parent) AS parent, count(*) AS n_convs, max(size) AS deepest,
+        any_value(weight) AS weight,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+    FROM q GROUP BY path),
+k AS (SELECT parent AS path, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY 1),
+s AS (
+    SELECT a.path, count(*) FILTER (n.deepest = n.depth) AS n_leaves, sum((n.n_convs - 1) * n.weight) AS saved
+    FROM n JOIN q a ON a.conv_id = n.owner AND a.depth <= n.depth GROUP BY 1)
+SELECT n.owner AS conv_id, n.depth, u.owner AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+    s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (path) LEFT JOIN k USING (path) LEFT JOIN n u ON u.path = n.parent
+"""
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_mixing": op2_mixing,
@@ -280,5 +348,6 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_minhash": op11_minhash,
     "op12_runs": op12_runs,
+    "op13_trie": op13_trie,
 }
-ORACLES = {"op2_mixing": OP2_SQL, "op4_chat": OP4_SQL, "op5_warc": OP5_SQL, "op6_topk": OP6_SQL, "op11_minhash": OP11_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op4_chat": OP4_SQL, "op5_warc": OP5_SQL, "op6_topk": OP6_SQL, "op11_minhash": OP11_SQL, "op13_trie": OP13_SQL}

@@ -46,7 +46,7 @@ def running(
     blocks = cut.groupBy(key, "_block").agg(*[add(F.col(f"_{n}")).alias(f"_of_{n}") for n in sums])
     shifts = blocks.select(
         F.col(key).alias("_key"), F.col("_block").alias("_at"), *[add(F.col(f"_of_{n}")).over(earlier).alias(f"_to_{n}") for n in sums]
-    ).where(F.lit(False) | F.coalesce(*[F.col(f"_to_{n}") for n in sums]).isNotNull())
+    ).where(F.coalesce(*[F.col(f"_to_{n}") for n in sums]).isNotNull())
     here = cut.withColumns({n: add(F.col(f"_{n}")).over(within) for n in sums})
     joined = here.join(shifts, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_at")), "left")
     return joined.select(*df.columns, *[F.struct(n, F.col(f"_to_{n}").alias("before")).alias(n) for n in sums])
@@ -80,7 +80,7 @@ def _tails(paths: DataFrame, bits: int) -> DataFrame:
     slots = [F.col(p).bitwiseAND(F.lit((1 << bits) - 1)) for p in ("p1", "p2")]
     cells = F.array(*[F.struct(F.lit(i).alias("line"), s.alias("slot")) for i, s in enumerate(slots)])
     counts = paths.select(F.inline(cells)).groupBy("line", "slot").agg(F.count(F.lit(1)).alias("n"))
-    one = F.shiftleft(F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
     ones = store(
         counts.where("n = 1").groupBy("line", F.shiftright("slot", 6).alias("word")).agg(F.bit_or(one).alias("ones")),
         "sketch",
@@ -91,7 +91,8 @@ def _tails(paths: DataFrame, bits: int) -> DataFrame:
         words = F.broadcast(ones.where(F.col("line") == i).select(F.col("word").alias(f"w{i}"), F.col("ones").alias(f"ones{i}")))
         found = found.join(words, F.shiftright(slot, 6) == F.col(f"w{i}"), "left")
     single = [
-        F.coalesce(F.shiftrightunsigned(f"ones{i}", slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+        F.call_function("shiftrightunsigned", F.coalesce(f"ones{i}", F.lit(0).cast("long")), slot.bitwiseAND(F.lit(63)).cast("int"))
+        .bitwiseAND(F.lit(1)) == 1
         for i, slot in enumerate(slots)
     ]
     return found.where(single[0] | single[1]).groupBy("id").agg(F.min("depth").alias("tail"))
