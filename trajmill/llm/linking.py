@@ -26,6 +26,8 @@ from trajmill.llm.components import components
 from trajmill.llm.shared import small, store
 
 BITS = 64
+#: Orders of the ids by which the rows of a group of keys are compared with one of them.
+ORDERS = 4
 
 
 def masks(max_bits: int, blocks: int) -> list[int]:
@@ -78,6 +80,7 @@ def link_keyed(
     verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
     refine: Callable[[DataFrame], DataFrame] | None = None,
     large: int = 64,
+    rounds: int = 1,
     join_up: Callable[[DataFrame], DataFrame] = components,
 ) -> DataFrame:
     """The same for rows (id, key, others): a link is a pair that shares a key, of which ``near``
@@ -85,6 +88,7 @@ def link_keyed(
 
     ``refine`` makes other keys, as rows (id, key, others), of the rows of keys with more than
     ``large`` rows in different components; all pairs to be linked among them must share one.
+    ``rounds`` says how often rows are compared with one row of their key before pairs are made.
     ``join_up`` makes components of links."""
     others = [c for c in keyed.columns if c not in ("id", "key")]
     here, there = {c: F.col(c) for c in others}, {c: F.col(f"{c}_2") for c in others}
@@ -92,31 +96,41 @@ def link_keyed(
     # Most keys have one row: they go before anything but the key is shuffled.
     shared = store(keyed.groupBy("key").count().where("count > 1").select("key"), "keys")
     members = store(keyed.join(small(shared), "key"), "members")
-    reps = store(
-        members.groupBy("key").agg(F.min(F.struct("id", *others)).alias("rep")).select("key", "rep.*"), "reps"
-    ).withColumnsRenamed({"id": "rep", **renamed})
-    first = store(
-        members.join(small(reps), "key")
-        .where(near(here, there) & (F.col("id") != F.col("rep")))
-        .select(F.col("rep").alias("a"), F.col("id").alias("b"))
-        .distinct(),
-        "first-pairs",
-    )
-    first = store(verify(first), "first-links")
-    so_far = store(join_up(first), "components")
-    tagged = store(
-        members.select("key", "id", *others)
-        .join(small(so_far), "id", "left")
-        .select("key", "id", *others, F.coalesce("component", "id").alias("component")),
-        "tagged",
-    )
-    mixed = store(
-        tagged.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
-        .where("lo < hi")
-        .select("key", "rows"),
-        "mixed",
-    )
+    tagged = members.withColumn("component", F.col("id"))
+    first = None
+    for turn in range(rounds):
+        # One round compares with the smallest id; of several, each with rows by another order of the
+        # ids, one of a few for each key, so that a group meets some of its rows and not one of them.
+        order = F.lit(0).cast("long") if rounds == 1 else F.xxhash64("id", F.pmod("key", F.lit(ORDERS)), F.lit(turn))
+        reps = store(
+            tagged.groupBy("key").agg(F.min(F.struct(order, "id", "component", *others)).alias("rep")).select("key", "rep.*"),
+            "reps",
+        ).select("key", F.col("id").alias("rep"), F.col("component").alias("rep_component"), *[F.col(c).alias(n) for c, n in renamed.items()])
+        pairs = store(
+            tagged.join(small(reps), "key")
+            .where(near(here, there) & (F.col("component") != F.col("rep_component")))
+            .select(F.col("rep").alias("a"), F.col("id").alias("b"))
+            .distinct(),
+            "first-pairs",
+        )
+        found = store(verify(pairs), "first-links")
+        first = found if first is None else first.unionByName(found)
+        so_far = store(join_up(first), "components")
+        tagged = store(
+            tagged.drop("component")
+            .join(small(so_far), "id", "left")
+            .select("key", "id", *others, F.coalesce("component", "id").alias("component")),
+            "tagged",
+        )
+        mixed = store(
+            tagged.groupBy("key")
+            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
+            .where("lo < hi")
+            .select("key", "rows"),
+            "mixed",
+        )
+        if turn + 1 < rounds:
+            tagged = store(tagged.join(small(mixed), "key").drop("rows"), "tagged")
     every = store(tagged.join(small(mixed), "key"), "rest")
     rest = (every if refine is None else every.where(F.col("rows") <= large)).drop("rows")
     other = rest.withColumnsRenamed({"id": "id2", "component": "component2", **renamed})
@@ -132,6 +146,6 @@ def link_keyed(
     if refine is not None:
         crowded = every.where(F.col("rows") > large).select("id", *others)
         if not crowded.isEmpty():
-            deeper = link_keyed(refine(crowded), near, verify, None, large, join_up)
+            deeper = link_keyed(refine(crowded), near, verify, None, large, rounds, join_up)
             links = links.unionByName(deeper.select(F.col("id").alias("a"), F.col("component").alias("b")))
     return so_far if links is first else join_up(links)

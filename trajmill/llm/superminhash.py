@@ -28,9 +28,11 @@ from trajmill.llm.shared import small, store
 #: A pair with a similarity of 0.8 shares none of the bands once in twenty million times.
 BANDS, ROWS = 32, 4
 #: Elements whose orders are drawn together.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 15
 #: Rows of a key up to which rows that are not linked yet are compared directly.
-LARGE = 64
+LARGE = 32
+#: How often rows are compared with one row of their key before pairs are made.
+ROUNDS = 3
 #: Texts that one task compares with a text at a time.
 SHARE = 32
 
@@ -105,7 +107,7 @@ def _lower(elements: np.ndarray, owners: np.ndarray, best: np.ndarray) -> None:
             slot = moved = other
         else:
             if orders is None:
-                orders = np.tile(np.arange(slots, dtype=np.int16), (len(elements), 1))
+                orders = np.tile(np.arange(slots, dtype=np.min_scalar_type(slots)), (len(elements), 1))
                 orders[rows, moved] = 0
             slot = orders[rows, other].astype(np.int64)
             orders[rows, other] = orders[:, place]
@@ -275,7 +277,7 @@ def near_duplicates(
     def join_up(links: DataFrame) -> DataFrame:
         return components(links.mapInPandas(_forest, "a long, b long"))
 
-    linked = store(link_keyed(keyed, near, verify, refine, large, join_up), "linked").withColumnRenamed("id", "k")
+    linked = store(link_keyed(keyed, near, verify, refine, large, ROUNDS, join_up), "linked").withColumnRenamed("id", "k")
     tagged = store(
         nodes.select("k", "smallest")
         .join(small(linked), "k", "left")
