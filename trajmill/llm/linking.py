@@ -27,7 +27,7 @@ from trajmill.llm.shared import small, store
 
 BITS = 64
 #: Orders of the ids by which the rows of a group of keys are compared with one of them.
-ORDERS = 4
+ORDERS = 8
 
 
 def masks(max_bits: int, blocks: int) -> list[int]:
@@ -82,6 +82,7 @@ def link_keyed(
     large: int = 64,
     rounds: int = 1,
     join_up: Callable[[DataFrame], DataFrame] = components,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """The same for rows (id, key, others): a link is a pair that shares a key, of which ``near``
     holds, given the other columns of both by name, and which ``verify`` keeps.
@@ -89,21 +90,33 @@ def link_keyed(
     ``refine`` makes other keys, as rows (id, key, others), of the rows of keys with more than
     ``large`` rows in different components; all pairs to be linked among them must share one.
     ``rounds`` says how often rows are compared with one row of their key before pairs are made.
-    ``join_up`` makes components of links."""
+    ``known`` are components that were found before; ``join_up`` makes components of links."""
     others = [c for c in keyed.columns if c not in ("id", "key")]
     here, there = {c: F.col(c) for c in others}, {c: F.col(f"{c}_2") for c in others}
     renamed = {c: f"{c}_2" for c in others}
     # Most keys have one row: they go before anything but the key is shuffled.
     shared = store(keyed.groupBy("key").count().where("count > 1").select("key"), "keys")
     members = store(keyed.join(small(shared), "key"), "members")
-    tagged = members.withColumn("component", F.col("id"))
-    first = None
+    if known is None:
+        tagged, first = members.withColumn("component", F.col("id")), None
+    else:
+        tagged = members.join(small(known), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        first = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
     for turn in range(rounds):
-        # One round compares with the smallest id; of several, each with rows by another order of the
-        # ids, one of a few for each key, so that a group meets some of its rows and not one of them.
-        order = F.lit(0).cast("long") if rounds == 1 else F.xxhash64("id", F.pmod("key", F.lit(ORDERS)), F.lit(turn))
+        # One round compares with the smallest id; of several, the first with rows by one of a few
+        # orders of the ids, so that a group meets some of its rows and not one of them, and the others
+        # with rows that were linked to the most of those: the middle of a group.
+        order = F.lit(0).cast("long") if rounds == 1 else F.xxhash64("id", F.pmod("key", F.lit(ORDERS)))
+        ranked = tagged.withColumn("links", F.lit(0).cast("long"))
+        if turn:
+            links = found if turn == 1 else links.unionByName(found)
+            counts = links.groupBy(F.col("b").alias("id")).agg((-F.count(F.lit(1))).alias("links"))
+            counts = counts.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+            ranked = tagged.join(small(store(counts, "link-counts")), "id", "left")
         reps = store(
-            tagged.groupBy("key").agg(F.min(F.struct(order, "id", "component", *others)).alias("rep")).select("key", "rep.*"),
+            ranked.groupBy("key")
+            .agg(F.min(F.struct(F.coalesce("links", F.lit(0).cast("long")), order, "id", "component", *others)).alias("rep"))
+            .select("key", "rep.*"),
             "reps",
         ).select("key", F.col("id").alias("rep"), F.col("component").alias("rep_component"), *[F.col(c).alias(n) for c, n in renamed.items()])
         pairs = store(
@@ -146,6 +159,6 @@ def link_keyed(
     if refine is not None:
         crowded = every.where(F.col("rows") > large).select("id", *others)
         if not crowded.isEmpty():
-            deeper = link_keyed(refine(crowded), near, verify, None, large, rounds, join_up)
+            deeper = link_keyed(refine(crowded), near, verify, None, large, rounds, join_up, so_far)
             links = links.unionByName(deeper.select(F.col("id").alias("a"), F.col("component").alias("b")))
     return so_far if links is first else join_up(links)
