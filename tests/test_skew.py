@@ -82,6 +82,20 @@ def test_no_slot_is_large(spark):
     assert seen[0] < total / 4
 
 
+def test_groups_on_different_scales_get_even_slots(spark):
+    """Each hot group is cut by its own borders, and the plan is built without a job."""
+    rng = random.Random(3)
+    data = [(i, i % 2, rng.random() + 1000 * (i % 2), True) for i in range(4000)]
+    df = spark.createDataFrame(data, "ID bigint, data_id bigint, reward double, label boolean")
+    got = skew.number_by_score(df, ["data_id"], "reward", limit=100)
+    assert rows(got) == rows(plain(df, ["data_id"], F.desc("reward"), "ID"))
+    facts = F.struct(skew._score_marks(F.col("reward")).alias("scores"), skew._id_marks(F.col("ID")).alias("ids"))
+    per_group = df.groupBy("data_id").agg(F.count("*").alias("_rows"), facts.alias("_marks"))
+    slots = df.join(per_group, "data_id").withColumn("s", skew._score_slot(F.col("reward"), F.col("ID"), 100))
+    sizes = slots.groupBy("data_id", "s").count().groupBy("data_id").agg(F.max("count").alias("most"), F.count("*").alias("n"))
+    assert all(r["most"] <= 60 and r["n"] >= 100 for r in sizes.collect())
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("limit", [25, 10_000])
 def test_skew_join(spark, how, limit):
@@ -115,7 +129,7 @@ def test_operators_agree_hot_or_not(spark):
             rows(selection.select_topk_per_search(df, 2, 5, limit=limit)),
             rows(selection.select_all_ranked(df, 5, limit=limit)),
             rows(selection.select_random_k(df, 2, 5, 3, limit)),
-            rows(sampling.sample_pair_ids(df, 8, limit=limit)),
+            rows(sampling.sample_pair_ids(df, 8)),
             [
                 (n, round(v, 9))
                 for n, v in rows(metrics.best_of_n_exact(df, (1, 4, 64), limit=limit))

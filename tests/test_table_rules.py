@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import hashlib
 import itertools
 import math
 import random
@@ -94,9 +96,38 @@ def test_curves_run_to_n(spark, monkeypatch):
     assert sorted(drawn) == sizes and drawn[3000] == float(best_row["label"])
 
 
-def test_sampled_best_limits_before_the_shuffle(scored):
-    plan = M.best_of_n_sampled(scored, (1, 2)).groupBy().max()._jdf.queryExecution().executedPlan()
-    assert "WindowGroupLimit" in plan.toString()
+def sampled_by_sorting(df, sizes, trials, seed=42):
+    """best_of_n_sampled by sorting every prompt in every trial."""
+    right = {n: [] for n in sizes}
+    for g in groups(df).values():
+        for trial in range(trials):
+            def place(r):
+                return int(hashlib.md5(f"{seed}|{trial}|{r['ID']}".encode()).hexdigest()[:8], 16), r["ID"]
+
+            order = sorted(g, key=place)
+            for n in sizes:
+                right[n].append(best(order[:n])["label"])
+    return {n: sum(v) / len(v) for n, v in right.items()}
+
+
+@pytest.mark.parametrize("bits", [0, 3, 12])
+def test_sampled_best_is_that_of_sorting(spark, monkeypatch, bits):
+    """One hot prompt, small ones, equal scores; buckets of any size give the same samples."""
+    monkeypatch.setattr(M, "DRAW_BITS", bits)
+    rng = random.Random(bits)
+    data = [(i, 0 if i % 3 else rng.randrange(1, 40), float(rng.randrange(6)), rng.random() < 0.4) for i in range(900)]
+    df = spark.createDataFrame(data, SCORED)
+    sizes = (1, 2, 5, 64, 300, 2000)
+    got = {r["n"]: r["solve_rate"] for r in M.best_of_n_sampled(df, sizes, trials=3).collect()}
+    assert got == pytest.approx(sampled_by_sorting(df, sizes, 3))
+
+
+def test_no_window_spans_a_prompt(scored):
+    plan = M.best_of_n_sampled(scored, (1, 2))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    # One over the buckets' counts of a prompt and trial, one over the rows of a bucket.
+    assert len(windows) >= 2
+    assert all("_bucket" in line or ", n#" in line for line in windows)
 
 
 @pytest.mark.parametrize("kind, values", [("double", [0.3, 0.5, 0.51, 1.0]), ("int", [0, 0, 1, 1]), ("boolean", [False, False, True, True])])
@@ -255,6 +286,17 @@ def test_draws_reach_every_row(spark):
     assert drawn.select("rejected_ID").distinct().count() == 6
 
 
+def test_draws_are_uniform_and_independent(spark):
+    """Every row of a side is drawn alike often, whatever was drawn before."""
+    df = spark.createDataFrame([(i, 0, 0.0, i < 4) for i in range(8)], SCORED)
+    drawn = sorted((r["draw"], r["chosen_ID"]) for r in P.sample_pair_ids(df, 4000).collect())
+    counts, pairs = collections.Counter(i for _, i in drawn), collections.Counter()
+    for (_, a), (_, b) in zip(drawn, drawn[1:]):
+        pairs[a, b] += 1
+    assert all(abs(n - 1000) < 120 for n in counts.values()) and len(counts) == 4
+    assert all(abs(n - 250) < 75 for n in pairs.values()) and len(pairs) == 16
+
+
 def test_upsample(spark):
     got = P.upsample_positives(nested(spark), 10)
     assert got.count() == 10

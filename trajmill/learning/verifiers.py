@@ -6,15 +6,15 @@ table jobs and makes no claim to its quality. The L2 penalty is on the weights.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajmill.functions.feedback import positive
 from trajmill.functions.messages import joined
+from trajmill.learning.newton import LinearModel, fit
 from trajmill.operators.tokens import word_tokens
+from trajmill.session import new_folder
 
 DIMENSIONS = 512
 
@@ -40,46 +40,48 @@ def verifier_features(
     return _hashed(df, text, name, dimensions)
 
 
-def pair_differences(pairs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """One row per pair: chosen - rejected with label 1, or its negative with label 0.
+def word_ids(df: DataFrame, completion: str = "completion", dimensions: int = DIMENSIONS) -> Column:
+    """The numbers of the words that verifier_features counts."""
+    return word_tokens(F.lower(verifier_text(F.col("prompt"), F.col(completion))), dimensions)
 
-    Both have the same loss without an intercept, so fitting these rows is exactly the
-    pairwise logistic objective. A hash of the pair chooses, to have both labels.
+
+def pair_rows(pairs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(ids, signs, label) of each pair: chosen - rejected with label 1.
+
+    The loss has no intercept, so one sign of the difference is enough: this is exactly the
+    pairwise logistic objective.
     """
-    both = verifier_features(
-        verifier_features(pairs, "chosen", "_c", dimensions), "rejected", "_r", dimensions
-    )
-    label = F.pmod(F.xxhash64("prompt", "chosen", "rejected"), F.lit(2)).cast("double")
-    gap = F.zip_with(
-        vector_to_array("_c"),
-        vector_to_array("_r"),
-        lambda c, r: F.when(F.col("label") == 1.0, c - r).otherwise(r - c),
-    )
-    return both.withColumn("label", label).select("label", array_to_vector(gap).alias("features"))
+    chosen, rejected = word_ids(pairs, "chosen", dimensions), word_ids(pairs, "rejected", dimensions)
+    both = pairs.select(chosen.alias("c"), rejected.alias("r"))
+    signs = F.concat(F.transform("c", lambda _: F.lit(1.0)), F.transform("r", lambda _: F.lit(-1.0)))
+    return both.select(F.concat("c", "r").alias("ids"), signs.alias("signs"), F.lit(1.0).alias("label"))
+
+
+def binary_rows(rollouts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(ids, label) of each rollout."""
+    label = positive(F.col("label")).cast("double").alias("label")
+    return rollouts.select(word_ids(rollouts, dimensions=dimensions).alias("ids"), label)
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """Hashed words, hashed once for all passes."""
+    path = new_folder(rows.sparkSession, "words")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def train_pair_verifier(
-    pairs: DataFrame, l2: float = 0.01, iterations: int = 20, dimensions: int = DIMENSIONS
-) -> LogisticRegressionModel:
+    pairs: DataFrame, l2: float = 0.01, passes: int = 30, dimensions: int = DIMENSIONS
+) -> LinearModel:
     """Minimise the mean of -log sigmoid(r_chosen - r_rejected) plus an L2 term."""
-    learner = LogisticRegression(
-        maxIter=iterations, regParam=l2, elasticNetParam=0.0,
-        fitIntercept=False, standardization=False,
-    )
-    return learner.fit(pair_differences(pairs, dimensions))
+    return fit(_stored(pair_rows(pairs, dimensions)), dimensions, l2, False, most_passes=passes)
 
 
 def train_binary_verifier(
-    rollouts: DataFrame, l2: float = 0.01, iterations: int = 20, dimensions: int = DIMENSIONS
-) -> LogisticRegressionModel:
+    rollouts: DataFrame, l2: float = 0.01, passes: int = 30, dimensions: int = DIMENSIONS
+) -> LinearModel:
     """Minimise logistic loss on the label."""
-    rows = verifier_features(rollouts, dimensions=dimensions).select(
-        "features", positive(F.col("label")).cast("double").alias("label")
-    )
-    learner = LogisticRegression(
-        maxIter=iterations, regParam=l2, elasticNetParam=0.0, standardization=False
-    )
-    return learner.fit(rows)
+    return fit(_stored(binary_rows(rollouts, dimensions)), dimensions, l2, True, most_passes=passes)
 
 
 def score_linear(
@@ -94,23 +96,21 @@ def score_linear(
 
 
 def score_rollouts(
-    model: LogisticRegressionModel, rollouts: DataFrame, name: str = "reward"
+    model: LinearModel, rollouts: DataFrame, name: str = "reward"
 ) -> DataFrame:
     """Add the model's margin as the reward of every rollout."""
-    return score_linear(rollouts, model.coefficients.toArray().tolist(), model.intercept, name)
+    return score_linear(rollouts, model.coefficients.tolist(), model.intercept, name)
 
 
-def gradient(model: LogisticRegressionModel, rows: DataFrame, l2: float) -> DataFrame:
-    """(index, slope): the objective's derivative by each weight over ``features`` and ``label``;
-    all are zero at the minimum."""
-    weights = F.array(*[F.lit(float(w)) for w in model.coefficients.toArray()])
-    dense = vector_to_array("features")
-    margin = F.aggregate(
-        F.zip_with(dense, weights, lambda x, w: x * w), F.lit(float(model.intercept)), lambda a, x: a + x
-    )
+def gradient(model: LinearModel, rows: DataFrame, l2: float) -> DataFrame:
+    """(index, slope): the objective's derivative by the weight of each word in pair_rows or
+    binary_rows; all are zero at the minimum. Only the words that a row has are visited."""
+    weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+    signs = F.col("signs") if "signs" in rows.columns else F.transform("ids", lambda _: F.lit(1.0))
+    terms = F.zip_with("ids", signs, lambda i, s: F.get(weights, i) * s)
+    margin = F.aggregate(terms, F.lit(float(model.intercept)), lambda a, x: a + x)
     error = 1 / (1 + F.exp(-margin)) - F.col("label")
-    parts = rows.select(error.alias("error"), F.posexplode(dense).alias("index", "x"))
-    means = parts.groupBy("index").agg(F.avg(F.col("error") * F.col("x")).alias("mean"))
-    return means.select(
-        "index", (F.col("mean") + l2 * F.get(weights, F.col("index"))).alias("slope")
-    )
+    parts = rows.select(error.alias("error"), F.inline(F.arrays_zip(F.col("ids").alias("index"), signs.alias("sign"))))
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    sums = parts.groupBy("index").agg((F.sum(F.col("error") * F.col("sign")) / total).alias("mean"))
+    return sums.select("index", (F.col("mean") + l2 * F.get(weights, F.col("index"))).alias("slope"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajmill.functions.draws import draw
+from trajmill.functions.draws import RANGE_BITS, draw
 from trajmill.functions.feedback import positive
 from trajmill.functions.messages import prompt_key, response_suffix, shared_prefix_length
 from trajmill.functions.stats import histogram_bin, none_better, pass_at, softplus
@@ -19,6 +19,8 @@ from trajmill.operators import skew
 
 #: Points of a curve that one task sums up.
 CURVE_BLOCK = 65_536
+#: Buckets of the draws of one prompt and trial, as a power of two.
+DRAW_BITS = 12
 
 
 def with_prompt_key(df: DataFrame, name: str = "prompt_key") -> DataFrame:
@@ -161,39 +163,48 @@ def best_of_n_sampled(
 ) -> DataFrame:
     """Repeated experiment: draw min(N, n) rollouts per prompt, keep the best, is it right.
 
-    The first N rows in draw order are the sample, so one numbering serves every N. Rows
-    beyond the largest N below n are dropped before the shuffle; for N >= n the sample is the
-    whole prompt, whose best row needs no draw. ``sizes`` double up to n if not given. Each trial
-    repeats the table: prefer best_of_n_exact on large data.
+    The N rows of the least draws are the sample. Draws are counted in buckets of their range, each with
+    its best row, so a sample is some whole buckets and a part of one more; only the rows of that
+    one are put in order, a few thousandths of a prompt. For N > n the sample is the whole prompt. ``sizes``
+    double up to n if not given. Each trial repeats the table: prefer best_of_n_exact on large data.
     """
-    counts = prompt_counts(df, key)
-    sizes = _sizes(counts, sizes)
+    sizes = _sizes(prompt_counts(df, key), sizes)
     good = positive(F.col("label"))
     score = F.col("reward") if order_by == "reward" else good.cast("double")
     row = F.struct(score.alias("score"), (-F.col("ID")).alias("tie"), good.alias("label"))
-    rows = df.select(key, "ID", row.alias("_row"))
-    # The largest size needs ranks only where it is below n; its whole prompts come from below.
-    ranked = sorted(sizes)[:-1] if len(sizes) > 1 else []
-    best_of_all = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("_row").alias("_all"))
-    if max(sizes) < (counts.agg(F.max("n")).first()[0] or 0):
-        ranked = sorted(sizes)
-    if not ranked:
-        return _by_size(best_of_all, sizes, lambda n: F.col("_all")["label"].cast("double"))
-    drawn = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn(
-        "_draw", draw(seed, F.col("trial"), F.col("ID"))
+    rows = df.where(F.col(key).isNotNull()).select(key, "ID", row.alias("_row"))
+    taken = draw(seed, F.col("trial"), F.col("ID"))
+    drawn = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("_draw", taken)
+    drawn = drawn.withColumn("_bucket", F.shiftright("_draw", RANGE_BITS - DRAW_BITS))
+    cells = drawn.groupBy(key, "trial", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_row").alias("_best"))
+    along = Window.partitionBy(key, "trial").orderBy("_bucket")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    summed = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
+        "_best_before", F.max("_best").over(before)
     )
-    order = Window.partitionBy(key, "trial").orderBy("_draw", "ID")
-    first = drawn.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= max(ranked))
-    best = first.groupBy(key, "trial").agg(
-        *[F.max(F.when(F.col("_no") <= n, F.col("_row"))).alias(f"_{n}") for n in ranked]
+    # The bucket in which the sample of each size ends, and how many of its rows belong to it.
+    upto = F.col("_before") + F.col("_n")
+    ending = F.filter(F.array(*map(F.lit, sizes)), lambda n: (F.col("_before") < n) & (n <= upto))
+    ends = summed.withColumn("n", F.explode(ending)).withColumn("_need", F.col("n") - F.col("_before"))
+    whole = ends.where(F.col("_need") == F.col("_n")).select("n", F.greatest("_best_before", "_best").alias("_top"))
+    cut = ends.where(F.col("_need") < F.col("_n")).select(key, "trial", "_bucket", "n", "_need", "_best_before")
+    order = Window.partitionBy(key, "trial", "n").orderBy("_draw", "ID")
+    inside = drawn.join(cut, [key, "trial", "_bucket"]).withColumn("_no", F.row_number().over(order))
+    refined = (
+        inside.where(F.col("_no") <= F.col("_need"))
+        .groupBy(key, "trial", "n")
+        .agg(F.greatest(F.max("_best_before"), F.max("_row")).alias("_top"))
     )
-    placed = best.join(best_of_all, key)
-
-    def right(n: int) -> Column:
-        drawn_best = F.col(f"_{n}")["label"] if n in ranked else F.col("_all")["label"]
-        return F.when(F.col("n") <= n, F.col("_all")["label"]).otherwise(drawn_best).cast("double")
-
-    return _by_size(placed, sizes, right)
+    sampled = whole.unionByName(refined.select("n", "_top")).groupBy("n").agg(
+        (F.sum(F.col("_top.label").cast("int")) / trials).alias("_right")
+    )
+    # Prompts with fewer rows than the size are drawn whole.
+    best_of_all = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.max("_row").alias("_all"))
+    short = [F.count_if((F.col("_rows") < n) & F.col("_all.label")).alias(f"_{n}") for n in sizes]
+    totals = best_of_all.agg(F.count(F.lit(1)).alias("_prompts"), *short)
+    per_size = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"_{n}").alias("_short"), F.col("_prompts")) for n in sizes])
+    rate = (F.coalesce("_right", F.lit(0.0)) + F.col("_short")) / F.nullif("_prompts", F.lit(0))
+    return totals.select(F.inline(per_size)).join(sampled, "n", "left").select("n", rate.alias("solve_rate"))
 
 
 def _by_size(df: DataFrame, sizes: tuple[int, ...], value) -> DataFrame:

@@ -1,8 +1,8 @@
 """Seeded sampling, pairing, padding and shuffling.
 
-Draws pick a position; rows are numbered once per group and found by an equi-join on
-``(group, position)``, whose keys are unique however large a group is. Only ids travel
-through these joins; texts are attached to the drawn rows at the end.
+Rows are drawn as those of the least hash, one hash a draw, in one partial aggregate: no group is
+numbered or sorted, however large. Padding picks positions. Only ids travel that far; texts are
+attached to the drawn rows at the end.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajmill.functions.draws import draw
+from trajmill.functions.draws import draw, fine_draw
 from trajmill.functions.feedback import positive
 from trajmill.operators import skew
 
@@ -39,50 +39,35 @@ def missing_side_counts(df: DataFrame, key: str = "data_id") -> DataFrame:
     )
 
 
-def _draws(counts: DataFrame, samples: int) -> DataFrame:
+def _least(df: DataFrame, key: str, samples: int, seed: str) -> DataFrame:
+    """(key, draw, _h, ID, ...): every row once for each draw, with its hash there. The row of the least
+    hash is a uniform draw with replacement, and draws are independent of each other."""
     numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))
-    return counts.withColumn("draw", F.explode(numbers))
+    return df.withColumn("draw", F.explode(numbers)).withColumn("_h", fine_draw(seed, F.col("draw"), F.col("ID")))
 
 
-def sample_pair_ids(
-    df: DataFrame,
-    samples: int = 32,
-    key: str = "data_id",
-    limit: int = skew.HOT_ROWS,
-) -> DataFrame:
+def sample_pair_ids(df: DataFrame, samples: int = 32, key: str = "data_id") -> DataFrame:
     """``samples`` draws with replacement of one positive and one negative per prompt.
 
     Returns ``(key, draw, chosen_ID, rejected_ID, first_ID)``; ``first_ID`` is the first
-    positive, whose prompt stands for the group.
+    positive, whose prompt stands for the group. No group is ranked: minima are kept per task, and
+    two ids a prompt, draw and task are shuffled.
     """
     label = positive(F.col("label"))
-    narrow = df.select(key, "ID", label.alias("label"))
-    numbered = skew.number_by_id(narrow, [key, "label"], "ID", "_no", limit)
-    sides = (
-        narrow.groupBy(key)
-        .agg(
-            F.count_if("label").alias("n_pos"),
-            F.count_if(~F.col("label")).alias("n_neg"),
-            F.min(F.when(F.col("label"), F.col("ID"))).alias("first_ID"),
-        )
-        .where((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-    )
+    tried = _least(df.where(F.col(key).isNotNull()).select(key, "ID", label.alias("label")), key, samples, "p")
 
-    def pick(seed: str, good: bool, size: str) -> Column:
-        at = draw(seed, F.col(key), F.col("draw")) % F.col(size)
-        return F.struct(F.lit(good).alias("label"), at.alias("_no"))
+    def pick(side: Column) -> Column:
+        return F.min_by(F.when(side, F.col("ID")), F.when(side, F.col("_h")))
 
-    # Both sides of a draw look their row up in the same numbered table.
-    picks = F.array(pick("c", True, "n_pos"), pick("r", False, "n_neg"))
-    wanted = _draws(sides, samples).select(key, "draw", "first_ID", F.inline(picks))
+    good = F.col("label")
     return (
-        wanted.join(numbered, [key, "label", "_no"])
-        .groupBy(key, "draw")
+        tried.groupBy(key, "draw")
         .agg(
-            F.max(F.when(F.col("label"), F.col("ID"))).alias("chosen_ID"),
-            F.max(F.when(~F.col("label"), F.col("ID"))).alias("rejected_ID"),
-            F.max("first_ID").alias("first_ID"),
+            pick(good).alias("chosen_ID"),
+            pick(~good).alias("rejected_ID"),
+            F.min(F.when(good, F.col("ID"))).alias("first_ID"),
         )
+        .where("chosen_ID IS NOT NULL AND rejected_ID IS NOT NULL")
     )
 
 
@@ -95,14 +80,9 @@ def _attach(df: DataFrame, rows: DataFrame, id_col: str, **columns: str) -> Data
     return df.join(picked, id_col)
 
 
-def sample_pairs(
-    df: DataFrame,
-    samples: int = 32,
-    key: str = "data_id",
-    limit: int = skew.HOT_ROWS,
-) -> DataFrame:
+def sample_pairs(df: DataFrame, samples: int = 32, key: str = "data_id") -> DataFrame:
     """Preference pairs ``prompt, chosen, rejected`` (and the ids they came from)."""
-    pairs = sample_pair_ids(df, samples, key, limit)
+    pairs = sample_pair_ids(df, samples, key)
     pairs = _attach(pairs, df, "chosen_ID", chosen="completion")
     pairs = _attach(pairs, df, "rejected_ID", rejected="completion")
     firsts = df.select(F.col("ID").alias("first_ID"), "prompt")
@@ -111,20 +91,14 @@ def sample_pairs(
     )
 
 
-def upsample_positives(
-    df: DataFrame, samples: int = 100, key: str = "data_id", limit: int = skew.HOT_ROWS
-) -> DataFrame:
+def upsample_positives(df: DataFrame, samples: int = 100, key: str = "data_id") -> DataFrame:
     """``samples`` draws with replacement from the positives of each prompt; id, prompt
     and label come from the first positive."""
     good = df.where(positive(F.col("label"), df))
-    numbered = skew.number_by_id(good.select(key, "ID"), [key], "ID", "_no", limit)
-    counts = good.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_pos"), F.min("ID").alias("first_ID")
-    )
-    draws = _draws(counts, samples).withColumn(
-        "_no", draw("u", F.col(key), F.col("draw")) % F.col("n_pos")
+    tried = _least(good.where(F.col(key).isNotNull()).select(key, "ID"), key, samples, "u")
+    drawn = tried.groupBy(key, "draw").agg(
+        F.min_by("ID", "_h").alias("source_ID"), F.min("ID").alias("first_ID")
     )
-    drawn = draws.join(numbered.withColumnRenamed("ID", "source_ID"), [key, "_no"])
     drawn = _attach(drawn, good, "source_ID", completion="completion")
     firsts = good.select(F.col("ID").alias("first_ID"), "data_id", "prompt", "label")
     return drawn.drop("data_id", "prompt", "label").join(firsts, "first_ID").select(

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +21,6 @@ from trajmill.functions.draws import RANGE_BITS
 HOT_ROWS = 1_000_000
 #: No list of hot groups is longer: with more rows than this many limits, the limit grows.
 MOST_HOT = 100_000
-#: Quantiles of the hot rows; a part between two of them is cut evenly where it is too long.
-_PARTS = 1_000
 
 
 def hot_groups(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame:
@@ -34,10 +31,15 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFra
 def _hot(df: DataFrame, keys: list[str], limit: int, *facts: Column) -> DataFrame:
     """The hot groups with their sizes and facts. A group is hot if it has more than ``limit`` rows
     and more than 1 / MOST_HOT of all rows, which bounds the list whatever the table's size."""
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *facts)
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     large = groups.where(F.col("_rows") > limit)
     total = df.agg(F.count(F.lit(1))).scalar()
-    return large.where(F.col("_rows") > total / MOST_HOT)
+    hot = large.where(F.col("_rows") > total / MOST_HOT)
+    if not facts:
+        return hot
+    # Facts are sketches: only the rows of hot groups go through them.
+    inside = _mark_hot(df, hot, keys).where(F.col("_rows").isNotNull())
+    return _join_null_safe(hot, inside.groupBy(*keys).agg(*facts), keys)
 
 
 def _mark_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,8 +130,8 @@ def _id_marks(ids: Column) -> Column:
     return F.percentile_approx(ids, at, F.lit(10_000))
 
 
-def _id_slot(ids: Column, limit: int) -> Column:
-    marks = F.col("_marks")
+def _id_slot(ids: Column, limit: int, marks: Column | None = None) -> Column:
+    marks = F.col("_marks") if marks is None else marks
     part = F.size(F.filter(marks, lambda m: m <= ids))
     low, high = F.get(marks, part - 1), F.get(marks, part)
     cuts = F.ceil(2.0 * F.col("_rows") / limit / _ID_PARTS)
@@ -161,45 +163,42 @@ def number_by_score(
 ) -> DataFrame:
     """Position by score, best first, ties by a unique integer id.
 
-    Slot borders are quantiles of the hot groups' scores: a bounded list, read once on
-    the driver and used as literals, so every task and every retry cuts the same way
-    whatever the sketch's error. A score equal to a border gets a slot of its own that
-    is cut again by ids, so one heavily repeated score spreads too. Null scores come last.
+    Each hot group has its own borders, quantiles of its scores kept with the group, so
+    groups on different scales are cut alike. A score equal to a border gets a slot of its own
+    that is cut again by ids, so one heavily repeated score spreads too. NaN comes first, null
+    scores last. The borders may err as sketches do: every row is compared with the same ones.
     """
     # Negative zero equals zero in SQL but not for the border search.
     value = F.when(F.col(score) == 0, 0.0).otherwise(F.col(score).cast("double"))
     order = [value.desc(), F.col(id_col)]
-    hot = hot_groups(df, keys, limit)
-    hot_total = hot.agg(F.sum("_rows")).first()[0]
-    if not hot_total:
-        plain = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(plain) - 1).cast("bigint"))
-    slots = min(max(2 * hot_total // limit, 16), _PARTS)
-    cuts = max(2 * hot_total // limit // slots, 1)
-    scores = _mark_hot(df.select(*keys, value.alias("_score")), hot, keys).where(
-        F.col("_rows").isNotNull()
-    )
-    marks = scores.approxQuantile("_score", [i / slots for i in range(slots + 1)], 0.1 / slots)
-    borders = [float("-inf"), *sorted(set(marks)), float("inf")]
-    cut = Bucketizer(splits=borders, inputCol="_score", outputCol="_part", handleInvalid="keep")
-    parts = cut.transform(df.withColumn("_score", value))
-    # Null scores rank last: they are a part of their own, cut by ids.
-    none = F.col("_score").isNull()
-    part = F.when(~none, F.col("_part").cast("int"))
-    table = F.array(*[F.lit(b) for b in borders])
-    edge, above = F.get(table, part), F.get(table, part + 1)
-    on_edge = F.coalesce(edge == F.col("_score"), F.lit(True))
-    even = F.floor((above - F.col("_score")) / (above - edge) * cuts)
-    finite = (F.abs(edge) < float("inf")) & (F.abs(above) < float("inf"))
+    facts = F.struct(_score_marks(value).alias("scores"), _id_marks(F.col(id_col)).alias("ids"))
+    return number_rows(df, keys, order, _score_slot(value, F.col(id_col), limit), name, limit, facts)
+
+
+_SCORE_PARTS = 256
+
+
+def _score_marks(value: Column) -> Column:
+    at = F.array(*[F.lit(i / _SCORE_PARTS) for i in range(_SCORE_PARTS + 1)])
+    return F.percentile_approx(F.when(~F.isnan(value), value), at, F.lit(10_000))
+
+
+def _score_slot(value: Column, ids: Column, limit: int) -> Column:
+    none, odd = value.isNull(), F.coalesce(F.isnan(value), F.lit(False))
+    marks = F.coalesce(F.col("_marks.scores"), F.array().cast("array<double>"))
+    part = F.size(F.filter(marks, lambda m: m <= value))
+    edge, above = F.get(marks, part - 1), F.get(marks, part)
+    on_edge = none | odd | F.coalesce(edge == value, F.lit(False))
+    cuts = F.ceil(2.0 * F.col("_rows") / limit / _SCORE_PARTS)
+    finite = (F.abs(edge) < float("inf")) & (F.abs(above) < float("inf")) & (above > edge)
+    even = F.when(~on_edge & finite, F.floor((above - value) / (above - edge) * cuts))
     # Within a part the border value itself is the lowest score, so it comes last.
-    slot = F.struct(
-        F.coalesce(-part, F.lit(1)).alias("part"),
+    return F.struct(
+        F.when(none, 1).when(odd, -_SCORE_PARTS - 2).otherwise(-part).alias("part"),
         on_edge.alias("on_edge"),
-        F.when(~on_edge & finite, even).otherwise(0).alias("cut"),
-        F.when(on_edge, _id_slot(F.col(id_col), limit)).alias("ids"),
+        F.coalesce(even, F.lit(0)).alias("cut"),
+        F.when(on_edge, _id_slot(ids, limit, F.col("_marks.ids"))).alias("ids"),
     )
-    numbered = number_rows(parts, keys, order, slot, name, limit, _id_marks(F.col(id_col)))
-    return numbered.drop("_score", "_part")
 
 
 def _with_shares(hot: DataFrame, limit: int) -> DataFrame:

@@ -234,18 +234,13 @@ def missing_side_counts(spark, sf):
     return P.missing_side_counts(t.doc_rollouts(spark, sf))
 
 
-def pair_sql(source: str, key: str = "data_id", samples: int = 32) -> str:
+def pair_sql(source: str, key: str = "data_id", samples: int = 32, id_text: str = "ID") -> str:
     """CTEs ``p(key, draw, chosen_ID, rejected_ID)`` over a table with ID and label."""
-    return f"""n AS (SELECT {key} AS key, ID, label,
-  row_number() OVER (PARTITION BY {key}, label ORDER BY ID) - 1 AS no,
-  count(*) FILTER (label) OVER (PARTITION BY {key}) AS np,
-  count(*) FILTER (NOT label) OVER (PARTITION BY {key}) AS nn FROM {source}),
-dr AS (SELECT key, draw, {t.h("'c'", "key", "draw")} % np AS c, {t.h("'r'", "key", "draw")} % nn AS r
-  FROM (SELECT DISTINCT key, np, nn FROM n WHERE np > 0 AND nn > 0) k,
-       (SELECT unnest(range(0, {samples})) AS draw) s),
-p AS (SELECT dr.key, draw, a.ID AS chosen_ID, b.ID AS rejected_ID
-  FROM dr JOIN n a ON a.key = dr.key AND a.label AND a.no = dr.c
-  JOIN n b ON b.key = dr.key AND NOT b.label AND b.no = dr.r)"""
+    least = t.fine_h("'p'", "draw", id_text)
+    return f"""p AS (SELECT {key} AS key, draw, arg_min(ID, {least}) FILTER (label) AS chosen_ID,
+  arg_min(ID, {least}) FILTER (NOT label) AS rejected_ID
+  FROM {source}, (SELECT unnest(range(0, {samples})) AS draw) s GROUP BY 1, 2
+  HAVING chosen_ID IS NOT NULL AND rejected_ID IS NOT NULL)"""
 
 
 @query(
@@ -282,7 +277,7 @@ def sample_pairs(spark, sf):
         f""", flat AS (SELECT md5('user'||chr(10)||prompt[1].content) AS key, ID * 131072 + i AS ID,
     [prompt[i + 1]] AS completion, false AS label FROM turns
   UNION ALL SELECT md5('user'||chr(10)||prompt[1].content), ID * 131072 + len(prompt), completion, label FROM traj),
-{pair_sql("flat", "key")}
+{pair_sql("flat", "key", id_text="'{'||(ID // 131072)||', '||(ID % 131072)||'}'")}
 SELECT p.key AS prompt_key, draw, {D("a.completion")} AS chosen, {D("b.completion")} AS rejected
 FROM p JOIN flat a ON a.ID = chosen_ID JOIN flat b ON b.ID = rejected_ID""",
         "turns",
@@ -300,13 +295,11 @@ def preference_pairs(spark, sf):
 
 @query(
     t.sql(
-        f""", g AS (SELECT data_id, ID, completion, row_number() OVER (PARTITION BY data_id ORDER BY ID) - 1 AS no,
-  count(*) OVER (PARTITION BY data_id) AS np,
-  first_value(prompt) OVER (PARTITION BY data_id ORDER BY ID) AS fp FROM traj WHERE label),
-dr AS (SELECT data_id, fp, draw, {t.h("'u'", "data_id", "draw")} % np AS no
-  FROM (SELECT DISTINCT data_id, np, fp FROM g) k, (SELECT unnest(range(0, 100)) AS draw) s)
-SELECT dr.data_id, draw, g.ID AS source_ID, {D("dr.fp")} AS prompt, {D("g.completion")} AS completion, true AS label
-FROM dr JOIN g USING (data_id, no)""",
+        f""", f AS (SELECT data_id, arg_min(prompt, ID) AS fp FROM traj WHERE label GROUP BY 1),
+u AS (SELECT data_id, draw, arg_min(ID, {t.fine_h("'u'", "draw", "ID")}) AS source_ID
+  FROM traj, (SELECT unnest(range(0, 100)) AS draw) s WHERE label GROUP BY 1, 2)
+SELECT u.data_id, draw, source_ID, {D("f.fp")} AS prompt, {D("traj.completion")} AS completion, true AS label
+FROM u JOIN f ON f.data_id = u.data_id JOIN traj ON traj.ID = source_ID""",
         "traj",
     )
 )

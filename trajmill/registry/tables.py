@@ -337,6 +337,10 @@ def h(*parts: str) -> str:
     return f"('0x'||substr(md5(concat_ws('|',{','.join(parts)})),1,8))::BIGINT"
 
 
+def fine_h(*parts: str) -> str:
+    return f"('0x'||substr(md5(concat_ws('|',{','.join(parts)})),1,15))::BIGINT"
+
+
 def digest_sql(messages: str) -> str:
     return (
         f"md5(array_to_string(list_transform({messages}, "

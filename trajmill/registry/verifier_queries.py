@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajmill.functions.draws import draw
+from trajmill.functions.stats import softplus
 from trajmill.learning import verifiers as L
 from trajmill.operators import metrics as M
 from trajmill.operators import sampling as P
@@ -223,52 +224,78 @@ def _held(df, key):
     return df.withColumn("held", draw("held", key) % 5 == 0)
 
 
+#: Labels that the texts determine: a known scorer's sign. The recorded ones may be noise, of which
+#: nothing can be learnt for rows held out.
+TAUGHT_SIZE = 32
+TAUGHT = f"""taught AS (SELECT * REPLACE (coalesce(list_sum(list_transform({WORDS.format(TEXT).replace("% 512", f"% {TAUGHT_SIZE}")},
+  lambda i: ((i * 7919) % 101 - 50) / 100.0::DOUBLE)), 0) > 0 AS label) FROM traj)"""
+
+
+def _taught(df):
+    scored = L.score_linear(df, WEIGHTS[:TAUGHT_SIZE], name="taught")
+    return scored.withColumn("label", F.col("taught") > 0).drop("taught")
+
+
+def _converged(model, rows):
+    """Whether the fit took few passes and an independent sum of the derivatives is zero there."""
+    slope = L.gradient(model, rows, L2).agg(F.max(F.abs("slope"))).scalar()
+    return F.lit(model.passes <= 12) & (slope < 1e-6)
+
+
 @query(
     t.sql(
-        f""", {pair_sql("traj")}
-SELECT count(*) AS pairs, true AS beats_chance, true AS converged FROM p""",
+        f""", {TAUGHT}, {pair_sql("taught")}
+SELECT count(*) FILTER (NOT held) AS learnt, count(*) FILTER (held) AS held_out, true AS beats_chance, true AS converged
+FROM (SELECT {t.h("'held'", "key")} % 5 = 0 AS held FROM p) x""",
         "traj",
     )
 )
 def train_pair_verifier(spark, sf):
-    # Read by the fit and by both checks: stored once.
-    pairs = write_once(P.sample_pairs(t.stored_trajectories(spark, sf)), new_folder(spark, "pairs"))
-    model = L.train_pair_verifier(pairs, l2=L2, iterations=200)
+    # Read by the fit and by both checks: stored once. Prompts are held out, not pairs of one prompt.
+    pairs = P.sample_pairs(_taught(t.stored_trajectories(spark, sf)))
+    pairs = _held(write_once(pairs, new_folder(spark, "pairs")), F.col("data_id"))
+    learnt = pairs.where(~F.col("held"))
+    model = L.train_pair_verifier(learnt, l2=L2, dimensions=TAUGHT_SIZE)
     scored = pairs
     for side in ("chosen", "rejected"):
         view = scored.withColumn("completion", F.col(side))
         scored = L.score_rollouts(model, view, f"{side}_reward").drop("completion")
-    found = M.pair_verifier_metrics(scored).select((F.col("loss") < math.log(2)).alias("beats_chance"))
-    slope = L.gradient(model, L.pair_differences(pairs), L2)
-    return (
-        found.withColumn("pairs", pairs.agg(F.count(F.lit(1))).scalar())
-        .withColumn("converged", slope.agg(F.max(F.abs("slope")) < 1e-3).scalar())
+    loss = M.pair_verifier_metrics(scored.where("held")).select("loss").scalar()
+    counts = pairs.agg(F.count_if(~F.col("held")).alias("learnt"), F.count_if("held").alias("held_out"))
+    return counts.select(
+        "learnt",
+        "held_out",
+        F.coalesce(loss < math.log(2), F.col("held_out") == 0).alias("beats_chance"),
+        _converged(model, L.pair_rows(learnt, TAUGHT_SIZE)).alias("converged"),
     )
 
 
 @query(
     t.sql(
-        f"""SELECT count(*) FILTER (NOT held) AS learnt, count(*) FILTER (held) AS held_out,
-  true AS beats_chance, true AS converged
-FROM (SELECT {HELD} AS held FROM traj) x""",
+        f""", {TAUGHT}
+SELECT count(*) FILTER (NOT held) AS learnt, count(*) FILTER (held) AS held_out,
+  count(*) FILTER (NOT held AND label)::DOUBLE AS expected, true AS beats_chance, true AS converged
+FROM (SELECT {HELD} AS held, label FROM taught) x""",
         "traj",
     )
 )
 def train_binary_verifier(spark, sf):
-    rollouts = _held(t.stored_trajectories(spark, sf), F.col("ID"))
+    rollouts = _held(_taught(t.stored_trajectories(spark, sf)), F.col("ID"))
     learnt = rollouts.where(~F.col("held"))
-    model = L.train_binary_verifier(learnt, l2=L2, iterations=200)
-    loss = M.binary_verifier_metrics(L.score_rollouts(model, learnt)).select("loss").scalar()
-    rows = L.verifier_features(learnt).select("features", F.col("label").cast("double").alias("label"))
-    slope = L.gradient(model, rows, L2)
-    return rollouts.agg(
-        F.count_if(~F.col("held")).alias("learnt"), F.count_if("held").alias("held_out")
-    ).select(
-        "learnt",
-        "held_out",
-        (loss < math.log(2)).alias("beats_chance"),
-        slope.agg(F.max(F.abs("slope")) < 1e-3).scalar().alias("converged"),
+    model = L.train_binary_verifier(learnt, l2=L2, dimensions=TAUGHT_SIZE)
+    scored = L.score_rollouts(model, rollouts)
+    x, held = F.col("reward"), F.col("held")
+    label = F.col("label").cast("int")
+    # The intercept is free, so the chances of the rows learnt from add up to the right ones.
+    chances = F.round(F.sum(F.when(~held, 1 / (1 + F.exp(-x)))), 4) + 0.0
+    loss = F.avg(F.when(held, softplus(x) - x * label))
+    counts = scored.agg(
+        F.count_if(~held).alias("learnt"),
+        F.count_if(held).alias("held_out"),
+        chances.alias("expected"),
+        F.coalesce(loss < math.log(2), F.count_if(held) == 0).alias("beats_chance"),
     )
+    return counts.withColumn("converged", _converged(model, L.binary_rows(learnt, TAUGHT_SIZE)))
 
 
 @query(
