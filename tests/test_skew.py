@@ -121,6 +121,24 @@ def test_apply_group_on_shares(spark):
     assert rows(got) == rows(want)
 
 
+def test_apply_group_merges_picks_in_levels(spark):
+    """A selector that keeps half of what it gets: no call sees many more rows than the limit."""
+    df = hot_table(spark, 6000).where("data_id is not null").select("data_id", "ID", "reward")
+
+    def upper(rows_):
+        # Of a part as of the whole: the best hundred of some rows.
+        assert len(rows_) <= 600
+        best = rows_[rows_["ID"] % 3 > 0].sort_values(["reward", "ID"], ascending=[False, True])
+        return best.head(100)
+
+    got = caller_code.apply_group(df, ["data_id"], upper, ["ID"], limit=400)
+    keep = df.where("ID % 3 > 0")
+    want = plain(keep, ["data_id"], F.desc("reward"), "ID").where("row_no < 100").drop("row_no")
+    assert rows(got) == rows(want)
+    with pytest.raises(ValueError):
+        caller_code.apply_group(df, ["data_id"], lambda rows_: rows_, ["ID"], limit=400)
+
+
 def test_operators_agree_hot_or_not(spark):
     df = hot_table(spark).where("data_id is not null")
     for limit in (30, 10**9):

@@ -98,10 +98,29 @@ def test_append_keeps_earlier_files(spark, tmp_path):
 def test_write_once(spark, tmp_path):
     folder = str(tmp_path / "t")
     assert sinks.write_once(spark.range(3), folder).count() == 3
-    assert sinks.write_once(spark.range(9), folder).count() == 3
+    before = sorted((tmp_path / "t").glob("*.parquet"))
+    assert sinks.write_once(spark.range(3).repartition(2), folder).count() == 3
+    assert sorted((tmp_path / "t").glob("*.parquet")) == before
+    # Other rows, twice the same row, or other columns are another table.
+    double = spark.createDataFrame([(0,), (1,), (1,), (1,)], "id bigint")
+    for other in (spark.range(9), spark.range(1, 4), double, spark.range(3).selectExpr("id", "id AS x")):
+        with pytest.raises(ValueError):
+            sinks.write_once(other, folder)
+    assert sinks.write_once(spark.range(9), folder, rewrite=True).count() == 9
     # A stopped writer leaves files without a success marker.
     (tmp_path / "t/_SUCCESS").unlink()
-    assert sinks.write_once(spark.range(9), folder).count() == 9
+    assert sinks.write_once(spark.range(2), folder).count() == 2
+
+
+def test_write_once_by_tag(spark, tmp_path):
+    """A tag names the input: then no row is read to compare."""
+    folder = str(tmp_path / "t")
+    sinks.write_once(spark.range(3), folder, tag="v1")
+    broken = spark.range(3).selectExpr("raise_error('read') AS id").select(F.col("id").cast("bigint"))
+    assert sinks.write_once(broken, folder, tag="v1").count() == 3
+    with pytest.raises(ValueError):
+        sinks.write_once(spark.range(3), folder, tag="v2")
+    assert sinks.write_once(spark.range(5), folder, tag="v2", rewrite=True).count() == 5
 
 
 def test_metric_lines(spark, tmp_path):
@@ -196,15 +215,29 @@ def test_running_pass_rate_equals_batch(spark, tmp_path):
     inbox, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
     sink = ingest.batch_folder_sink(table)
     send(spark, inbox, "a", 0, 10)
-    ingest.running_pass_rate(stream(spark, inbox, 1), sink, state)
+    ingest.running_pass_rate(stream(spark, inbox, 1), sink, state, ["data_id", "rollout_no"])
     send(spark, inbox, "b", 10, 40)
-    ingest.running_pass_rate(stream(spark, inbox, 1), sink, state)
+    ingest.running_pass_rate(stream(spark, inbox, 1), sink, state, ["data_id", "rollout_no"])
     got = ingest.latest_counts(spark, table)
     batch = spark.read.schema(ARRIVING).parquet(str(inbox / "*"))
     want = batch.groupBy("data_id").agg(F.count(F.lit(1)), F.count_if("label"))
     assert rows(got) == rows(want)
 
 
+def test_running_pass_rate_counts_a_resent_row_once(spark, tmp_path):
+    inbox, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
+    sink = ingest.batch_folder_sink(table)
+    keys = ["data_id", "rollout_no"]
+    # Within a batch, in the next batch, and after a restart.
+    for name, start, stop in (("a", 0, 20), ("b", 10, 30), ("c", 0, 20), ("d", 0, 35)):
+        send(spark, inbox, name, start, stop)
+        if name in "bd":
+            ingest.running_pass_rate(stream(spark, inbox, 2 if name == "d" else 1), sink, state, keys)
+    batch = spark.read.schema(ARRIVING).parquet(str(inbox / "*")).distinct()
+    want = batch.groupBy("data_id").agg(F.count(F.lit(1)), F.count_if("label"))
+    assert rows(ingest.latest_counts(spark, table)) == rows(want)
+
+
 def test_ingest_reads_the_buckets_of_a_batch_only(spark, tmp_path):
     inbox, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
     keys = ["data_id", "rollout_no"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajmill.operators import skew
+from trajmill.session import new_folder
 
 
 def apply_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
@@ -34,18 +35,35 @@ def apply_group(
 
     ``select`` gets all rows of one group and returns those it would keep. With ``spread`` the
     caller says that picking from picked parts equals picking from the whole, as for the five best
-    rows: then every group is picked from twice, first from shares of about ``limit`` rows dealt by
-    a hash of those columns, then from what they picked, and no task holds a whole large group.
+    rows: then picks are merged level by level. On each, groups of more than ``limit`` rows are dealt
+    over shares of half of that by a hash of those columns and the level's number, and picked from
+    share by share, until no group is larger; the last picks are made from whole groups. No task gets
+    many more rows of a group than ``limit``. A selector that keeps too much for a level to
+    shrink is an error: nothing could pick from its whole groups within the limit.
     """
     if spread is None:
         return df.groupBy(*keys).applyInPandas(select, df.schema)
-    dealt = skew.deal_hot(df, keys, spread, limit)
 
     def select_part(rows: pd.DataFrame) -> pd.DataFrame:
-        return select(rows.drop(columns="_share"))
-
-    picked = dealt.groupBy(*keys, "_share").applyInPandas(select_part, df.schema)
-    return picked.groupBy(*keys).applyInPandas(select, df.schema)
+        return select(rows.drop(columns=["_share", "_level"]))
+
+    largest = None
+    level = 0
+    while True:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        if most <= limit:
+            return df.groupBy(*keys).applyInPandas(select, df.schema)
+        if largest is not None and most > 0.9 * largest:
+            raise ValueError(f"select keeps {most} rows of a group: more than {limit} cannot be picked from at once")
+        largest = most
+        dealt = skew.deal_hot(df.withColumn("_level", F.lit(level)), keys, ["_level", *spread], limit // 2 or 1)
+        picked = dealt.groupBy(*keys, "_share").applyInPandas(select_part, df.schema)
+        # Every level is counted and picked from again: stored once.
+        path = new_folder(df.sparkSession, "picks")
+        picked.write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
+        level += 1
 
 
 def score_with(

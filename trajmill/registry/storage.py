@@ -134,12 +134,17 @@ def append_rollouts(spark, sf):
     )
 
 
-@query(t.sql("SELECT ID, reward FROM rollouts_ev", "rollouts_ev"))
+@query(t.sql("SELECT ID, reward, reward + 1 AS changed FROM rollouts_ev", "rollouts_ev"))
 def write_once(spark, sf):
-    folder = new_folder(spark, "once")
     rows = t.rollouts_ev(spark, sf).select("ID", "reward")
-    W.write_once(rows, folder)
-    return W.write_once(rows.withColumn("reward", F.lit(0.0)), folder)
+    kept, changed = new_folder(spark, "once"), new_folder(spark, "once")
+    W.write_once(rows, kept)
+    # The same rows in another order are the same table; others replace it only on request.
+    kept = W.write_once(rows.repartition(3), kept)
+    other = rows.withColumn("reward", F.col("reward") + 1)
+    W.write_once(rows, changed, tag="one")
+    changed = W.write_once(other, changed, tag="two", rewrite=True)
+    return kept.join(changed.withColumnRenamed("reward", "changed"), "ID")
 
 
 @query(
@@ -239,5 +244,7 @@ def ingest_rollouts(spark, sf):
 def running_pass_rate(spark, sf):
     table = new_folder(spark, "running")
     state = new_folder(spark, "state")
-    N.running_pass_rate(_stream(spark, sf), N.batch_folder_sink(table), state)
+    # Every row arrives twice, and counts once.
+    stream = _stream(spark, sf)
+    N.running_pass_rate(stream.unionByName(_stream(spark, sf)), N.batch_folder_sink(table), state, ["ID"])
     return N.latest_counts(spark, table)

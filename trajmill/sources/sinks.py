@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +23,60 @@ def _is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-def write_once(df: DataFrame, path: str) -> DataFrame:
+RECORD = "_written.json"
+
+
+def _record(spark: SparkSession, path: str, text: str | None = None) -> str | None:
+    """The commit record beside a table's files: written, if a text is given, or read."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path, RECORD)
+    files = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if text is not None:
+        out = files.create(fs_path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return text
+    if not files.exists(fs_path):
+        return None
+    stream = files.open(fs_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def content_digest(df: DataFrame) -> tuple:
+    """Rows, and two order-free sums of their hashes: equal for tables with the same rows."""
+    row = F.struct(*[df[c] for c in df.columns])
+    found = df.agg(
+        F.count(F.lit(1)),
+        F.coalesce(F.bit_xor(F.xxhash64(row)), F.lit(0)),
+        F.coalesce(F.sum(F.hash(row).cast("bigint")), F.lit(0)),
+    )
+    return tuple(found.first())
+
+
+def write_once(df: DataFrame, path: str, tag: str | None = None, rewrite: bool = False) -> DataFrame:
     """Write a derived table unless it is there already, and read it back.
 
-    A folder that a stopped job left half written is written anew.
+    A commit record beside the files keeps the schema and the caller's ``tag``, a name of the input
+    such as its version. On reuse the schema must be the same, and the tag if one is given; without
+    a tag the rows are compared by an order-free digest, which reads both tables but writes
+    nothing. What differs raises a ValueError, or is written anew with ``rewrite``. A folder that a
+    stopped job left half written is written anew.
     """
     spark = df.sparkSession
-    if not _is_complete(spark, path):
-        df.write.mode("overwrite").parquet(path)
+    known = _record(spark, path) if _is_complete(spark, path) else None
+    stored = spark.read.schema(df.schema).parquet(path) if known else None
+    if known:
+        old = json.loads(known)
+        same = old["schema"] == df.schema.simpleString()
+        same = same and (old["tag"] == tag if tag is not None else content_digest(stored) == content_digest(df))
+        if same:
+            return stored
+        if not rewrite:
+            raise ValueError(f"{path} holds another table: give another path, or rewrite=True")
+    df.write.mode("overwrite").parquet(path)
+    _record(spark, path, json.dumps({"schema": df.schema.simpleString(), "tag": tag}))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -78,21 +78,26 @@ def ingested(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).parquet(table)
 
 
-def running_counts(stream: DataFrame, key: str = "data_id") -> DataFrame:
-    """Rollouts and right ones per prompt, kept up to date; state grows with prompts only."""
-    return stream.groupBy(key).agg(
+def running_counts(stream: DataFrame, rows: list[str], key: str = "data_id") -> DataFrame:
+    """Rollouts and right ones per prompt, kept up to date. The ``rows`` columns tell rows apart: their
+    values are kept in the query's state, so a row that is sent again counts once; the first one seen
+    counts. The state grows with rows, on disk where the session's state store is RocksDB."""
+    return stream.dropDuplicates(rows).groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(positive(F.col("label"))).alias("c")
     )
 
 
 def running_pass_rate(
-    stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
+    stream: DataFrame,
+    sink: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    rows: list[str],
     key: str = "data_id",
 ) -> None:
     """Hand the changed ``(key, n, c)`` rows of each micro-batch to ``sink`` until no input
     is left. Counts are totals, so writing a row again does no harm."""
     query = (
-        running_counts(stream, key)
+        running_counts(stream, rows, key)
         .writeStream.outputMode("update")
         .foreachBatch(sink)
         .option("checkpointLocation", checkpoint)
