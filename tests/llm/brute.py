@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import regex
 import xxhash
 
 MASK = (1 << 64) - 1
@@ -54,7 +55,30 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def dropped_lines(docs: list[tuple], similarity=0.9, bits=2, min_words=3) -> set[tuple]:
+def line_words(line: str) -> str:
+    """A line as it is compared: lower-case words, or its visible characters if it has none."""
+    words = [w for w in regex.split(r"[^\p{L}\p{M}\p{N}\p{S}#%&*+@/\\-]+", line.lower()) if w]
+    return " ".join(words) or regex.sub(r"[\s\p{Z}\p{C}]+", "", line)
+
+
+def like_lines(lines: list[str], similarity=0.9):
+    """All pairs whose edits are at most (1 - similarity) of the longer. An edit changes at most three
+    3-grams of either text, so texts with too many different ones need no comparison."""
+    size = 256
+    grams = np.zeros((len(lines), size), dtype=np.int32)
+    for row, line in zip(grams, lines):
+        for i in range(len(line) - 2):
+            row[xxhash.xxh32_intdigest(line[i : i + 3].encode()) % size] += 1
+    lengths = np.array([len(x) for x in lines])
+    for i, line in enumerate(lines):
+        most = (np.maximum(lengths[i + 1 :], lengths[i]) * (1 - similarity) + 1e-9).astype(int)
+        apart = np.abs(grams[i + 1 :] - grams[i]).sum(axis=1)
+        for j in np.flatnonzero((np.abs(lengths[i + 1 :] - lengths[i]) <= most) & (apart <= 6 * most)):
+            if edits(line, lines[i + 1 + j]) <= most[j]:
+                yield i, i + 1 + int(j)
+
+
+def dropped_lines(docs: list[tuple], similarity=0.9) -> set[tuple]:
     """(id, text hash, line) of the occurrences that go, of (id, text) documents."""
     found: dict[str, list[tuple]] = {}
     for doc_id, text in docs:
@@ -62,21 +86,11 @@ def dropped_lines(docs: list[tuple], similarity=0.9, bits=2, min_words=3) -> set
             continue
         k = signed(xxhash.xxh64_intdigest(text.encode(), 42))
         for at, line in enumerate(text.split("\n")):
-            words = [w for w in re.split(r"[\W_]+", line.lower()) if w]
-            if len(words) >= min_words:
-                found.setdefault(" ".join(words), []).append((doc_id is None, doc_id, k, at))
+            if norm := line_words(line):
+                found.setdefault(norm, []).append((doc_id is None, doc_id, k, at))
     lines = list(found)
-    prints = []
-    for line in lines:
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in line.split()]
-        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
-    links = [
-        (i, j)
-        for i, j in near(prints, bits)
-        if edits(lines[i], lines[j]) <= int(max(len(lines[i]), len(lines[j])) * (1 - similarity) + 1e-9)
-    ]
     members: dict[int, set[tuple]] = {}
-    for line, group in zip(lines, groups(len(lines), links)):
+    for line, group in zip(lines, groups(len(lines), like_lines(lines, similarity))):
         members.setdefault(group, set()).update(found[line])
     order = lambda o: (o[0], o[1] or 0, o[2], o[3])
     return {o[1:] for own in members.values() for o in own if o != min(own, key=order)}

@@ -208,10 +208,11 @@ def test_pipeline_stage_by_stage(spark, sf):
     texts = {d: (t, brute.kept_text(d, t, gone)) for d, t in before}
     assert docs.columns == columns
     assert rows(docs) == {d: new for d, (old, new) in texts.items() if old == new or brute.plain(new)}
+    assert gone
 
     before = rows(docs)
     ids = sorted(before)
-    group = brute.groups(len(ids), brute.near([brute.simhash(before[d], 5) for d in ids], 4))
+    group = brute.groups(len(ids), brute.near([brute.simhash(before[d], 3) for d in ids], 3))
     docs = store(stages["simhash"](spark, docs, sf), "stage")
     assert docs.columns == columns and set(rows(docs)) == {ids[g] for g in group}
 
@@ -228,3 +229,25 @@ def test_pipeline_stage_by_stage(spark, sf):
     taken = sum(sizes[r["doc_id"]] * r["copies"] for r in mixed)
     assert all(1 <= r["copies"] <= 2 for r in mixed)
     assert abs(taken - 1.5 * sum(sizes.values())) < 0.05 * sum(sizes.values())
+
+
+def test_pipeline_of_odd_rows(spark, sf, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, extra columns with the operators' names, and no rows."""
+    plain = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = plain.limit(4).withColumns({c: F.lit(None).cast(plain.schema[c].dataType) for c in ("lang", "source", "n_chars")})
+    none = plain.limit(2).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in plain.schema])
+    empty = plain.limit(3).withColumn("text", F.lit(" \n "))
+    more = {"row": F.lit("r"), "id": F.lit(1), "t": F.lit(2), "component_id": F.lit("c"), "fp": F.lit(0)}
+    table = odd.unionByName(none).unionByName(empty).unionByName(plain).unionByName(plain.limit(5)).withColumns(more)
+    for rows, name in ((table, "some"), (table.where("false"), "no")):
+        folder = tmp_path / name
+        rows.coalesce(2).write.parquet(str(folder / "documents.parquet"))
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{other}.parquet").write.parquet(str(folder / f"{other}.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for stage, step in corpus_pipeline.STAGES[:-1]:
+            docs = store(step(spark, docs, str(folder)), stage)
+            assert docs.columns == table.columns
+        mixed = corpus_pipeline.run(spark, str(folder))
+        assert mixed.columns[: len(table.columns)] == table.columns
+        assert (mixed.count() > 0) == (name == "some")
