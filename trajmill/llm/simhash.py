@@ -1,15 +1,14 @@
-"""Near-duplicates: SimHash fingerprints of shingles, pigeonhole blocks, Hamming check; or bands of
-minima of the shingles and a Jaccard check."""
+"""Near-duplicates: SimHash fingerprints of shingles, pigeonhole blocks, Hamming check."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajmill.llm.linking import distance, link, link_keyed, pigeonholes
+from trajmill.llm.linking import link
 from trajmill.llm.shared import small, store
 
 SEED = 42
@@ -91,135 +90,34 @@ def near_duplicates(
     return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-#: Bands of as many minima: of pairs with a similarity of 0.8 all but one in 500 share a band.
-BANDS, ROWS = 16, 5
-_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) * 2 + 1
-
-
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The distinct XXH64 of the shingles that fingerprint() counts, sorted."""
-    tokens = (text or "").encode("utf-8").lower().split()
-    size = min(words, len(tokens))
-    if not size:
-        return np.zeros(0, dtype=np.uint64)
-    found = {xxhash.xxh64_intdigest(b" ".join(tokens[i : i + size]), SEED) for i in range(len(tokens) - size + 1)}
-    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One key per band of minima of the shingles under different orders."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1 << 14):
-        mixed = hashes[at : at + (1 << 14)] * _MULTIPLIERS
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0x9E3779B97F4A7C15)
-        least = np.minimum(least, mixed.min(axis=1))
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys
-
-
-def _sketches(words: int):
-    @F.pandas_udf("k long, fp long, size int, bands array<long>")
-    def sketches(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            plain = b" ".join((text or "").encode("utf-8").lower().split())
-            own = shingles(text, words)
-            k = np.uint64(xxhash.xxh64_intdigest(plain, SEED)).view(np.int64)
-            fp = np.uint64(fingerprint(text, words)).view(np.int64)
-            rows.append((k, fp, len(own), bands(own).view(np.int64) if len(own) else []))
-        return pd.DataFrame(rows, columns=["k", "fp", "size", "bands"])
-
-    return sketches
-
-
-def _alike(words: int, similarity: float):
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        known, first = None, None
-        out = []
-        for a, b in zip(x, y):
-            if a != known:
-                known, first = a, shingles(a, words)
-            second = shingles(b, words)
-            both = len(np.intersect1d(first, second, assume_unique=True))
-            out.append(both >= similarity * (len(first) + len(second) - both) - 1e-9)
-        return pd.Series(out, dtype=bool)
-
-    return alike
-
-
 def keep_one(
     docs: DataFrame,
-    words: int = 5,
+    words: int = 3,
     max_bits: int = 3,
     blocks: int = 6,
     id_col: str = "doc_id",
     text: str = "text",
-    similarity: float = 0.8,
 ) -> DataFrame:
-    """The documents, all columns, without near-duplicates: one of each group stays.
-
-    Documents are linked if the Jaccard similarity of their sets of word shingles is ``similarity``
-    or more. The pairs that are compared share a band of minima of their shingles, or their
-    SimHashes differ in at most ``max_bits`` bits. Of each group of linked documents stays the one
-    with the smallest id (the null one, if there is no other). Where several rows have that id, one
-    of them stays, chosen by a hash of the row. Null and empty texts form a group like any other.
-    Any other columns pass, whatever their names.
+    """The documents, all columns, without near-duplicates: of each group of near_duplicates() the row
+    with the smallest id stays.
+
+    Null ids come last; of rows with one id that with the smallest hash of its text, and of rows that
+    repeat both, one, chosen by a hash of the row. Null and empty texts form a group like any other.
+    Any other columns pass, whatever their names. An empty table gives an empty result.
     """
     columns = docs.columns
-    row = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"))
-    body = store(
-        row.select(
-            F.col("row"),
-            F.col("row")[id_col].alias("id"),
-            _sketches(words)(F.col("row")[text].cast("string")).alias("sketch"),
-        ).select("row", "id", "sketch.*"),
-        "sketches",
-    )
-    # Texts of the same words are one node.
-    nodes = store(
-        body.groupBy("k").agg(
-            F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("id").alias("smallest")
-        ),
-        "nodes",
-    )
-    bits = nodes.select(F.col("k").alias("id"), "fp", "size", F.lit(False).alias("wide"), pigeonholes("fp", max_bits, blocks))
-    wide = nodes.select(F.col("k").alias("id"), "fp", "size", F.lit(True).alias("wide"), F.explode("bands").alias("key"))
-
-    def near(x: dict[str, Column], y: dict[str, Column]) -> Column:
-        sizes = F.least(x["size"], y["size"]) >= similarity * F.greatest(x["size"], y["size"]) - 1e-9
-        return sizes & (x["wide"] | (distance(x["fp"], y["fp"]) <= max_bits))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = store(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "wanted")
-        texts = body.select("k", F.col("row")[text].cast("string").alias("text")).join(small(wanted), "k")
-        texts = store(texts.groupBy("k").agg(F.min("text").alias("text")), "texts")
-        left = texts.withColumnsRenamed({"k": "a", "text": "x"})
-        right = texts.withColumnsRenamed({"k": "b", "text": "y"})
-        both = pairs.join(left, "a").join(right, "b")
-        return both.where(_alike(words, similarity)("x", "y")).select("a", "b")
-
-    linked = store(link_keyed(bits.unionByName(wide), near, verify), "linked").withColumnRenamed("id", "k")
-    tagged = store(
-        nodes.select("k", "smallest")
-        .join(small(linked), "k", "left")
-        .select("k", "smallest", F.coalesce("component", "k").alias("component")),
-        "tagged",
-    )
-    lowest = store(tagged.groupBy("component").agg(F.min("smallest").alias("component_id")), "lowest")
-    groups = store(tagged.join(lowest, "component").drop("smallest"), "groups")
-    chosen = F.col("id").eqNullSafe(F.col("component_id"))
-    rivals = store(
-        body.select("id", "k").join(groups, "k").where(chosen).groupBy("component").agg(F.count("*").alias("n")),
-        "rivals",
-    )
-    groups = store(groups.join(rivals, "component"), "groups")
-    kept = body.select("row", "id", "k").join(groups, "k").where(chosen)
+    body = docs.select(
+        F.struct(*[docs[c] for c in columns]).alias("row"),
+        docs[id_col].alias("id"),
+        docs[text].cast("string").alias("text"),
+    ).withColumn("t", F.xxhash64("text"))
+    # The ids that the groups' smallest are taken from tell rows of one id apart.
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "t").alias("key")
+    found = near_duplicates(body.select(key, "text"), words, max_bits, blocks, "key", "text")
+    chosen = found.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    chosen = store(chosen.select(F.col("key.id").alias("id2"), F.col("key.t").alias("t2"), "n"), "chosen")
+    kept = body.join(chosen, F.col("id").eqNullSafe(F.col("id2")) & (F.col("t") == F.col("t2")))
     alone = kept.where("n = 1").select("row")
     order = F.xxhash64(F.to_json("row"))
-    tied = kept.where("n > 1").groupBy("component").agg(F.min_by("row", order).alias("row"))
+    tied = kept.where("n > 1").groupBy("id2", "t2").agg(F.min_by("row", order).alias("row"))
     return alone.unionByName(tied.select("row")).select("row.*")
