@@ -86,13 +86,14 @@ def near_copies(rng, count):
     return texts[:count]
 
 
-@pytest.mark.parametrize("large", [0, 64])
-def test_links_are_those_of_all_pairs(spark, large):
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, rounds):
+    monkeypatch.setattr(S, "ROUNDS", rounds)
     rng = random.Random(5)
     docs = list(enumerate(near_copies(rng, 250)))
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert rows(S.near_duplicates(df, large=large)) == expected(docs)
+    assert rows(S.near_duplicates(df)) == expected(docs)
 
 
 def test_pairs_at_the_limit(spark):
@@ -108,7 +109,7 @@ def test_pairs_at_the_limit(spark):
         assert found[10 * n + 1] == 10 * n and found[10 * n + 2] == 10 * n
 
 
-def test_a_template_is_cut_by_rare_shingles(spark):
+def test_texts_of_one_template_are_no_near_copies(spark):
     """Texts that share bands by a long common part and are no near copies."""
     rng = random.Random(6)
     shared = " ".join(f"t{i}" for i in range(63))
@@ -116,7 +117,7 @@ def test_a_template_is_cut_by_rare_shingles(spark):
     docs = [(n, f"{shared} {tail()}") for n in range(300)]
     docs += [(1000 + n, f"{docs[n][1]} x") for n in range(5)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert rows(S.near_duplicates(df, large=16)) == expected(docs)
+    assert rows(S.near_duplicates(df)) == expected(docs)
 
 
 def test_odd_rows(spark):

@@ -7,8 +7,7 @@ made of that many parts. Rows meet by key:
 1. every row is compared with one row of its key (linear, whatever the key's size);
 2. the links found so far are contracted to components, and keys whose rows are all in one
    component are done: this is where large groups of near copies end;
-3. in the other keys, rows of different components are compared; where the caller has a second
-   exact key, rows of keys with many rows are taken through all steps by that one instead.
+3. in the other keys, rows of different components are compared.
 
 The outcome is exactly the components of the links; only the links inside a component
 that is connected already are left out.
@@ -78,30 +77,21 @@ def link_keyed(
     keyed: DataFrame,
     near: Callable[[dict[str, Column], dict[str, Column]], Column],
     verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
-    refine: Callable[[DataFrame], DataFrame] | None = None,
-    large: int = 64,
     rounds: int = 1,
     join_up: Callable[[DataFrame], DataFrame] = components,
-    known: DataFrame | None = None,
 ) -> DataFrame:
     """The same for rows (id, key, others): a link is a pair that shares a key, of which ``near``
     holds, given the other columns of both by name, and which ``verify`` keeps.
 
-    ``refine`` makes other keys, as rows (id, key, others), of the rows of keys with more than
-    ``large`` rows in different components; all pairs to be linked among them must share one.
-    ``rounds`` says how often rows are compared with one row of their key before pairs are made.
-    ``known`` are components that were found before; ``join_up`` makes components of links."""
+    ``rounds`` says how often rows are compared with one row of their key before pairs are made;
+    ``join_up`` makes components of links."""
     others = [c for c in keyed.columns if c not in ("id", "key")]
     here, there = {c: F.col(c) for c in others}, {c: F.col(f"{c}_2") for c in others}
     renamed = {c: f"{c}_2" for c in others}
     # Most keys have one row: they go before anything but the key is shuffled.
     shared = store(keyed.groupBy("key").count().where("count > 1").select("key"), "keys")
     members = store(keyed.join(small(shared), "key"), "members")
-    if known is None:
-        tagged, first = members.withColumn("component", F.col("id")), None
-    else:
-        tagged = members.join(small(known), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        first = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    tagged, first = members.withColumn("component", F.col("id")), None
     for turn in range(rounds):
         # One round compares with the smallest id; of several, the first with rows by one of a few
         # orders of the ids, so that a group meets some of its rows and not one of them, and the others
@@ -137,15 +127,14 @@ def link_keyed(
         )
         mixed = store(
             tagged.groupBy("key")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
+            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
             .where("lo < hi")
-            .select("key", "rows"),
+            .select("key"),
             "mixed",
         )
         if turn + 1 < rounds:
-            tagged = store(tagged.join(small(mixed), "key").drop("rows"), "tagged")
-    every = store(tagged.join(small(mixed), "key"), "rest")
-    rest = (every if refine is None else every.where(F.col("rows") <= large)).drop("rows")
+            tagged = store(tagged.join(small(mixed), "key"), "tagged")
+    rest = store(tagged.join(small(mixed), "key"), "rest")
     other = rest.withColumnsRenamed({"id": "id2", "component": "component2", **renamed})
     second = store(
         rest.join(other, "key")
@@ -155,10 +144,6 @@ def link_keyed(
         .distinct(),
         "second-pairs",
     )
-    links = first if second.isEmpty() else first.unionByName(verify(second))
-    if refine is not None:
-        crowded = every.where(F.col("rows") > large).select("id", *others)
-        if not crowded.isEmpty():
-            deeper = link_keyed(refine(crowded), near, verify, None, large, rounds, join_up, so_far)
-            links = links.unionByName(deeper.select(F.col("id").alias("a"), F.col("component").alias("b")))
-    return so_far if links is first else join_up(links)
+    if second.isEmpty():
+        return so_far
+    return join_up(first.unionByName(verify(second)))

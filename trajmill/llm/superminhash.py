@@ -13,7 +13,6 @@ reduced to a forest by union-find within each task and then merged across tasks.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,14 +29,10 @@ from trajmill.llm.shared import small, store
 BANDS, ROWS = 32, 4
 #: Elements whose orders are drawn together.
 AT_ONCE = 1 << 15
-#: Rows of a key up to which rows that are not linked yet are compared directly.
-LARGE = 32
 #: How often rows are compared with one row of their key before pairs are made.
 ROUNDS = 3
 #: Texts that one task compares with a text at a time.
 SHARE = 32
-#: Classes of sizes of the second key: each this much larger than the one before.
-SIZE_STEP = 1.03
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -144,14 +139,6 @@ def _sketches(words: int, bands: int, rows: int):
     return sketches
 
 
-def _shingles(words: int):
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
-
-    return shingles
-
-
 def _comparer(words: int, percent: int) -> Callable:
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         firsts = dict(zip(left["a1"], left["text1"]))
@@ -194,7 +181,6 @@ def near_duplicates(
     percent: int = 80,
     bands: int = BANDS,
     rows: int = ROWS,
-    large: int = LARGE,
     id_col: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -204,9 +190,7 @@ def near_duplicates(
     100 * intersection >= ``percent`` * union; component_id is the smallest id that can be
     reached, the own one included, and ``kept`` is set where it is the own one. Documents without words,
     null texts included, have an empty set and are linked with nothing. Pairs that share a
-    band are compared by their whole sets. Documents with one set are one node. A key with more than
-    ``large`` nodes of different groups is cut by a second key that no linked pair lacks: one of the rarest
-    shingles of a set, with both sizes' classes, one more than the similarity lets such a pair differ in.
+    band are compared by their whole sets. Documents with one set are one node.
 
     Repeated rows stay and are linked like any others; null ids are never the smallest, and kept
     only where their group has no other. Other columns are not read. An empty table gives an
@@ -260,36 +244,10 @@ def near_duplicates(
         same = left.groupBy("call1").cogroup(right.groupBy("call"))
         return same.applyInPandas(_comparer(words, percent), "a long, b long")
 
-    def refine(rows_of_large_keys: DataFrame) -> DataFrame:
-        """Keys of the same rows: their rarest shingles."""
-        ids = rows_of_large_keys.select(F.col("id").alias("k"), "size").distinct()
-        sets = store(
-            texts_of(ids.select("k")).select("k", F.explode(_shingles(words)("text")).alias("shingle")), "shingles"
-        )
-        rare = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-        order = F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("order")
-        ordered = store(sets.join(rare, "shingle").groupBy("k").agg(order), "ordered-shingles")
-        # A pair of sizes m and n shares at least percent * (m + n) / (100 + percent) shingles, so the first
-        # of its common ones is early in the order of both; how early depends on the other's size, which
-        # is known to lie in a class. Shingles that no other set has make no keys.
-        own = F.size("order")
-        step = math.log(SIZE_STEP)
-        reach = math.ceil(math.log(100 / percent) / step) + 1
-        place = F.floor(F.log(own) / step)
-        least = F.greatest(F.floor(F.pow(F.lit(SIZE_STEP), F.col("other"))), F.ceil(F.lit(percent) * own / 100))
-        both = F.ceil(percent * (own + least) / (100 + percent))
-        classes = ordered.withColumn("class", place).withColumn("other", F.explode(F.sequence(place - reach, place + reach)))
-        early = F.slice("order", 1, (own - both + 1).cast("int"))
-        keys = classes.where(percent * least <= 100 * own).select(
-            "k", "class", "other", own.alias("size"), F.explode(F.filter(early, lambda x: x["n"] > 1)).alias("first")
-        )
-        key = F.xxhash64("first.shingle", F.least("class", "other"), F.greatest("class", "other"))
-        return keys.select(F.col("k").alias("id"), F.col("size").cast("long").alias("size"), key.alias("key"))
-
     def join_up(links: DataFrame) -> DataFrame:
         return components(links.mapInPandas(_forest, "a long, b long"))
 
-    linked = store(link_keyed(keyed, near, verify, refine, large, ROUNDS, join_up), "linked").withColumnRenamed("id", "k")
+    linked = store(link_keyed(keyed, near, verify, ROUNDS, join_up), "linked").withColumnRenamed("id", "k")
     tagged = store(
         nodes.select("k", "smallest")
         .join(small(linked), "k", "left")
