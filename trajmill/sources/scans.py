@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +9,7 @@ from pyspark.sql import types as T
 from trajmill import constants as C
 from trajmill import schemas as S
 from trajmill.functions.feedback import positive
+from trajmill.sources.literals import parse_literal
 
 
 def scan_problems(spark: SparkSession, path: str, dataset: str, split: str) -> DataFrame:
@@ -30,16 +28,6 @@ def scan_rollouts(
     return spark.read.schema(schema).parquet(path)
 
 
-def _literal_parser(kind: T.DataType):
-    """Arrow function that turns Python-literal texts into values of a declared type."""
-
-    @F.pandas_udf(kind)
-    def parse(cells: pd.Series) -> pd.Series:
-        return cells.map(lambda c: ast.literal_eval(c) if isinstance(c, str) else None)
-
-    return parse
-
-
 def scan_scored_csv(
     spark: SparkSession,
     path: str,
@@ -49,7 +37,7 @@ def scan_scored_csv(
 ) -> DataFrame:
     """Scored rollouts from CSV; array columns are restored from their text cells.
 
-    ``cells`` is ``"literal"`` (Python literals) or ``"json"``. Files whose cells hold no
+    ``cells`` is ``"literal"`` (Python literals, read by the JVM but for odd ones) or ``"json"``. Files whose cells hold no
     raw line ends may be read with ``multi_line=False``, which keeps them splittable.
     """
     header = (
@@ -65,7 +53,7 @@ def scan_scored_csv(
         if isinstance(field.dataType, T.ArrayType):
             if cells == "json":
                 return F.from_json(cell, field.dataType).alias(field.name)
-            return _literal_parser(field.dataType)(cell).alias(field.name)
+            return parse_literal(cell, field.dataType).alias(field.name)
         if isinstance(field.dataType, T.BooleanType):
             # Stored as True/False, 0/1 or 0.0/1.0.
             return F.when(F.lower(cell).isin("true", "false"), F.lower(cell).cast("boolean")).otherwise(
