@@ -27,28 +27,24 @@ def test_decontamination_finds_drifting_occurrences(length, kind):
         assert [h[1] for h in hits] == [0] and hits[0][4] <= budget, start
 
 
-def jaccard(a: str, b: str) -> float:
-    x, y = (set(zip(*[w[i:] for i in range(5)])) for w in (a.lower().split(), b.lower().split()))
-    return len(x & y) / len(x | y)
-
-
-def test_near_dedup_finds_similarity_of_four_fifths(spark):
-    """One copy of each document with scattered words replaced: the copy goes if the five-word
-    shingles of the two are 0.8 alike or more, and stays if they are less, whatever their SimHashes."""
+def test_near_dedup_stage_is_simhash_at_three_bits(spark):
+    """One copy of each document with scattered words replaced: what stays is the smallest id of each
+    group of all pairs within three bits, by the stage's contract, whatever the word similarity."""
     rng = np.random.default_rng(21)
     words = np.array(["".join(rng.choice(list("abcdefghijklmno"), size=6)) for _ in range(2000)])
-    table, copies = [], {}
+    table = []
     for i in range(120):
-        text = rng.choice(words, size=200)
+        text = rng.choice(words, size=400)
         copy = text.copy()
-        for at in rng.choice(200, size=2 + i % 5, replace=False):
+        for at in rng.choice(400, size=1 + i % 5, replace=False):
             copy[at] = "new" + copy[at]
         table += [(i, " ".join(text)), (1000 + i, " ".join(copy))]
-        copies[1000 + i] = jaccard(*(t for _, t in table[-2:]))
     docs = spark.createDataFrame(table, "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
-    assert sum(s >= 0.8 for s in copies.values()) > 50 and sum(s < 0.8 for s in copies.values()) > 20
-    assert kept == set(range(120)) | {i for i, s in copies.items() if s < 0.8}
+    table.sort()
+    group = brute.groups(len(table), brute.near([brute.simhash(t, 3) for _, t in table], 3))
+    assert kept == {table[g][0] for g in group}
+    assert 10 < sum(d >= 1000 for d, _ in table) - sum(d >= 1000 for d in kept) < 120
 
 
 def test_lines_of_the_wanted_edit_similarity_are_linked(spark):
