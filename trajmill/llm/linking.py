@@ -16,13 +16,14 @@ that is connected already are left out.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajmill.llm.components import components
-from trajmill.llm.shared import small, store
+from trajmill.llm.shared import remove, small, store
 
 BITS = 64
 #: Orders of the ids by which the rows of a group of keys are compared with one of them.
@@ -79,19 +80,26 @@ def link_keyed(
     verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
     rounds: int = 1,
     join_up: Callable[[DataFrame], DataFrame] = components,
+    parts: int = 1,
 ) -> DataFrame:
     """The same for rows (id, key, others): a link is a pair that shares a key, of which ``near``
     holds, given the other columns of both by name, and which ``verify`` keeps.
 
     ``rounds`` says how often rows are compared with one row of their key before pairs are made;
-    ``join_up`` makes components of links."""
+    ``join_up`` makes components of links. The rows of shared keys are looked for in ``parts`` of the
+    keys, one after the other: no more than a part's shuffle is on disk at a time."""
     others = [c for c in keyed.columns if c not in ("id", "key")]
     here, there = {c: F.col(c) for c in others}, {c: F.col(f"{c}_2") for c in others}
     renamed = {c: f"{c}_2" for c in others}
     # Most keys have one row: they go before anything but the key is shuffled.
-    shared = store(keyed.groupBy("key").count().where("count > 1").select("key"), "keys")
-    members = store(keyed.join(small(shared), "key"), "members")
-    tagged, first = members.withColumn("component", F.col("id")), None
+    members = []
+    for part in range(parts):
+        own = keyed.where(F.pmod("key", F.lit(parts)) == part) if parts > 1 else keyed
+        shared = store(own.groupBy("key").count().where("count > 1").select("key"), "keys")
+        members.append(store(own.join(small(shared), "key"), "members"))
+        remove(shared)
+    tagged, first = reduce(DataFrame.unionByName, members).withColumn("component", F.col("id")), None
+    done = members
     for turn in range(rounds):
         # One round compares with the smallest id; of several, the first with rows by one of a few
         # orders of the ids, so that a group meets some of its rows and not one of them, and the others
@@ -116,7 +124,9 @@ def link_keyed(
             .distinct(),
             "first-pairs",
         )
+        remove(reps)
         found = store(verify(pairs), "first-links")
+        remove(pairs)
         first = found if first is None else first.unionByName(found)
         so_far = store(join_up(first), "components")
         tagged = store(
@@ -125,6 +135,9 @@ def link_keyed(
             .select("key", "id", *others, F.coalesce("component", "id").alias("component")),
             "tagged",
         )
+        for old in done:
+            remove(old)
+        done = [tagged]
         mixed = store(
             tagged.groupBy("key")
             .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -134,7 +147,10 @@ def link_keyed(
         )
         if turn + 1 < rounds:
             tagged = store(tagged.join(small(mixed), "key"), "tagged")
+            remove(done[0])
+            done = [tagged]
     rest = store(tagged.join(small(mixed), "key"), "rest")
+    remove(tagged)
     other = rest.withColumnsRenamed({"id": "id2", "component": "component2", **renamed})
     second = store(
         rest.join(other, "key")
@@ -144,6 +160,7 @@ def link_keyed(
         .distinct(),
         "second-pairs",
     )
+    remove(rest)
     if second.isEmpty():
         return so_far
     return join_up(first.unionByName(verify(second)))

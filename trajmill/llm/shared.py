@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from trajmill.session import new_folder
 
 
+#: Spark removes the shuffle files of a query when the query has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared work folder and read it back: it cuts the lineage, and a
-    lost executor costs no more than its running tasks."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lost executor costs no more than its running tasks. The shuffle files of the writing go at its end."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows of a few numbers each that may be broadcast.
