@@ -258,6 +258,28 @@ def test_ingest_reads_the_buckets_of_a_batch_only(spark, tmp_path):
     assert not list((tmp_path / "table").glob("run=main/batch=1/bucket=*/*.parquet"))
 
 
+def test_ingest_index_stays_small_and_is_rebuilt(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "FAN", 2)
+    inbox, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
+    keys, index = ["data_id", "rollout_no"], ingest.KeyIndex(spark, table)
+    for n in range(5):
+        send(spark, inbox, f"f{n}", 4 * n, 4 * n + 8)
+    # A batch a file: each repeats half of another's rows.
+    ingest.ingest_rollouts(stream(spark, inbox, 1), table, state, keys, buckets=2)
+    assert sorted(level for level, _ in index.live()) == [0, 2]
+    assert len(list((tmp_path / "table" / "_keys").glob("*-*"))) == 2
+    assert ingest.ingested(spark, table, ARRIVING).count() == 24
+    # A spoilt record costs a pass over the table and no row.
+    index.commit([])
+    marker = tmp_path / "table" / "_keys" / "_written.json"
+    marker.with_name("._written.json.crc").unlink()
+    marker.write_text("[[0,")
+    send(spark, inbox, "late", 10, 30)
+    ingest.ingest_rollouts(stream(spark, inbox, 1), table, state, keys, buckets=2)
+    got = ingest.ingested(spark, table, ARRIVING).select("rollout_no")
+    assert [r[0] for r in rows(got)] == sorted(range(30), key=lambda i: str((i,)))
+
+
 def test_ingest_keeps_a_stated_row_of_repeats(spark, tmp_path):
     kept = []
     for n in (1, 5):
