@@ -101,7 +101,7 @@ def ingest_rollouts(
     checkpoint: str,
     keys: list[str],
     run: str = "main",
-    buckets: int = 64,
+    buckets: int = 8,
 ) -> None:
     """Append new rows of the stream to ``table`` until no input is left, then stop.
 
@@ -111,7 +111,7 @@ def ingest_rollouts(
     crash leaves the same rows. Below that, rows lie in buckets by a hash of their key. A batch asks
     the table's KeyIndex in which folders its keys may lie and reads those only; it never lists the
     table. Call again with the same checkpoint and run name to resume; a new checkpoint needs a new
-    run name, a table always the same keys and number of buckets. One query writes a table at a time.
+    run name, a table always the same keys. One query writes a table at a time.
     """
     spark = stream.sparkSession
     index = KeyIndex(spark, table)
