@@ -9,6 +9,7 @@ misspelling that was never seen shares most n-grams with the word it comes from.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,7 +110,7 @@ class Model:
         which the highest counts."""
         out = np.full(len(texts), -np.inf)
         group, size = [], 0
-        parts = ((i, part) for i, text in enumerate(texts) for part in _parts(text or ""))
+        parts = ((i, part) for i, text in enumerate(texts) for part in _parts(text or "", self.shape))
         for i, part in parts:
             group.append((i, part))
             size += len(part)
@@ -121,14 +122,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def _parts(text: str):
-    """The text in pieces of at most PART characters, cut at spaces where there are any."""
-    while len(text) > PART:
-        cut = max(text.rfind(" ", 0, PART), text.rfind("\n", 0, PART))
-        cut = cut if cut > PART // 2 else PART
-        yield text[:cut]
-        text = text[cut:]
-    yield text
+def _parts(text: str, shape: Shape):
+    """The text in pieces of about PART characters that end with a window, so that the windows are those of
+    the whole text. A window of more than PART characters, one endless word mostly, is cut into several."""
+    if len(text) <= PART:
+        yield text
+        return
+    word = r"A-Za-z0-9\x80-\U0010ffff"
+    start = end = 0
+    cuts = []
+    # What is matched is never given back: else the last words would be cut to make up a window.
+    for found in re.finditer(rf"(?:[^{word}]*+[{word}]++){{{shape.window}}}", text):
+        if found.end() - start > PART and end > start:
+            cuts.append((start, end))
+            start = end
+        end = found.end()
+        if end - start > PART:
+            cuts += [(at, min(at + PART, end)) for at in range(start, end, PART)]
+            start = end
+    if len(text) - start > PART and end > start:
+        cuts.append((start, end))
+        start = end
+    cuts += [(at, min(at + PART, len(text))) for at in range(start, len(text), PART)]
+    # A piece without a word is no window, unless the whole text has none.
+    with_words = [c for c in cuts if re.compile(f"[{word}]").search(text, *c)]
+    for lo, hi in with_words or [(0, 0)]:
+        yield text[lo:hi]
 
 
 def _training_bags(
