@@ -5,9 +5,10 @@ from __future__ import annotations
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trajmill.llm import decontaminate, lines
+from trajmill.llm import decontaminate, language, lines, toxicity
 
 
 @pytest.mark.parametrize("length", [200, 400])
@@ -77,3 +78,57 @@ def test_short_lines_are_compared_too(spark):
     docs = spark.createDataFrame([(1, "\n".join(some)), (2, "\n".join(["Wh, the!", *some[1:], "ok"]))], "doc_id long, text string")
     got = {r["row"]["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
     assert got == {1: "\n".join(some), 2: " \nok"}
+
+
+def test_lines_with_letters_changed_throughout_are_linked(spark):
+    """One letter changed in every fourth word: no run of four words and no half is left as it was."""
+    rng = np.random.default_rng(41)
+    words = ["".join(rng.choice(list("abcdefghijklmno"), size=int(n))) for n in rng.integers(2, 9, size=600)]
+    table = []
+    for i in range(40):
+        line = list(rng.choice(words, size=20))
+        copy = list(line)
+        for at in range(int(rng.integers(4)), 20, 4):
+            place = int(rng.integers(len(copy[at])))
+            copy[at] = copy[at][:place] + "z" + copy[at][place + 1 :]
+        table += [(i, " ".join(line)), (1000 + i, " ".join(copy))]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    gone = {r["id"] for r in lines.repeated_lines(docs).collect()}
+    want = {i for i, _, _ in brute.dropped_lines(table)}
+    assert len(want) >= 35 and gone == want
+
+
+def test_edits_within_a_budget_are_those_of_the_whole_texts(spark):
+    rng = np.random.default_rng(42)
+    table = []
+    for i in range(400):
+        x = list(rng.choice(list("abé"), size=i % 60))
+        y = list(x)
+        for at in rng.integers(len(y), size=i % 5) if y else []:
+            y[at] = ["", "q", y[at] + "z"][int(rng.integers(3))]
+        table.append((i, "".join(x), "".join(y), int(rng.integers(6))))
+    pairs = spark.createDataFrame(table, "id int, x string, y string, budget int")
+    got = {r["id"] for r in pairs.where(lines._within(F.col("x"), F.col("y"), F.col("budget"))).collect()}
+    assert got == {i for i, x, y, budget in table if brute.edits(x, y) <= budget}
+
+
+@pytest.mark.parametrize("part", [150, 400, 1000])
+def test_part_size_changes_no_toxicity_score(monkeypatch, part):
+    """Windows of a long text are the same wherever it is cut, if none is longer than a part."""
+    rng = np.random.default_rng(43)
+    shape = toxicity.Shape(buckets=512)
+    model = toxicity.Model(shape, rng.normal(size=512).astype(np.float32), -0.5)
+    words = ["a", "of", "Müll", "don't", "--", "x9", "語"]
+    texts = [" ".join(rng.choice(words, size=int(n))) + tail for n in rng.integers(1, 400, size=60) for tail in ("", " ... ")]
+    texts += ["", "?!" * 700]
+    whole = model.scores(texts)
+    monkeypatch.setattr(toxicity, "PART", part)
+    assert np.allclose(model.scores(texts), whole, rtol=1e-5, atol=1e-6)
+
+
+def test_language_of_few_ids_repeated_often_is_learnt(spark):
+    for first in range(3, 30, 9):
+        rows = [(first + i % 3, "der die das und nicht", "de") for i in range(6000)]
+        rows += [(1000 + i, "the and of with not", "en") for i in range(200)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert language.fit(docs, steps=1).languages == ["de", "en"]

@@ -143,7 +143,8 @@ def train(
     place = {name: i for i, name in enumerate(names)}
     words = [[] for _ in names]
     for text, name in zip(texts, languages):
-        words[place[name]] += [w[:PIECE] for w in text.lower().encode("utf-8", "replace").split()]
+        for w in text.lower().encode("utf-8", "replace").split():
+            words[place[name]] += [w[at : at + PIECE] for at in range(0, len(w), PIECE)]
     drawn = [own[i] for own in words if own for i in rng.integers(len(own), size=batch * steps // max(1, len(names)) // 4)]
     truth = np.concatenate([np.full(batch * steps // max(1, len(names)) // 4, i) for i, own in enumerate(words) if own] or [np.zeros(0, int)])
     by_length: dict[int, list[int]] = {}
@@ -266,8 +267,8 @@ def fit(
     lang: str = "lang",
     **options,
 ) -> Network:
-    """Train on a bounded sample: of each of the ``most_languages`` most frequent languages the
-    ``per_language`` documents with the lowest hash of their id, of at most ``longest`` characters.
+    """Train on a bounded sample: of each of the ``most_languages`` languages with the most ids (others are
+    not learnt; it bounds the sample) the ``per_language`` documents with the lowest hash of their id, of at most ``longest`` characters.
     Held-out documents, null ids and null languages are not learnt."""
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")
@@ -275,10 +276,11 @@ def fit(
     fitting = rows.where(F.length("text") <= longest)
     # Both lists are bounded by the parameters.
     names = store(
-        fitting.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages), "languages"
+        fitting.select("lang", "id").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages),
+        "languages",
     )
     ids = fitting.select("lang", F.xxhash64("id").alias("order"), "id").join(F.broadcast(names), "lang")
-    # Of the hashes, spread evenly, a few times as many as are needed are compared.
+    # Of the hashes of distinct ids, spread evenly, a few times as many as are needed are compared.
     low = F.col("order") / float(1 << 64) + 0.5 <= 8.0 * (per_language + 8) / F.col("count")
     first = Window.partitionBy("lang").orderBy("order", "id")
     ids = ids.where(low).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
