@@ -456,3 +456,20 @@ def test_token_rules(spark):
     assert K.filter_by_length(features, limits, "chained").count() == 4
     report = K.filter_report(features.withColumn("split", F.lit("a")), F.size("input_ids") <= 2).first()
     assert (report["dropped"], report["total"], report["percentage"]) == (2, 4, 50.0)
+
+
+def test_sampled_best_takes_tasks_by_its_draws(spark, monkeypatch):
+    """Draws are shuffled once, into as many parts as they need; nothing sorts them where they are made."""
+    monkeypatch.setattr(M, "DRAWS_A_TASK", 90)
+    data = [(i, i % 7, float(i % 5), i % 3 == 0) for i in range(900)]
+    df = spark.createDataFrame(data, SCORED)
+    got = M.best_of_n_sampled(df, (1, 4, 200), trials=3)
+    assert {r["n"]: r["solve_rate"] for r in got.collect()} == pytest.approx(sampled_by_sorting(df, (1, 4, 200), 3))
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    parts = [line for line in plan if "REPARTITION_BY_NUM" in line]
+    assert parts and all(", 30)" in line for line in parts)
+    # The rows, their draws, and the counts of the buckets: one shuffle each, read again by reference.
+    assert sum("Reused" not in line for line in parts) == 3
+    made = next(i for i, line in enumerate(plan) if "Generate explode" in line and "[trial" in line)
+    nearest = next(line for line in reversed(plan[:made]) if "Exchange" in line or "Sort" in line)
+    assert "REPARTITION_BY_NUM" in nearest

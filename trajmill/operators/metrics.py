@@ -21,6 +21,8 @@ from trajmill.operators import skew
 CURVE_BLOCK = 65_536
 #: Buckets of the draws of one prompt and trial, as a power of two.
 DRAW_BITS = 12
+#: Draws that one task of best_of_n_sampled makes, sorts or adds up.
+DRAWS_A_TASK = 1 << 20
 
 
 def with_prompt_key(df: DataFrame, name: str = "prompt_key") -> DataFrame:
@@ -168,15 +170,22 @@ def best_of_n_sampled(
     one are put in order, a few thousandths of a prompt. For N > n the sample is the whole prompt. ``sizes``
     double up to n if not given. Each trial repeats the table: prefer best_of_n_exact on large data.
     """
-    sizes = _sizes(prompt_counts(df, key), sizes)
+    counts = prompt_counts(df, key).agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    sizes = sizes or doubling(counts["most"])
+    # The draws are many times the rows: tasks are as many as they need, so that none grows with the table.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(counts["rows"] or 0) * trials // DRAWS_A_TASK))
     good = positive(F.col("label"))
     score = F.col("reward") if order_by == "reward" else good.cast("double")
     row = F.struct(score.alias("score"), (-F.col("ID")).alias("tie"), good.alias("label"))
-    rows = df.where(F.col(key).isNotNull()).select(key, "ID", row.alias("_row"))
-    taken = draw(seed, F.col("trial"), F.col("ID"))
+    rows = df.where(F.col(key).isNotNull()).select(key, row.alias("_row")).repartition(tasks, "_row.tie")
+    # A draw is never null; as Spark knows it, no filter keeps its two readers from sharing one shuffle.
+    taken = F.coalesce(draw(seed, F.col("trial"), -F.col("_row.tie")), F.lit(0))
     drawn = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("_draw", taken)
-    drawn = drawn.withColumn("_bucket", F.shiftright("_draw", RANGE_BITS - DRAW_BITS))
+    bucket = F.shiftright("_draw", RANGE_BITS - DRAW_BITS)
+    # Both readers below find the rows of a bucket in one task, so this is shuffled once.
+    drawn = drawn.repartition(tasks, key, "trial", bucket).withColumn("_bucket", bucket)
     cells = drawn.groupBy(key, "trial", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_row").alias("_best"))
+    cells = cells.repartition(tasks, key, "trial")
     along = Window.partitionBy(key, "trial").orderBy("_bucket")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     summed = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
@@ -185,19 +194,17 @@ def best_of_n_sampled(
     # The bucket in which the sample of each size ends, and how many of its rows belong to it.
     upto = F.col("_before") + F.col("_n")
     ending = F.filter(F.array(*map(F.lit, sizes)), lambda n: (F.col("_before") < n) & (n <= upto))
-    ends = summed.withColumn("n", F.explode(ending)).withColumn("_need", F.col("n") - F.col("_before"))
-    whole = ends.where(F.col("_need") == F.col("_n")).select("n", F.greatest("_best_before", "_best").alias("_top"))
-    cut = ends.where(F.col("_need") < F.col("_n")).select(key, "trial", "_bucket", "n", "_need", "_best_before")
-    order = Window.partitionBy(key, "trial", "n").orderBy("_draw", "ID")
-    inside = drawn.join(cut, [key, "trial", "_bucket"]).withColumn("_no", F.row_number().over(order))
-    refined = (
+    ends = summed.withColumn("n", F.explode(ending)).select(
+        key, "trial", "_bucket", "n", (F.col("n") - F.col("_before")).alias("_need"), "_best_before"
+    )
+    order = Window.partitionBy(key, "trial", "n").orderBy("_draw", F.col("_row.tie").desc())
+    inside = drawn.join(ends, [key, "trial", "_bucket"]).withColumn("_no", F.row_number().over(order))
+    best = (
         inside.where(F.col("_no") <= F.col("_need"))
         .groupBy(key, "trial", "n")
         .agg(F.greatest(F.max("_best_before"), F.max("_row")).alias("_top"))
     )
-    sampled = whole.unionByName(refined.select("n", "_top")).groupBy("n").agg(
-        (F.sum(F.col("_top.label").cast("int")) / trials).alias("_right")
-    )
+    sampled = best.groupBy("n").agg((F.sum(F.col("_top.label").cast("int")) / trials).alias("_right"))
     # Prompts with fewer rows than the size are drawn whole.
     best_of_all = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.max("_row").alias("_all"))
     short = [F.count_if((F.col("_rows") < n) & F.col("_all.label")).alias(f"_{n}") for n in sizes]
