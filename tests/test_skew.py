@@ -203,3 +203,17 @@ def test_pairs_of_far_ids(spark):
     df = df.withColumn("prompt", F.lit("q"))
     for r in sampling.sample_pairs(df, 20).collect():
         assert r["chosen"] == f"text {r['chosen_ID']}" and r["rejected"] == f"text {ids[1]}"
+
+
+def test_joins_deal_long_texts(spark, monkeypatch):
+    """A key with few rows is dealt too if their texts are many bytes, wherever they lie in the row."""
+    monkeypatch.setattr(skew, "HOT_BYTES", 10_000)
+    small = spark.createDataFrame([(0, "x"), (1, "y")], "key long, other string")
+    flat = spark.range(390).select("id", F.when(F.col("id") < 300, 0).otherwise(1).cast("long").alias("key"), F.repeat(F.lit("ab"), 50).alias("text"))
+    nested = flat.withColumn("text", F.array(F.struct("text"), F.struct(F.lit(None).cast("string").alias("text"))))
+    for big in (flat, nested):
+        got = skew.skew_join(big, small, ["key"], ["id"])
+        assert rows(got) == rows(big.join(small, "key").select(*got.columns))
+        shares = {r["key"]: r["_rows"] for r in skew._with_shares(skew._large_groups(big, ["key"], skew.HOT_ROWS), skew.HOT_ROWS).collect()}
+        assert shares == {0: 4}
+    assert rows(skew.hot_groups(flat, ["key"])) == []

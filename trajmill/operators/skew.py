@@ -21,6 +21,8 @@ from trajmill.functions.draws import RANGE_BITS
 HOT_ROWS = 1_000_000
 #: No list of hot groups is longer: with more rows than this many limits, the limit grows.
 MOST_HOT = 100_000
+#: Bytes of one key's rows that a join puts into one share.
+HOT_BYTES = 32 * 2**20
 
 
 def hot_groups(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame:
@@ -205,6 +207,48 @@ def _with_shares(hot: DataFrame, limit: int) -> DataFrame:
     return hot.withColumn("_rows", F.ceil(F.col("_rows") / limit).cast("int"))
 
 
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of the texts in a value, however nested; a number counts as none."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value).cast("bigint")
+    elif isinstance(kind, T.StructType):
+        size = reduce(lambda a, b: a + b, [_bytes(value[f.name], f.dataType) for f in kind], F.lit(0).cast("bigint"))
+    elif isinstance(kind, T.ArrayType) and _has_text(kind):
+        size = F.aggregate(value, F.lit(0).cast("bigint"), lambda n, v: n + _bytes(v, kind.elementType))
+    elif isinstance(kind, T.MapType) and _has_text(kind):
+        size = _bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _bytes(
+            F.map_values(value), T.ArrayType(kind.valueType)
+        )
+    else:
+        return F.lit(0).cast("bigint")
+    return F.coalesce(size, F.lit(0).cast("bigint"))
+
+
+def _has_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_text(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _has_text(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_text(kind.keyType) or _has_text(kind.valueType)
+    return isinstance(kind, (T.StringType, T.BinaryType))
+
+
+def _large_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The hot groups of a table whose rows are moved whole. With texts, ``HOT_BYTES`` of them weigh as
+    much as ``limit`` rows, so a share is bounded in rows and in bytes."""
+    texts = [f for f in df.schema if _has_text(f.dataType)]
+    if not texts:
+        return hot_groups(df, keys, limit)
+    size = reduce(lambda a, b: a + b, [_bytes(F.col(f.name), f.dataType) for f in texts])
+    weighed = df.select(*keys, size.alias("_size"))
+    groups = weighed.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) + F.sum("_size") * (limit / HOT_BYTES)).alias("_rows")
+    )
+    total = groups.agg(F.sum("_rows")).scalar()
+    return groups.where(F.col("_rows") > limit).where(F.col("_rows") > total / MOST_HOT)
+
+
 def _deal(df: DataFrame, hot: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
     share = F.pmod(F.xxhash64(*spread), F.col("_rows")).cast("int")
     return _mark_hot(df, hot, keys).withColumn("_share", share).drop("_rows")
@@ -239,10 +283,10 @@ def skew_join(
     limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join where a key may repeat without bound in ``big`` but only a few times in
-    ``small``. Rows of a hot key are dealt over ``rows / limit`` shares by a hash of the
-    ``spread`` columns, which must tell rows apart, and the matching small rows are
+    ``small``. Rows of a hot key are dealt over shares of up to ``limit`` rows and ``HOT_BYTES`` of text by a
+    hash of the ``spread`` columns, which must tell rows apart, and the matching small rows are
     repeated once per share."""
-    hot = _with_shares(hot_groups(big, keys, limit), limit)
+    hot = _with_shares(_large_groups(big, keys, limit), limit)
     dealt = _deal(big, hot, keys, spread).withColumn("_share", F.coalesce("_share", F.lit(0)))
     repeated = (
         _mark_hot(small, hot, keys)
