@@ -131,3 +131,43 @@ def test_odd_rows(spark):
     assert S.near_duplicates(df.where("false")).count() == 0
     renamed = df.select(F.col("doc_id").alias("page"), F.col("text").alias("body"))
     assert S.near_duplicates(renamed, id_col="page", text="body").columns == ["page", "n_shingles", "component_id", "kept"]
+
+
+def test_parities_bound_the_difference():
+    """Where parities differ, so do the sets: a pair above the limit is never let go."""
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 40, 700, 3000):
+        for apart in (0, 1, size // 9, size // 2):
+            both, one, two = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (size, apart, apart // 2))
+            a, b = np.union1d(both, one), np.union1d(both, two)
+            bits = (S.parities(a) ^ S.parities(b)).view(np.uint8)
+            assert np.unpackbits(bits).sum() <= len(np.setxor1d(a, b))
+    assert not S.parities(np.zeros(0, dtype=np.uint64)).any()
+
+
+def test_alike_but_unlinked_texts_are_not_compared(spark, monkeypatch):
+    """Copies of one text, each with another third of its words changed, share bands; few pairs are read."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(60):
+        at = rng.randrange(200)
+        words = list(base)
+        for n in range(at, at + 60):
+            words[n] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    docs += [(100 + i, " ".join(docs[i][1].split()[:-3])) for i in range(6)]
+    read = []
+
+    def counted(keyed, near, verify, *rest):
+        def count(pairs):
+            read.append(pairs.count())
+            return verify(pairs)
+
+        return link_keyed(keyed, near, count, *rest)
+
+    link_keyed = S.link_keyed
+    monkeypatch.setattr(S, "link_keyed", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(S.near_duplicates(df)) == expected(docs)
+    assert sum(read) <= 100

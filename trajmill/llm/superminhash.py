@@ -7,13 +7,16 @@ signatures varies less than that of independent minima. Elements are handled ord
 all at once: as soon as no slot holds more than j, places beyond j can change nothing and are never
 drawn. A set of some hundred elements needs one or two of the 128 places.
 
-Bands of slots make candidates, of which the sets of shingles are compared whole. Links are
+Bands of slots make candidates. Each set also has the parities of its elements in PARITIES places: two
+sets differ in at least as many elements as their parities do in places, so pairs that differ in more than
+their similarity allows go before a text is read. Of the others the sets of shingles are compared whole. Links are
 reduced to a forest by union-find within each task and then merged across tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +34,8 @@ BANDS, ROWS = 32, 4
 AT_ONCE = 1 << 15
 #: How often rows are compared with one row of their key before pairs are made.
 ROUNDS = 3
+#: Places of the parities of a set, in longs of 64.
+PARITIES = 512
 #: Texts that one task compares with a text at a time.
 SHARE = 32
 
@@ -125,16 +130,23 @@ def _set_id(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) if len(own) else 0
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """In which of the places an odd number of a set's elements falls, as longs. Where two sets differ
+    here, at least one element is in one of them alone."""
+    odd = np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketches(words: int, bands: int, rows: int):
-    @F.pandas_udf("k long, size long, bands array<long>")
+    @F.pandas_udf("k long, size long, bands array<long>, odd array<long>")
     def sketches(texts: pd.Series) -> pd.DataFrame:
         found = []
         for sets in _groups(shingle_set(t, words) for t in texts):
             keys = band_keys(signatures(sets, bands * rows), bands, rows).view(np.int64)
             for own, row in zip(sets, keys):
                 k = np.uint64(_set_id(own)).astype(np.int64)
-                found.append((k, len(own), row if len(own) else row[:0]))
-        return pd.DataFrame(found, columns=["k", "size", "bands"])
+                found.append((k, len(own), row if len(own) else row[:0], parities(own)))
+        return pd.DataFrame(found, columns=["k", "size", "bands", "odd"])
 
     return sketches
 
@@ -207,13 +219,19 @@ def near_duplicates(
             F.min("size").alias("size"),
             F.min(F.struct("t", "id")).alias("pick"),
             F.min("bands").alias("bands"),
+            F.min("odd").alias("odd"),
         ),
         "nodes",
     )
-    keyed = nodes.select(F.col("k").alias("id"), "size", F.explode("bands").alias("key"))
+    odds = [f"odd{i}" for i in range(PARITIES // 64)]
+    odd = [F.get("odd", F.lit(i)).alias(c) for i, c in enumerate(odds)]
+    keyed = nodes.select(F.col("k").alias("id"), "size", *odd, F.explode("bands").alias("key"))
 
     def near(x: dict[str, Column], y: dict[str, Column]) -> Column:
-        return 100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])
+        # With D elements in one set alone, 100 * (sizes - D) >= percent * (sizes + D).
+        apart = reduce(lambda a, b: a + b, [F.bit_count(x[c].bitwiseXOR(y[c])) for c in odds])
+        fits = (100 + percent) * apart <= (100 - percent) * (x["size"] + y["size"])
+        return fits & (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"]))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """(k, text) of nodes: the text of one document each, found by its hash and id."""
