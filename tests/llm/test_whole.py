@@ -114,6 +114,52 @@ def test_edits_within_a_budget_are_those_of_the_whole_texts(spark):
     assert got == {i for i, x, y, budget in table if brute.edits(x, y) <= budget}
 
 
+def test_lines_full_of_one_word_are_not_all_compared(spark, monkeypatch):
+    """More than half of the words of each line are a sign: its hash would be the SimHash of all of them."""
+    rng = np.random.default_rng(44)
+    words = ["".join(rng.choice(list("abcdefghijklmno"), size=6)) for _ in range(3000)]
+    table = [(i, "| " + " | ".join(rng.choice(words, size=12, replace=False)) + " |") for i in range(300)]
+    for i in range(0, 300, 10):
+        line = table[i][1].split(" ")
+        line[1] = line[1][:-1] + "z"
+        line[11] = line[11][:-1] + "z"
+        line[-2] = "z" + line[-2][1:]
+        table.append((1000 + i, " ".join(line)))
+    compared, similar = [], lines._similar
+
+    def counted(*args):
+        verify = similar(*args)
+        return lambda pairs: compared.append(pairs.count()) or verify(pairs)
+
+    monkeypatch.setattr(lines, "_similar", counted)
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    gone = {r["id"] for r in lines.repeated_lines(docs).collect()}
+    assert gone == {i for i, _, _ in brute.dropped_lines(table)} and len(gone) == 30
+    assert sum(compared) < 2 * len(table)
+
+
+def test_runs_shared_at_other_places_are_not_compared(spark, monkeypatch):
+    """A run near the start of one line and near the end of the other leaves too much to be edited."""
+    rng = np.random.default_rng(45)
+    words = ["".join(rng.choice(list("abcdefghijklmno"), size=6)) for _ in range(3000)]
+    shared, table = "aaaaaa bbbbbb cccccc dddddd eeeeee", []
+    for i in range(200):
+        rest = list(rng.choice(words, size=9, replace=False))
+        at = 9 * (i % 2)
+        table.append((i, " ".join([*rest[:at], shared, *rest[at:]])))
+    compared, similar = set(), lines._similar
+
+    def noted(*args):
+        verify = similar(*args)
+        return lambda pairs: compared.update((r["a"], r["b"]) for r in pairs.collect()) or verify(pairs)
+
+    monkeypatch.setattr(lines, "_similar", noted)
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    first = {r["h"] for r in lines._lines(docs.where("doc_id % 2 = 0"), "doc_id", "text", 1).collect()}
+    assert lines.repeated_lines(docs).count() == 0
+    assert compared and all((a in first) == (b in first) for a, b in compared)
+
+
 @pytest.mark.parametrize("part", [150, 400, 1000])
 def test_part_size_changes_no_toxicity_score(monkeypatch, part):
     """Windows of a long text are the same wherever it is cut, if none is longer than a part."""
