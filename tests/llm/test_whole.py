@@ -160,6 +160,25 @@ def test_runs_shared_at_other_places_are_not_compared(spark, monkeypatch):
     assert compared and all((a in first) == (b in first) for a, b in compared)
 
 
+def test_an_edit_changes_two_counts_of_letters_at_most(spark):
+    rng = np.random.default_rng(46)
+    table = []
+    for i in range(300):
+        x = list(rng.choice(list("abez é"), size=1 + i))
+        y = list(x)
+        for at in rng.integers(len(y), size=i % 7):
+            y[at] = ["", "t", y[at] + "z"][int(rng.integers(3))]
+        table.append((i, "".join(x), "".join(y)))
+    pairs = spark.createDataFrame(table, "id int, x string, y string")
+    sides = [pairs.select("id", *lines._letters(F.col(c))) for c in "xy"]
+    both = sides[0].join(sides[1].withColumnsRenamed({n: n + "_2" for n in lines.LETTERS}), "id")
+    apart = lines._letters_apart({n: F.col(n) for n in lines.LETTERS}, {n: F.col(n + "_2") for n in lines.LETTERS})
+    got = dict(both.select("id", apart).collect())
+    for i, x, y in table:
+        counts = [(min(x.count(c), 255), min(y.count(c), 255)) for c in "".join(lines.COUNTED)]
+        assert got[i] == sum(abs(a - b) for a, b in counts) <= 2 * brute.edits(x, y)
+
+
 @pytest.mark.parametrize("part", [150, 400, 1000])
 def test_part_size_changes_no_toxicity_score(monkeypatch, part):
     """Windows of a long text are the same wherever it is cut, if none is longer than a part."""
