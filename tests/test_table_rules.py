@@ -473,3 +473,13 @@ def test_sampled_best_takes_tasks_by_its_draws(spark, monkeypatch):
     made = next(i for i, line in enumerate(plan) if "Generate explode" in line and "[trial" in line)
     nearest = next(line for line in reversed(plan[:made]) if "Exchange" in line or "Sort" in line)
     assert "REPARTITION_BY_NUM" in nearest
+
+
+def test_sampled_best_broadcasts_no_draws(spark):
+    """A table that looks small before it is repeated per trial: its draws are still joined by a shuffle."""
+    df = spark.createDataFrame([(i, i % 7, float(i % 5), i % 3 == 0) for i in range(300)], SCORED)
+    got = M.best_of_n_sampled(df, (1, 4), trials=3)
+    got.collect()
+    joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line]
+    assert any("SortMergeJoin [data_id" in line for line in joins)
+    assert not any("BroadcastHashJoin [data_id" in line for line in joins)

@@ -198,7 +198,9 @@ def best_of_n_sampled(
         key, "trial", "_bucket", "n", (F.col("n") - F.col("_before")).alias("_need"), "_best_before"
     )
     order = Window.partitionBy(key, "trial", "n").orderBy("_draw", F.col("_row.tie").desc())
-    inside = drawn.join(ends, [key, "trial", "_bucket"]).withColumn("_no", F.row_number().over(order))
+    # Sizes are estimated from the table's columns, before the trials: without the hint Spark may broadcast all draws.
+    inside = drawn.hint("merge").join(ends.hint("merge"), [key, "trial", "_bucket"])
+    inside = inside.withColumn("_no", F.row_number().over(order))
     best = (
         inside.where(F.col("_no") <= F.col("_need"))
         .groupBy(key, "trial", "n")
