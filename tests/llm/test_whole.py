@@ -179,6 +179,42 @@ def test_an_edit_changes_two_counts_of_letters_at_most(spark):
         assert got[i] == sum(abs(a - b) for a, b in counts) <= 2 * brute.edits(x, y)
 
 
+def test_an_edit_changes_two_counts_of_the_halves_at_most(spark):
+    """And one for the middles; lines whose halves are exchanged have the same letters, but not in their halves."""
+    rng = np.random.default_rng(47)
+    table = [(-1, "the one " * 40 + "up my bulk " * 30, "up my bulk " * 30 + "the one " * 40)]
+    for i in range(400):
+        x = list(rng.choice(list("abez é"), size=1 + i))
+        y = list(x)
+        for at in rng.integers(1 + len(y) // (1 + i % 3), size=i % 9):
+            y[min(at, len(y) - 1)] = ["", "t", "ze"][int(rng.integers(3))]
+        table.append((i, "".join(x), "".join(y)))
+    pairs = spark.createDataFrame(table, "id int, x string, y string")
+    sides = [pairs.select("id", *lines._halves(F.col(c))) for c in "xy"]
+    both = sides[0].join(sides[1].withColumnsRenamed({n: n + "_2" for n in lines.HALVES}), "id")
+    apart = lines._halves_apart({n: F.col(n) for n in lines.HALVES}, {n: F.col(n + "_2") for n in lines.HALVES})
+    got = dict(both.select("id", apart).collect())
+    assert all(got[i] <= 2 * brute.edits(x, y) + 1 for i, x, y in table)
+    assert got[-1] > 2 * (len(table[0][1]) // 10) + 1
+
+
+def test_unlike_lines_of_like_letters_are_not_compared(spark, monkeypatch):
+    """Long lines that share a run of words, and all their letters, but in other halves: none becomes a pair."""
+    a, b = "the one not seen there " * 12, "up my bulk may pull up " * 12
+    run = "these four words stay "
+    docs = spark.createDataFrame([(0, a + run + b), (1, b + run + a)], "doc_id long, text string")
+    compared = []
+    similar = lines._similar
+
+    def counted(*args):
+        verify = similar(*args)
+        return lambda pairs: compared.append(pairs.count()) or verify(pairs)
+
+    monkeypatch.setattr(lines, "_similar", counted)
+    assert lines.dedup_lines(docs).agg(F.sum("n_dropped")).first()[0] == 0
+    assert sum(compared) == 0
+
+
 @pytest.mark.parametrize("part", [150, 400, 1000])
 def test_part_size_changes_no_toxicity_score(monkeypatch, part):
     """Windows of a long text are the same wherever it is cut, if none is longer than a part."""
